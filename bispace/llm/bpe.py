@@ -13,6 +13,7 @@ are processed whole whatever their length. Two columns are added and replace any
 
 from __future__ import annotations
 
+import gc
 import json
 
 import numpy as np
@@ -26,8 +27,8 @@ from bispace.llm.common import file_broadcast, worker_state
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-#: Characters and entries of cached pieces per worker; beyond it the cache starts anew.
-CACHE_CHARS, CACHE_ENTRIES = 32 << 20, 900_000
+#: Characters and entries of cached pieces per worker; beyond it only pieces that recur stay.
+CACHE_CHARS, CACHE_ENTRIES = 24 << 20, 550_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -179,7 +180,8 @@ class Codec:
         """
         cut = [(t or "").split(" ") for t in texts]
         heads = {parts[0] for parts in cut}
-        new = set().union(*(parts[1:] for parts in cut)) - self.pieces.keys() if cut else set()
+        seen = set().union(*(parts[1:] for parts in cut)) if cut else set()
+        new = seen - self.pieces.keys()
         marks = tuple(self.special)
         sure = [p for p in new if p and p[0] not in WHITE and not p.startswith(marks)]
         self.pieces |= dict.fromkeys(new)
@@ -193,7 +195,8 @@ class Codec:
                 out += self._of_words([self.split(text)])
         self.kept += sum(map(len, new))
         if self.kept > CACHE_CHARS or len(self.pieces) + len(self.words) > CACHE_ENTRIES:
-            self.pieces, self.words, self.kept = {}, {}, 0
+            stay = seen - new if len(seen) < CACHE_ENTRIES else set()
+            self.pieces, self.words, self.kept = {p: self.pieces[p] for p in stay}, {}, sum(map(len, stay))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -210,10 +213,11 @@ def id_lists(encoded: list[bytes]) -> pa.ListArray:
 
 
 def codec(broadcast) -> Codec:
+    gc.disable()  # the walk makes many small objects and no cycles
     return worker_state(("bpe", broadcast.id if hasattr(broadcast, "id") else id(broadcast)), lambda: Codec(broadcast.value))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 24 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """Parts of a batch with about ``most`` bytes of text each (one row at least): bounds memory."""
     sizes = [len(x or "") for x in batch.column(column).to_pylist()]
     at, held = 0, 0

@@ -131,7 +131,7 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
             yield shard()
 
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = source.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.select(F.spark_partition_id().alias("range"), "doc_id", "text").mapInArrow(of_range, "range int, shard long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{folder}/shards")
 
 
