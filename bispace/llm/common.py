@@ -111,3 +111,12 @@ def file_broadcast(spark, path: str):
     if len(data) > 64 << 20:
         raise ValueError(f"{path}: {len(data)} bytes; tokenizer files of at most 64 MB are broadcast")
     return spark.sparkContext.broadcast(data)
+
+
+def ddl(df: DataFrame, columns: list[str]) -> str:
+    """Schema text of some columns of ``df``."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in columns]).schema)
+
+
+def broadcast_key(name: str, broadcast) -> tuple:
+    return (name, getattr(broadcast, "id", None) or id(broadcast))

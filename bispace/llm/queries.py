@@ -58,8 +58,35 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bispace.llm.decontaminate import find_leaks
+
+    done = find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "contaminated", "n_items", F.array_distinct("leaks.item_id").alias("item_ids"), F.coalesce(F.array_max("leaks.equal_words"), F.lit(0)).cast("long").alias("equal_words"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bispace.llm.common import crc_mod
+    from bispace.llm.language_id import fit, identify
+
+    documents = _read(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    scorer = fit(documents.where(~held_out).select("doc_id", "text", "lang"))
+    done = identify(documents.select("doc_id", held_out.alias("held_out"), "text"), scorer)
+    return done.select("doc_id", "held_out", "lang_pred", "score", "rejected", "entropy")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bispace.llm.licenses import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses", "sentence_ids", "fragments")
+
+
 def queries() -> dict:
     return {
+        "op5_decontamination": op5_decontamination,
+        "op6_language_id": op6_language_id,
+        "op10_license_scan": op10_license_scan,
         "op1_chat_format": op1_chat_format,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_token_counts": op4_token_counts,
