@@ -82,8 +82,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses", "sentence_ids", "fragments")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bispace.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bispace.llm.embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bispace.llm.lm_scoring import score
+
+    return score(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
+        "op7_embedding_dedup": op7_embedding_dedup,
+        "op9_lm_scores": op9_lm_scores,
+        "op2_near_dedup": op2_near_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
         "op10_license_scan": op10_license_scan,
