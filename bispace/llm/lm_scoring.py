@@ -22,6 +22,7 @@ from __future__ import annotations
 import gc
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from bispace.llm.bpe import slices
 from bispace.llm.common import broadcast_key, crc_mod, file_broadcast, worker_state
 from bispace.session import work_table
 
-CACHE_ENTRIES, LONGEST_KEPT, HELD_WORDS, ALPHA = 400_000, 64, 300_000, 0.1
+HELD_WORDS, ALPHA = 300_000, 0.1
 END = b""
 
 
@@ -128,47 +129,30 @@ class Lattice:
 
 
 class Scoring:
-    def __init__(self, lattice: Lattice, frequent: dict[bytes, int], total: int, kinds: int):
-        self.lattice, self.frequent = lattice, frequent
-        self.below = math.log10(total + kinds + 1)
-        self.total, self.new = max(total, 1), kinds / (total + kinds) if kinds else 1.0
-        self.rows: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-        self.values = np.zeros((1024, 3))  # lattice score, base score or 0, known: 1, rare: -1
-
-    def add(self, words: list[bytes]) -> None:
-        at = len(self.words)
-        while len(self.values) < at + len(words):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        for k, w in enumerate(words, at):
-            n = self.frequent.get(w)
-            pieces = self.lattice.word(w)
-            self.values[k] = (pieces, 0.0, -1.0) if n is None else (math.log10((1 - self.new) * n / self.total + self.new * 10**pieces), math.log10(n + 1) - self.below, 1.0)
-        self.rows |= zip(words, range(at, at + len(words)), strict=True)
-        self.words += words
-
-    def texts(self, texts: list[str | None]):
-        """Of each text: tokens, known frequent tokens, their base score and score, and its rare
-        words with their counts and piece scores."""
-        split = list(map(words_of, texts))
-        seen = set().union(*split) if split else set()
-        new = [w for w in seen if w not in self.rows]
-        self.add(new)
-        get, end_n, out = self.rows.__getitem__, self.frequent.get(END, 0), []
-        for words in split:
-            at = np.array(list(map(get, words)), np.int64)
-            mine = self.values[at]
-            rare, n = np.unique(at[mine[:, 2] < 0], return_counts=True)
-            known = mine[:, 2] > 0
-            out.append((len(words) + 1, int(known.sum()) + (end_n > 0), float(mine[:, 1].sum()) + math.log10(end_n + 1) - self.below, float(mine[known, 0].sum()) + self.lattice.end, [self.words[k] for k in rare.tolist()], n.tolist(), self.values[rare, 0].tolist()))
-        if len(self.words) > CACHE_ENTRIES or any(len(w) > LONGEST_KEPT for w in new):
-            stay = [w for w in (seen.difference(new) if len(self.words) > CACHE_ENTRIES else self.words) if len(w) <= LONGEST_KEPT]
-            self.values[: len(stay)] = self.values[[get(w) for w in stay]] if stay else 0
-            self.words, self.rows = stay, dict(zip(stay, range(len(stay)), strict=True))
-        return out
-
-
-def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, table_size: int = 100_000) -> DataFrame:
+    """Frequent words with their scores, made once by the driver and the same in every worker."""
+
+    def __init__(self, lattice: Lattice, counts: dict[bytes, int], total: int, kinds: int):
+        self.below, self.total = math.log10(total + kinds + 1), max(total, 1)
+        self.new = kinds / (total + kinds) if kinds else 1.0
+        self.rows = {w: k for k, w in enumerate(w for w in counts if w)}
+        self.values = np.zeros((len(self.rows), 2))
+        for w, k in self.rows.items():
+            n = counts[w]
+            self.values[k] = math.log10((1 - self.new) * n / self.total + self.new * 10 ** lattice.word(w)), math.log10(n + 1) - self.below
+        ends = counts.get(END, 0)
+        self.end = (lattice.end, math.log10(ends + 1) - self.below, int(ends > 0))
+
+    def text(self, text: str | None):
+        """Tokens, known frequent tokens, their base score and score; rarer words with counts."""
+        words = words_of(text)
+        at = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        known = at[at >= 0]
+        score, base = self.values[known].sum(0)
+        rare = Counter([words[k] for k in np.flatnonzero(at < 0).tolist()]) if len(known) < len(at) else {}
+        return len(words) + 1, len(known) + self.end[2], float(base) + self.end[1], float(score) + self.end[0], rare
+
+
+def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, table_size: int = 50_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = documents.sparkSession
     shared = file_broadcast(spark, path)
@@ -190,25 +174,39 @@ def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "do
     top = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(table_size).collect()}
     if kinds:
         top.setdefault(END, counts.where(F.length("word") == 0).first()["n"])
-    sent = spark.sparkContext.broadcast((pieces, top))
-    schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:int,pieces:double>>".format(dict(rows.dtypes)["doc_id"])
-    pair = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32()), ("pieces", pa.float64())]))
+    lattice = Lattice(shared.value, pieces)
+    frequent = spark.sparkContext.broadcast(Scoring(lattice, top, total, kinds))
+    counts_sent = spark.sparkContext.broadcast(pieces)
+    schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:int>>".format(dict(rows.dtypes)["doc_id"])
+    pair = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
 
     def run(batches):
         gc.disable()
-        own = worker_state(broadcast_key("lattice", sent), lambda: Scoring(Lattice(shared.value, sent.value[0]), sent.value[1], total, kinds))
+        own = worker_state(broadcast_key("frequent", frequent), lambda: frequent.value)
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, known, base, found, rare, tf, by_pieces = (list(x) for x in zip(*own.texts(batch.column("text").to_pylist()), strict=True))
-                flat = pa.StructArray.from_arrays([pa.array([w for ws in rare for w in ws], pa.binary()), pa.array([x for xs in tf for x in xs], pa.int32()), pa.array([x for xs in by_pieces for x in xs], pa.float64())], names=["word", "tf", "pieces"])
+                n, known, base, found, rare = (list(x) for x in zip(*map(own.text, batch.column("text").to_pylist()), strict=True))
+                flat = pa.StructArray.from_arrays([pa.array([w for ws in rare for w in ws], pa.binary()), pa.array([x for ws in rare for x in ws.values()], pa.int32())], names=["word", "tf"])
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32)), flat).cast(pair)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(found), lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
+    def by_pieces(batches):
+        """Lattice scores of rare words; the join has brought equal words together, so each is
+        scored about once on the whole cluster."""
+        gc.disable()
+        own = worker_state(broadcast_key("lattice", counts_sent), lambda: Lattice(shared.value, counts_sent.value))
+        last: dict[bytes, float] = {}
+        for batch in batches:
+            coded = batch.column("word").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            last = {w: last[w] if w in last else own.word(w) for w in words}
+            scores = np.array([last[w] for w in words])[coded.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tf"), batch.column("n"), pa.array(scores, pa.float64())], names=["row", "tf", "n", "pieces"])
+
     done = work_table(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     new, most = (kinds / (total + kinds) if kinds else 1.0), math.log10(total + kinds + 1)
-    rare = done.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf", "r.pieces")
-    # with all words in the table, the rare ones were never met in training
-    met = rare.withColumn("n", F.lit(0).cast("long")) if kinds <= table_size else rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rare = done.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
+    met = rare.join(counts.hint("merge"), "word", "left").select("word", "row", "tf", F.coalesce("n", F.lit(0)).alias("n")).mapInArrow(by_pieces, "row long, tf int, n long, pieces double")
     own = F.when(F.col("n") > 0, F.log10((1 - new) / max(total, 1) * F.col("n") + new * F.pow(F.lit(10.0), F.col("pieces")))).otherwise(F.col("pieces") + math.log10(new))
     rest = met.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).cast("long").alias("more"),

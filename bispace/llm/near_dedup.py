@@ -8,8 +8,8 @@ Each shingle falls by hash into one of ``BINS`` bins; within a bin, improved con
 sampling draws one (shingle, quantised weight) pair, and an empty bin takes the draw of the next
 filled one, marked with its distance. Draws are banded (``BANDS`` x ``ROWS``).
 
-Candidates are met without pairs of all members: exact copies are one text; each member of a bucket
-is compared with the bucket's smallest id; and where members of a bucket still belong to different
+Candidates are met without pairs of all members: exact copies are one text; each text
+is compared with the smallest ids of the buckets that it shares most with; and where members of a bucket still belong to different
 classes, the rest of their comparisons is made exactly, block by block, between classes only.
 A candidate is a link if its weighted Jaccard similarity, computed from whole texts, is at least
 ``similarity``. Classes are connected components, found without collecting them.
@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
@@ -200,28 +200,41 @@ def _alike(a: str, b: str):
 
 
 def _rest(members: DataFrame, classes: DataFrame, draws: DataFrame, least: int) -> DataFrame:
-    """Pairs of members of one bucket that are in different classes and could be alike."""
+    """Pairs of members of one bucket that are in different classes and could be alike.
+
+    Only buckets that still hold several classes are read. Their members are cut into blocks of
+    about ``BLOCK``: those of the bucket's largest class apart from the others, since they needn't
+    meet each other. Pairs of blocks are dealt by block, so a large bucket is many small tasks.
+    """
     own = members.join(classes, members["rep"] == classes["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("class"))
     sizes = own.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-    sizes = sizes.join(mixed, "bucket")
-    blocks = own.join(sizes, ["bucket", "class"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-    blocks = blocks.join(draws, "rep").groupBy("bucket", "class", "block").agg(F.collect_list(F.struct("rep", "draws")).alias("m"))
-    blocks = work_table(blocks, "blocks")
-    left = blocks.select("bucket", F.col("class").alias("ca"), F.col("m").alias("ma"))
-    right = blocks.select("bucket", F.col("class").alias("cb"), F.col("m").alias("mb"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top")).where("k > 1")
+    at = own.join(mixed.select("bucket", "all", F.col("top.n").alias("n"), F.col("top.class").alias("main")), "bucket")
+    at = at.withColumn("side", (F.col("class") == F.col("main")).cast("int"))
+    held = F.when(F.col("side") == 1, F.col("n")).otherwise(F.col("all") - F.col("n"))
+    at = at.select("bucket", "rep", "class", "side", F.pmod(F.xxhash64("rep"), F.ceil(held / BLOCK)).alias("part")).join(draws, "rep")
+    blocks = at.groupBy("bucket", "side", "part").agg(F.collect_list(F.struct("rep", "class", "draws")).alias("m"))
+    blocks = work_table(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    left, right = (blocks.select("bucket", F.col("block").alias("block" + x), F.col("side").alias("side" + x)) for x in "ab")
+    met = left.join(right, "bucket").where("blocka <= blockb and not (sidea = 1 and sideb = 1)").select("blocka", "blockb")
+    for x in "ab":
+        met = met.join(blocks.select(F.col("block").alias("block" + x), F.col("m").alias("m" + x)), "block" + x)
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b = (batch.column(c)[k].as_py() for c in ("ma", "mb"))
-                da, db = (np.frombuffer(b"".join(x["draws"] for x in m), np.uint32).reshape(len(m), BINS) for m in (a, b))
+                (da, ca), (db, cb) = ((np.frombuffer(b"".join(x["draws"] for x in m), np.uint32).reshape(len(m), BINS), np.array([x["class"] for x in m])) for m in (a, b))
+                out = set()
                 for i, row in enumerate(da):
-                    for j in np.flatnonzero((db == row).sum(1) >= least).tolist():
+                    for j in np.flatnonzero((cb != ca[i]) & ((db == row).sum(1) >= least)).tolist():
                         x, y = a[i]["rep"], b[j]["rep"]
-                        yield pa.RecordBatch.from_arrays([pa.array([min(x, y)]), pa.array([max(x, y)])], names=["a", "b"])
+                        out.add((min(x, y), max(x, y)))
+                if out:
+                    x, y = zip(*sorted(out), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return left.join(right, "bucket").where("ca < cb").select("ma", "mb").mapInArrow(run, "a long, b long").distinct()
+    return met.select("ma", "mb").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
@@ -237,7 +250,10 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     shared = work_table(members.join(leads, "bucket"), "buckets")
     draws = reps.select("rep", "draws")
     least = int(BINS * (similarity - 0.3))  # five deviations of the estimate below
-    pairs = shared.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    # first each text with the two leads that share most of its buckets; what that leaves is _rest
+    pairs = shared.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "lead"))
+    pairs = pairs.withColumn("r", best).where("r <= 2").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     near = pairs.join(draws.select(F.col("rep").alias("a"), F.col("draws").alias("da")), "a").join(draws.select(F.col("rep").alias("b"), F.col("draws").alias("db")), "b")
     near = work_table(near.where(_alike("da", "db") >= least).select("a", "b"), "pairs")
     links = work_table(_verified(near, source, weights, similarity), "links")
