@@ -1,11 +1,345 @@
-"""Queries of the engine's own operators over the driver's tables, and their SQL."""
+"""Queries of the engine's own operators over the driver's whole tables, each with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bispace.functions.stats import benjamini_hochberg
+from bispace.operators import cells, neighbours, receptors, sequences
+from bispace.operators.components import connected_components
+from bispace.sources import adapters
+
+FRACTION = 0.1
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+# ---- SQL fragments shared by the oracles -------------------------------------------------------
+NODES = """nodes AS (SELECT vec_id AS id, CAST(embedding[1:32] AS DOUBLE[]) AS gex, CAST(embedding[33:64] AS DOUBLE[]) AS tcr,
+ CAST(label AS BIGINT) AS cg, CAST((label + vec_id % 3) % 10 AS BIGINT) AS ct, vec_id // 2 AS ag, vec_id % 250 AS bg FROM embeddings)"""
+SAME = "same AS (SELECT id, count(*) OVER (PARTITION BY ag) + count(*) OVER (PARTITION BY bg) - count(*) OVER (PARTITION BY ag, bg) AS same FROM nodes)"
+
+
+def _knn(space: str, k: str = "greatest(1, CAST(floor(0.1 * (SELECT count(*) FROM nodes)) AS BIGINT))") -> str:
+    return f"""knn_{space} AS (SELECT src, dst, dist, rank FROM (SELECT a.id AS src, b.id AS dst, round(list_distance(a.{space}, b.{space}), 9) AS dist,
+ row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.{space}, b.{space}), 9), b.id) AS rank
+ FROM nodes a JOIN nodes b ON a.ag <> b.ag AND a.bg <> b.bg) WHERE rank <= {k})"""
+
+
+def _tail(o: str, p: str, a: str, b: str) -> str:
+    c = lambda n, k: f"(lgamma({n}+1.0)-lgamma({k}+1.0)-lgamma({n}-({k})+1.0))"
+    low = f"greatest({o}, {a}+{b}-{p}, 0)"
+    term = f"exp((CASE WHEN j = j THEN {c(a, 'j')} END) + {c(f'({p}-{a})', f'({b}-j)')} - {c(p, b)})"
+    lists = f"list_sum(list_transform(range({low}, least({a}, {b}) + 1), lambda j: {term}))"
+    return f"coalesce(least(1.0, {lists}), 0.0)"
+
+
+def _two_step(a: str, b: str) -> str:
+    return f"""first AS (SELECT *, CASE WHEN o > 0 AND o > {a} * {b} / p THEN n * {_tail('o', 'p', a, b)} ELSE n END AS p1 FROM t),
+ done AS (SELECT id, o, greatest(1e-100, CASE WHEN p1 <= 1.0 AND g < o THEN n * {_tail('g', 'p', f'({a}-(o-g))', f'({b}-(o-g))')} ELSE p1 END) AS p_adj FROM first)"""
+
+
+GVG = f"""WITH {NODES}, {_knn('gex')}, {_knn('tcr')}, {SAME},
+ hit AS (SELECT g.src AS id, count(*) AS o, least(count(DISTINCT n.ag), count(DISTINCT n.bg)) AS g FROM knn_gex g JOIN knn_tcr t USING (src, dst) JOIN nodes n ON n.id = g.dst GROUP BY g.src),
+ ka AS (SELECT src AS id, count(*) AS a FROM knn_gex GROUP BY 1), kb AS (SELECT src AS id, count(*) AS b FROM knn_tcr GROUP BY 1),
+ t AS (SELECT s.id, coalesce(o, 0) AS o, coalesce(g, 0) AS g, coalesce(a, 0) AS a, coalesce(b, 0) AS b, (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM nodes) - same AS p
+  FROM same s LEFT JOIN hit USING (id) LEFT JOIN ka USING (id) LEFT JOIN kb USING (id)), {_two_step('a', 'b')}"""
+
+
+def _log10(p: Column) -> Column:
+    return F.round(F.log10(F.greatest(p, F.lit(1e-100))), 4)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _graph(spark: SparkSession, sf_dir: str, *spaces: str) -> tuple:
+    n = adapters.nodes(spark, sf_dir)
+    k = max(1, int(FRACTION * n.count()))
+    return n, *(neighbours.exclusion_knn(n, s, k) for s in spaces)
+
+
+def _edges(e: DataFrame) -> DataFrame:
+    return e.select("src", "dst", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+# ---- graphs ------------------------------------------------------------------------------------
+_EDGE = "SELECT src, dst, round(dist, 6) AS dist, rank FROM knn_"
+
+
+@query(f"WITH {NODES}, {_knn('gex')} {_EDGE}gex")
+def knn_gex(spark, sf_dir):
+    return _edges(_graph(spark, sf_dir, "gex")[1])
+
+
+@query(f"WITH {NODES}, {_knn('tcr')} {_EDGE}tcr")
+def knn_tcr(spark, sf_dir):
+    return _edges(_graph(spark, sf_dir, "tcr")[1])
+
+
+@query(f"WITH {NODES}, {_knn('gex')}, f AS (SELECT unnest([0.01::DOUBLE, 0.1::DOUBLE]) AS frac) SELECT frac, src, count(*) AS k, round(max(dist), 6) AS reach FROM knn_gex, f WHERE rank <= greatest(1, floor(frac * (SELECT count(*) FROM nodes))) GROUP BY ALL")
+def knn_multi_frac(spark, sf_dir):
+    n, e = _graph(spark, sf_dir, "gex")
+    count = n.count()
+    parts = [e.where(F.col("rank") <= max(1, int(f * count))).groupBy("src").agg(F.count("*").alias("k"), F.round(F.max("dist"), 6).alias("reach")).withColumn("frac", F.lit(f)) for f in (0.01, 0.1)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"""WITH {NODES}, {_knn('gex')}, k AS (SELECT *, max(rank) OVER (PARTITION BY src) AS k FROM knn_gex),
+ w AS (SELECT *, CASE WHEN k > 1 THEN 1 + (1.0 / k - 1) * (rank - 1) / (k - 1) ELSE 1.0 END AS w FROM k) SELECT src AS id, round(sum(w * dist) / sum(w), 6) AS nndist FROM w GROUP BY src""")
+def nn_density(spark, sf_dir):
+    return neighbours.neighbour_density(_graph(spark, sf_dir, "gex")[1]).select("id", F.round("nndist", 6).alias("nndist"))
+
+
+@query(GVG + " SELECT id, o AS overlap FROM done")
+def graph_overlap(spark, sf_dir):
+    n, a, b = _graph(spark, sf_dir, "gex", "tcr")
+    return neighbours.overlap(a, b, n).select("id", "overlap")
+
+
+@query(GVG + " SELECT id, o AS overlap, round(log10(p_adj), 4) AS log_p FROM done")
+def graph_vs_graph_score(spark, sf_dir):
+    n, a, b = _graph(spark, sf_dir, "gex", "tcr")
+    return neighbours.graph_vs_graph(a, b, n).select("id", "overlap", _log10(F.col("p_adj")).alias("log_p"))
+
+
+_GVC = f"""WITH {NODES}, {_knn('gex')}, {SAME},
+ size AS (SELECT id, count(*) OVER (PARTITION BY cg) - count(*) OVER (PARTITION BY cg, ag) - count(*) OVER (PARTITION BY cg, bg) + count(*) OVER (PARTITION BY cg, ag, bg) AS b FROM nodes),
+ hit AS (SELECT src AS id, count(*) AS o, least(count(DISTINCT d.ag), count(DISTINCT d.bg)) AS g FROM knn_gex JOIN nodes s ON s.id = src JOIN nodes d ON d.id = dst WHERE s.cg = d.cg GROUP BY src),
+ ka AS (SELECT src AS id, count(*) AS a FROM knn_gex GROUP BY 1),
+ t AS (SELECT s.id, coalesce(o, 0) AS o, coalesce(g, 0) AS g, coalesce(a, 0) AS a, b, (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM nodes) - same AS p
+  FROM same s JOIN size USING (id) LEFT JOIN hit USING (id) LEFT JOIN ka USING (id)), {_two_step('a', 'b')} SELECT id, o AS overlap, round(log10(p_adj), 4) AS log_p FROM done"""
+
+
+@query(_GVC)
+def graph_vs_cluster(spark, sf_dir):
+    n, e = _graph(spark, sf_dir, "gex")
+    return neighbours.graph_vs_cluster(e, n, "cg").select("id", "overlap", _log10(F.col("p_adj")).alias("log_p"))
+
+
+@query(GVG + """, m AS (SELECT id, p_adj / (SELECT count(*) FROM nodes) AS p, rank() OVER (ORDER BY p_adj DESC) AS r FROM done),
+ q AS (SELECT id, p, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS q FROM m) SELECT id, round(log10(greatest(1e-100, least(1.0, min(q) OVER (ORDER BY p DESC)))), 4) AS log_fdr FROM q""")
+def bh_fdr(spark, sf_dir):
+    n, a, b = _graph(spark, sf_dir, "gex", "tcr")
+    p = neighbours.graph_vs_graph(a, b, n).select("id", (F.col("p_adj") / n.count()).alias("p"))
+    return benjamini_hochberg(p, "p").select("id", _log10(F.col("fdr")).alias("log_fdr"))
+
+
+@query(f"WITH {NODES}, {_knn('gex')}, d AS (SELECT id, count(dst) AS d FROM nodes LEFT JOIN knn_gex ON dst = id GROUP BY id) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(var_samp(d), 6) AS variance, max(d) AS most FROM d")
+def graph_indegree_stats(spark, sf_dir):
+    n, e = _graph(spark, sf_dir, "gex")
+    d = neighbours.indegree(e, n)
+    return d.agg(F.count("*").alias("n"), F.round(F.avg("indegree"), 6).alias("mean"), F.round(F.var_samp("indegree"), 6).alias("variance"), F.max("indegree").alias("most"))
+
+
+_LONG = "vals AS (SELECT id, unnest(range(1, 33)) AS feature, unnest(tcr) AS value FROM nodes)"
+
+
+def _values(n: DataFrame) -> DataFrame:
+    return n.select("id", F.posexplode("tcr").alias("p", "value")).select("id", (F.col("p") + 1).cast("long").alias("feature"), "value")
+
+
+@query(f"""WITH {NODES}, {_knn('gex')}, {_LONG}, stat AS (SELECT feature, avg(value) AS m, var_pop(value) AS v FROM vals GROUP BY 1),
+ h AS (SELECT a.feature, sum(a.value * b.value) AS xx, sum(b.value) AS xin FROM knn_gex JOIN vals a ON a.id = src JOIN vals b ON b.id = dst AND b.feature = a.feature GROUP BY 1),
+ e AS (SELECT sum(CASE WHEN r.src IS NULL THEN 1 ELSE 2 END) AS v FROM knn_gex k LEFT JOIN knn_gex r ON r.src = k.dst AND r.dst = k.src)
+ SELECT feature, round(CASE WHEN stat.v = 0 THEN 0 ELSE (xx - m * xin) / greatest(1e-9, stat.v) / sqrt(e.v) END, 4) AS z FROM h JOIN stat USING (feature), e""")
+def hotspot_z(spark, sf_dir):
+    n, e = _graph(spark, sf_dir, "gex")
+    return neighbours.hotspot(e, _values(n)).select("feature", F.round("z", 4).alias("z"))
+
+
+@query(f"""WITH {NODES}, {_knn('gex', '10')}, {_LONG}, closed AS (SELECT src, dst FROM knn_gex UNION ALL SELECT id, id FROM nodes),
+ fg AS (SELECT src AS id, feature, count(*) AS n, sum(value) AS s, sum(value * value) AS ss FROM closed JOIN vals ON vals.id = dst GROUP BY ALL),
+ al AS (SELECT feature, count(*) AS m, sum(value) AS t, sum(value * value) AS tt FROM vals GROUP BY 1)
+ SELECT fg.id, feature, n AS n_fg, round((s / n - (t - s) / (m - n)) / sqrt(greatest(1e-12, ss / n - (s / n) * (s / n)) / n + greatest(1e-12, (tt - ss) / (m - n) - ((t - s) / (m - n)) * ((t - s) / (m - n))) / (m - n)), 5) AS t
+ FROM fg JOIN al USING (feature) WHERE n >= 3 AND m > n""")
+def welch_t(spark, sf_dir):
+    n = adapters.nodes(spark, sf_dir)
+    return neighbours.neighbourhood_moments(neighbours.exclusion_knn(n, "gex", 10), _values(n)).select("id", "feature", "n_fg", F.round("t", 5).alias("t"))
+
+
+@query(f"""WITH {NODES}, {_LONG}, r AS (SELECT feature, n.cg = 0 AS f, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM vals JOIN nodes n USING (id))
+ SELECT feature, CAST(sum(f::INT) AS BIGINT) AS n1, count(*) - CAST(sum(f::INT) AS BIGINT) AS n2, CAST(round(sum(CASE WHEN f THEN r ELSE 0 END) - sum(f::INT) * (sum(f::INT) + 1) / 2.0, 1) AS DOUBLE) AS u FROM r GROUP BY 1""")
+def mwu_u_statistic(spark, sf_dir):
+    n = adapters.nodes(spark, sf_dir)
+    rows = _values(n).join(n.select("id", (F.col("cg") == 0).alias("f")), "id")
+    return neighbours.mann_whitney_u(rows, ["feature"], "f", "value").select("feature", "n1", "n2", F.round("u", 1).alias("u"))
+
+
+@query(f"WITH {NODES}, {_knn('gex')}, s AS (SELECT src AS id, sum(n.tcr[1]) AS s, count(*) AS k FROM knn_gex JOIN nodes n ON n.id = dst GROUP BY 1) SELECT id, round((tcr[1] + coalesce(s, 0)) / (coalesce(k, 0) + 1), 6) AS avg FROM nodes LEFT JOIN s USING (id)")
+def nbr_average(spark, sf_dir):
+    n, e = _graph(spark, sf_dir, "gex")
+    return neighbours.neighbour_average(e, n.select("id", F.col("tcr")[0].alias("value"))).select("id", F.round("avg", 6).alias("avg"))
+
+
+@query(f"""WITH RECURSIVE {NODES}, {_knn('gex', '2')}, link AS (SELECT src AS a, dst AS b FROM knn_gex UNION SELECT dst, src FROM knn_gex),
+ reach AS (SELECT a AS node, a AS c FROM link UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.node) SELECT node, min(c) AS component FROM reach GROUP BY node""")
+def components_nearest(spark, sf_dir):
+    n = adapters.nodes(spark, sf_dir)
+    return connected_components(neighbours.exclusion_knn(n, "gex", 2)).select("node", "component")
+
+
+# ---- cells and features ------------------------------------------------------------------------
+CELLS = "counts AS (SELECT l_orderkey AS cell, l_suppkey AS feature, l_quantity AS value FROM lineitem)"
+ONE = "one AS (SELECT cell, feature, sum(value) AS value FROM counts GROUP BY ALL), x AS (SELECT cell, feature, ln(1 + value * 10000.0 / sum(value) OVER (PARTITION BY cell)) AS x FROM one)"
+
+
+@query(f"""WITH {CELLS}, e AS (SELECT cell FROM counts GROUP BY 1 HAVING count(DISTINCT feature) >= 2), k AS (SELECT * FROM counts WHERE cell IN (FROM e)),
+ f AS (SELECT feature FROM k GROUP BY 1 HAVING count(DISTINCT cell) >= 3), g AS (SELECT * FROM k WHERE feature IN (FROM f))
+ SELECT cell, count(DISTINCT feature) AS n_features, sum(value) AS total, round(sum(CASE WHEN feature % 10 = 0 THEN value ELSE 0 END) / sum(value), 9) AS mito_share FROM g GROUP BY 1
+ HAVING count(DISTINCT feature) < 7 AND sum(CASE WHEN feature % 10 = 0 THEN value ELSE 0 END) / sum(value) < 0.5""")
+def qc_filter(spark, sf_dir):
+    kept = cells.qc_filter(adapters.cell_gene(spark, sf_dir), F.col("feature") % 10 == 0, 2, 7, 0.5, 3)
+    return kept.select("cell", "n_features", "total", F.round("mito_share", 9).alias("mito_share"))
+
+
+@query(f"WITH {CELLS}, {ONE} SELECT cell, feature, round(x, 6) AS x FROM x")
+def normalize_log1p(spark, sf_dir):
+    return cells.normalize_log1p(adapters.cell_gene(spark, sf_dir)).select("cell", "feature", F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH {CELLS}, {ONE}, n AS (SELECT CAST(count(DISTINCT cell) AS DOUBLE) AS n FROM counts), s AS (SELECT feature, sum(exp(x) - 1) AS s, sum((exp(x) - 1) * (exp(x) - 1)) AS ss FROM x GROUP BY 1)
+ SELECT feature, round(ln(1 + s / n), 6) AS mean, round(ln((ss - n * (s / n) * (s / n)) / (n - 1) / (s / n)), 6) AS dispersion FROM s, n""")
+def hvg_dispersion(spark, sf_dir):
+    counts = adapters.cell_gene(spark, sf_dir)
+    done = cells.dispersion(cells.normalize_log1p(counts), counts.select("cell").distinct().count())
+    return done.select("feature", F.round("mean", 6).alias("mean"), F.round("dispersion", 6).alias("dispersion"))
+
+
+@query(f"""WITH {NODES}, d AS (SELECT a.bg AS clone, a.id AS cell, sum(list_distance(a.gex, b.gex)) AS total, avg(list_distance(a.gex, b.gex) ** 2) AS d2, count(*) AS size FROM nodes a JOIN nodes b USING (bg) GROUP BY ALL)
+ SELECT clone, cell, size, round(sqrt(d2), 6) AS variation FROM d QUALIFY row_number() OVER (PARTITION BY clone ORDER BY round(total, 9), cell) = 1""")
+def clone_medoid(spark, sf_dir):
+    n = adapters.nodes(spark, sf_dir).select(F.col("bg").alias("clone"), F.col("id").alias("cell"), F.col("gex").alias("v"))
+    return cells.clone_medoid(n).select("clone", "cell", "size", F.round("variation", 6).alias("variation"))
+
+
+@query("SELECT user_id AS clone, event_type AS batch, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 9) AS frequency FROM events GROUP BY user_id, event_type")
+def batch_frequency(spark, sf_dir):
+    return cells.batch_frequency(adapters.batches(spark, sf_dir)).select("clone", "batch", "n", F.round("frequency", 9).alias("frequency"))
+
+
+@query(f"WITH {NODES}, n AS (SELECT cg AS a, ct AS b, least(count(DISTINCT ag), count(DISTINCT bg)) AS n FROM nodes GROUP BY ALL) SELECT a, b, n, CAST(sum(n) OVER (PARTITION BY a) AS BIGINT) AS margin_a, CAST(sum(n) OVER (PARTITION BY b) AS BIGINT) AS margin_b FROM n")
+def cluster_contingency(spark, sf_dir):
+    return cells.cluster_contingency(adapters.nodes(spark, sf_dir).select(F.col("cg").alias("a"), F.col("ct").alias("b"), "ag", "bg"))
+
+
+@query("SELECT DISTINCT p_brand, p_type, dense_rank() OVER (ORDER BY p_brand, p_type) - 1 AS group_id FROM part")
+def chain_group_ids(spark, sf_dir):
+    return cells.dense_group_ids(adapters.table(spark, sf_dir, "part").select("p_brand", "p_type"), ["p_brand", "p_type"], "group_id").distinct().withColumn("group_id", F.col("group_id").cast("long"))
+
+
+# ---- receptors ---------------------------------------------------------------------------------
+CONTIGS = """contigs AS (SELECT o_custkey AS clone, l_orderkey AS barcode, CASE WHEN l_linenumber % 2 = 1 THEN 'A' ELSE 'B' END AS ab, concat_ws('|', p_brand, p_type, p_name) AS chain,
+ CAST(l_quantity AS BIGINT) AS umis, l_linestatus = 'O' AS productive FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+ umis AS (SELECT clone, ab, chain, CAST(sum(umis) AS BIGINT) AS umis FROM contigs WHERE productive GROUP BY ALL),
+ top AS (SELECT *, row_number() OVER (PARTITION BY clone, ab ORDER BY umis DESC, chain) AS rank FROM umis),
+ size AS (SELECT clone, count(DISTINCT barcode) AS clone_size FROM contigs GROUP BY 1)"""
+
+
+@query(f"WITH {CONTIGS} SELECT clone, ab, chain, umis, rank FROM top WHERE rank <= 2")
+def top_chain_per_clone(spark, sf_dir):
+    return receptors.top_chains(receptors.chain_umis(adapters.contigs(spark, sf_dir)), 2).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {CONTIGS}, c AS (SELECT clone, max(chain) FILTER (ab = 'A' AND rank = 1) AS chain_a, max(chain) FILTER (ab = 'A' AND rank = 2) AS chain_a2, max(chain) FILTER (ab = 'B' AND rank = 1) AS chain_b,
+ count(*) FILTER (ab = 'A') AS num_alphas, count(*) FILTER (ab = 'B') AS num_betas FROM top GROUP BY 1) SELECT clone, chain_a, chain_a2, chain_b, num_alphas, num_betas, clone_size FROM c JOIN size USING (clone) WHERE chain_a IS NOT NULL AND chain_b IS NOT NULL""")
+def clone_table(spark, sf_dir):
+    return receptors.clone_table(adapters.contigs(spark, sf_dir))
+
+
+@query(f"WITH {CONTIGS} SELECT a.chain AS chain_a, b.chain AS chain_b, CAST(sum(clone_size) AS BIGINT) AS cells FROM umis a JOIN umis b USING (clone) JOIN size USING (clone) WHERE a.ab = 'A' AND b.ab = 'B' GROUP BY ALL")
+def pairing_counts(spark, sf_dir):
+    return receptors.pairing_counts(adapters.contigs(spark, sf_dir))
+
+
+@query(f"WITH {CONTIGS} SELECT clone || '-' || s AS clone, s AS batch, count(*) AS n, count(DISTINCT barcode) AS barcodes FROM contigs, (SELECT unnest([0, 1]) AS s) WHERE (s = 0) = productive GROUP BY ALL")
+def merge_samples_union(spark, sf_dir):
+    c = adapters.contigs(spark, sf_dir)
+    return receptors.merge_samples([c.where("productive"), c.where("not productive")]).groupBy("clone", "batch").agg(F.count("*").alias("n"), F.countDistinct("barcode").alias("barcodes"))
+
+
+# ---- sequences ---------------------------------------------------------------------------------
+_LETTERS = "regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
+SEQ = f"""seqs AS (SELECT doc_id AS id, source AS v, substring({_LETTERS}, 1, 12 + doc_id % 5) AS seq FROM documents WHERE length(substring({_LETTERS}, 1, 12 + doc_id % 5)) >= 12),
+ db AS (SELECT item_id AS id, substring({_LETTERS}, 1, 12 + item_id % 5) AS seq FROM benchmark WHERE length({_LETTERS}) >= 12),
+ aa AS (SELECT a, b, CASE WHEN a = b THEN 0 ELSE coalesce(d, 4) END AS d FROM (SELECT unnest(string_split('{sequences.ALPHABET}', '')) AS a), (SELECT unnest(string_split('{sequences.ALPHABET}', '')) AS b)
+  LEFT JOIN (VALUES {', '.join(f"('{p[0]}', '{p[1]}', {d})" for q, d in sequences.CLOSE.items() for p in (q, q[::-1]))}) AS z(x, y, d) ON x = a AND y = b)"""
+
+
+def _radius(left: str, right: str, r: int) -> str:
+    return f"""p AS (SELECT a.id AS i, b.id AS j, a.seq AS s, b.seq AS t, least(length(a.seq), length(b.seq)) AS m, length(a.seq) AS ls, length(b.seq) AS lt FROM {left} a JOIN {right} b ON abs(length(a.seq) - length(b.seq)) * 12 <= {r}),
+ g AS (SELECT *, least(6, 3 + (m - 5) // 2) AS g FROM p),
+ k AS (SELECT i, j, ls, lt, unnest(range(4, m - 1)) AS k, s, t, g FROM g),
+ h AS (SELECT i, j, ls, lt, CASE WHEN k <= g THEN s[k] ELSE s[ls - least(ls, lt) + k] END AS x, CASE WHEN k <= g THEN t[k] ELSE t[lt - least(ls, lt) + k] END AS y FROM k),
+ matches AS (SELECT i, j, CAST(3 * sum(d) + 12 * abs(any_value(ls) - any_value(lt)) AS BIGINT) AS d FROM h JOIN aa ON aa.a = x AND aa.b = y GROUP BY i, j HAVING 3 * sum(d) + 12 * abs(any_value(ls) - any_value(lt)) <= {r})"""
+
+
+@query(f"WITH {SEQ}, {_radius('seqs', 'db', 72)} SELECT i, j, d FROM matches")
+def radius_matches(spark, sf_dir):
+    m = sequences.radius_join(adapters.sequences(spark, sf_dir), adapters.database(spark, sf_dir), 72)
+    return m.withColumn("d", F.col("d").cast("long"))
+
+
+@query(f"WITH {SEQ}, {_radius('seqs', 'db', 96)} SELECT count(*) AS matches, count(DISTINCT i) AS n_left, count(DISTINCT j) AS n_right, round(sum(exp(-d * d / 2304.0)), 4) AS soft FROM matches")
+def match_count_score(spark, sf_dir):
+    m = sequences.radius_join(adapters.sequences(spark, sf_dir), adapters.database(spark, sf_dir), 96)
+    return sequences.match_score(m, 48.0).withColumn("soft", F.round("soft", 4))
+
+
+_BG = """a AS (SELECT i AS id, d, count(*) AS n FROM matches WHERE d <= 96 GROUP BY ALL), conv AS (SELECT x.id, x.d + y.d AS dist, sum(x.n * y.n) AS n FROM a x JOIN a y USING (id) WHERE x.d + y.d <= 96 GROUP BY ALL),
+ bg AS (SELECT id, dist, greatest(0.25, sum(n) OVER (PARTITION BY id ORDER BY dist)) / 1e6 AS freq FROM conv)"""
+
+
+@query(f"WITH {SEQ}, {_radius('seqs', 'db', 96)}, {_BG} SELECT id, CAST(dist AS BIGINT) AS dist, round(CAST(freq AS DOUBLE) * 1e6, 6) AS freq_ppm FROM bg")
+def background_convolution(spark, sf_dir):
+    m = sequences.radius_join(adapters.sequences(spark, sf_dir), adapters.database(spark, sf_dir), 96)
+    return sequences.background(m, m, 1_000_000, 96).select("id", F.col("dist").cast("long").alias("dist"), F.round(F.col("freq") * 1e6, 6).alias("freq_ppm"))
+
+
+_DB = f"substring({_LETTERS}, 1, 5)"
+
+
+@query(f"WITH q AS (SELECT {_DB} AS seq, doc_id AS id FROM documents), g AS (SELECT seq, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM q GROUP BY 1) SELECT item_id, g.seq, ids FROM (SELECT item_id, {_DB} AS seq FROM benchmark) b JOIN g USING (seq)")
+def strict_match(spark, sf_dir):
+    head = F.substring(adapters.letters("text"), 1, 5)
+    db = adapters.table(spark, sf_dir, "benchmark").select("item_id", head.alias("seq"))
+    return sequences.strict_match(db, adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), head.alias("seq")), "seq")
+
+
+@query(f"WITH {SEQ} SELECT id, seq FROM db UNION ALL SELECT id, seq FROM seqs WHERE seq NOT IN (SELECT seq FROM db)")
+def anti_merge(spark, sf_dir):
+    return sequences.anti_merge(adapters.database(spark, sf_dir), adapters.sequences(spark, sf_dir).select("id", "seq"), "seq").select("id", "seq")
+
+
+@query(f"WITH {SEQ} SELECT id, letter, count(*) AS n FROM (SELECT id, unnest(string_split(seq, '')) AS letter FROM seqs) GROUP BY ALL")
+def letter_counts(spark, sf_dir):
+    return sequences.letter_counts(adapters.sequences(spark, sf_dir))
+
+
+@query(f"WITH {SEQ}, n AS (SELECT pos, letter, count(*) AS n FROM (SELECT unnest(range(0, 12)) AS pos, unnest(string_split(seq, '')) AS letter FROM seqs WHERE length(seq) = 12) GROUP BY ALL) SELECT CAST(pos AS INT) AS pos, letter, round(n / sum(n) OVER (PARTITION BY pos), 9) AS freq FROM n")
+def pwm(spark, sf_dir):
+    return sequences.pwm(adapters.sequences(spark, sf_dir).where("length(seq) = 12")).select("pos", "letter", F.round("freq", 9).alias("freq"))
+
+
+@query(f"""WITH {SEQ}, w AS (SELECT 'B' || substring(seq, 4, length(seq) - 5) || 'Z' AS s FROM seqs), k AS (SELECT s, unnest(range(1, length(s) + 1)) AS k FROM w),
+ g AS (SELECT s, k, x, y FROM k, (SELECT unnest([1, 2, 3]) AS x), (SELECT unnest([1, 2, 3]) AS y) WHERE k + x + y <= length(s))
+ SELECT s[k] || repeat('.', x - 1) || s[k + x] || repeat('.', y - 1) || s[k + x + y] AS core, count(*) AS n FROM g GROUP BY 1""")
+def motif_core_counts(spark, sf_dir):
+    return sequences.motif_cores(adapters.sequences(spark, sf_dir))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
