@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from bispace.llm.common import file_broadcast, worker_state
+from bispace.llm.common import broadcast_key, file_broadcast, worker_state
 
 #: The pre-tokenizer's pattern and White_Space, as the vocabulary's library has them.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
@@ -214,7 +214,7 @@ def id_lists(encoded: list[bytes]) -> pa.ListArray:
 
 def codec(broadcast) -> Codec:
     gc.disable()  # the walk makes many small objects and no cycles
-    return worker_state(("bpe", broadcast.id if hasattr(broadcast, "id") else id(broadcast)), lambda: Codec(broadcast.value))
+    return worker_state(broadcast_key("bpe", broadcast), lambda: Codec(broadcast.value))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bispace.llm.common import file_broadcast, worker_state
+from bispace.llm.common import broadcast_key, file_broadcast, worker_state
 
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -99,7 +99,7 @@ def format_conversations(conversations: DataFrame, path: str, loss_role: str = "
     )
 
     def run(batches):
-        tokenizer = worker_state(("chat", shared.id if hasattr(shared, "id") else id(shared)), lambda: _tokenizer(shared.value))
+        tokenizer = worker_state(broadcast_key("chat", shared), lambda: _tokenizer(shared.value))
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 turns = [[(t["role"] or "", t["text"] or "") for t in ts] for ts in part.column("turns").to_pylist()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,10 +16,10 @@ _STATE: dict = {}
 
 
 def worker_state(key, build: Callable):
-    """Value kept for the life of a Python worker (models inflated from a broadcast)."""
+    """Value kept in a Python worker (a model inflated from a broadcast); the oldest give way."""
     if key not in _STATE:
-        if len(_STATE) > 8:
-            _STATE.clear()
+        while len(_STATE) >= 3:
+            del _STATE[next(iter(_STATE))]
         _STATE[key] = build()
     return _STATE[key]
 
@@ -104,13 +105,24 @@ def crc_mod(column, modulus: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def file_broadcast(spark, path: str):
-    """The bytes of a small local file (a tokenizer, a few MB) as a broadcast; the path is the driver's."""
+class Shared:
+    """A broadcast with a key of its own, so that a worker never takes another one's state for it."""
+
+    def __init__(self, spark, value):
+        self.key, self._sent = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self._sent.value
+
+
+def file_broadcast(spark, path: str) -> Shared:
+    """The bytes of a small local file (a tokenizer, a few MB); the path is the driver's."""
     with open(path, "rb") as f:
         data = f.read()
     if len(data) > 64 << 20:
         raise ValueError(f"{path}: {len(data)} bytes; tokenizer files of at most 64 MB are broadcast")
-    return spark.sparkContext.broadcast(data)
+    return Shared(spark, data)
 
 
 def ddl(df: DataFrame, columns: list[str]) -> str:
@@ -118,5 +130,5 @@ def ddl(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{c}`" for c in columns]).schema)
 
 
-def broadcast_key(name: str, broadcast) -> tuple:
-    return (name, getattr(broadcast, "id", None) or id(broadcast))
+def broadcast_key(name: str, shared: Shared) -> tuple:
+    return name, shared.key

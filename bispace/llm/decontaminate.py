@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import broadcast_key, ddl, mix64, word_hashes, worker_state
+from bispace.llm.common import Shared, broadcast_key, ddl, mix64, word_hashes, worker_state
 
 #: Word positions that each mask compares.
 MASKS = ("1110111", "11010111", "110110011", "101110011", "11110")
@@ -128,7 +128,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", i
     columns, names = ddl(out, out.columns), out.columns
     for k in range(n_slices):
         part = items if n_slices == 1 else items.where(F.pmod(F.xxhash64("i", "w"), F.lit(n_slices)) == k)
-        sent = spark.sparkContext.broadcast([(r["i"], bytes(r["w"])) for r in part.select("i", "w").orderBy("i", "w").collect()])
+        sent = Shared(spark, [(r["i"], bytes(r["w"])) for r in part.select("i", "w").orderBy("i", "w").collect()])
 
         def run(batches, sent=sent):
             index = worker_state(broadcast_key("leaks", sent), lambda: Index(sent.value, min_words, similarity, min_item))

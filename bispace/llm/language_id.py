@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import broadcast_key, ddl, mix64, worker_state
+from bispace.llm.common import Shared, broadcast_key, ddl, mix64, worker_state
 
 ORDER, ALPHABET, CACHE_ENTRIES, LONGEST_KEPT = 4, 65_536, 400_000, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -190,7 +190,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     for r in counted.groupBy("l", "w").agg(F.sum("n").alias("n")).collect():
         words[r["l"]][0].append(r["w"]), words[r["l"]][1].append(r["n"])
     scorer = Scorer({l: Model(*(list(x) for x in zip(*sorted(zip(w, c, strict=True)), strict=True))) for l, (w, c) in words.items() if w})
-    sent = labelled.sparkSession.sparkContext.broadcast(scorer)
+    sent = Shared(labelled.sparkSession, scorer)
 
     def measure(batches):
         own = sent.value
@@ -216,7 +216,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 
 def identify(documents: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     """``documents`` with ``lang_pred``, ``score`` (0 to 1), ``rejected`` and ``entropy`` (nats a character)."""
-    sent = documents.sparkSession.sparkContext.broadcast(scorer)
+    sent = Shared(documents.sparkSession, scorer)
     keep = [c for c in documents.columns if c not in {"lang_pred", "score", "rejected", "entropy"}]
 
     def run(batches):

@@ -142,8 +142,10 @@ def scan_licenses(documents: DataFrame, text: str = "text", sentences: dict[str,
     added = ["sentence_ids", "licenses", "fragments"]
     keep = [c for c in documents.columns if c not in added]
 
+    key = repr((sorted(sentences.items()), rules))
+
     def run(batches):
-        own = worker_state(("licences", tuple(sentences), len(rules)), lambda: Scanner(sentences, rules))
+        own = worker_state(("licences", key), lambda: Scanner(sentences, rules))
         for whole in batches:
             for batch in slices(whole, text):
                 ids = [own.sentences(t or "") for t in batch.column(text).to_pylist()]

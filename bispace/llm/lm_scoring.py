@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import broadcast_key, crc_mod, file_broadcast, worker_state
+from bispace.llm.common import Shared, broadcast_key, crc_mod, file_broadcast, worker_state
 from bispace.session import work_table
 
 HELD_WORDS, ALPHA = 300_000, 0.1
@@ -175,8 +175,8 @@ def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "do
     if kinds:
         top.setdefault(END, counts.where(F.length("word") == 0).first()["n"])
     lattice = Lattice(shared.value, pieces)
-    frequent = spark.sparkContext.broadcast(Scoring(lattice, top, total, kinds))
-    counts_sent = spark.sparkContext.broadcast(pieces)
+    frequent = Shared(spark, Scoring(lattice, top, total, kinds))
+    counts_sent = Shared(spark, pieces)
     schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:int>>".format(dict(rows.dtypes)["doc_id"])
     pair = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
 

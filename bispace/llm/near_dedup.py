@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import broadcast_key, mix64, shingle_hashes, word_hashes, worker_state
+from bispace.llm.common import Shared, broadcast_key, mix64, shingle_hashes, word_hashes, worker_state
 from bispace.operators.components import connected_components
 from bispace.session import work_table
 
@@ -241,7 +241,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     """(doc_id, class_id, kept): class_id is the smallest doc_id of a class, which is kept."""
     spark = documents.sparkSession
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    weights = spark.sparkContext.broadcast(_frequencies(source.select("text")))
+    weights = Shared(spark, _frequencies(source.select("text")))
     signed = work_table(_signatures(source, weights), "signatures")
     reps = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("draws").alias("draws"), F.first("buckets").alias("buckets"))
     reps = work_table(reps, "texts")

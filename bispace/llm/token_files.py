@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import codec, slices
-from bispace.llm.common import file_broadcast
+from bispace.llm.common import Shared, file_broadcast
 from bispace.session import shared_dir
 
 MAGIC = b"TOKS1"
@@ -101,7 +101,7 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
     rows = source.limit(sample_rows).mapInArrow(of_sample, "ids binary").collect()
     dictionary = train_dictionary([bytes(r[0]) for r in rows], dictionary_size)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), dictionary)], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    sent = spark.sparkContext.broadcast(dictionary)
+    sent = Shared(spark, dictionary)
 
     def of_range(batches):
         own, part = codec(shared), None
@@ -139,7 +139,7 @@ def read_token_files(spark: SparkSession, folder: str, per_document: bool = True
     """Rows of (doc_id, start, n_tokens, ids_crc32, ids) in the files: ``start`` counts the ids of
     all documents before. Totals of ranges, as many as there were ranges, meet at the driver."""
     dictionary = bytes(spark.read.parquet(f"{folder}/dictionary").first()["dictionary"])
-    sent = spark.sparkContext.broadcast(dictionary)
+    sent = Shared(spark, dictionary)
     shards = spark.read.parquet(f"{folder}/shards")
     base, bases = 0, []
     for r in sorted(shards.groupBy("range").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["range"]):
