@@ -9,8 +9,10 @@ sampling draws one (shingle, quantised weight) pair, and an empty bin takes the
 filled one, marked with its distance. Draws are banded (``BANDS`` x ``ROWS``).
 
 Candidates are met without pairs of all members: exact copies are one text; each text
-is compared with the smallest ids of the buckets that it shares most with; and where members of a bucket still belong to different
-classes, the rest of their comparisons is made exactly, block by block, between classes only.
+is compared with the smallest ids of the buckets that it shares most with; and where members of a
+bucket still belong to different classes, the rest of their comparisons is made exactly in two
+rounds, within blocks of members and then between blocks, between classes only. A round gives a
+spanning forest of what two blocks link, never their pairs.
 A candidate is a link if its weighted Jaccard similarity, computed from whole texts, is at least
 ``similarity``. Classes are connected components, found without collecting them.
 
@@ -34,7 +36,7 @@ from bispace.llm.common import Shared, broadcast_key, mix64, shingle_hashes, wor
 from bispace.operators.components import connected_components
 from bispace.session import work_table
 
-BINS, BANDS, ROWS, DF_BITS, CHUNK, BLOCK = 64, 16, 4, 20, 1 << 14, 256
+BINS, BANDS, ROWS, DF_BITS, CHUNK, BLOCK, BLOCK_BYTES = 64, 16, 4, 20, 1 << 14, 256, 2 << 20
 SHINGLE = 5
 
 
@@ -142,7 +144,7 @@ def _frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _signatures(documents: DataFrame, weights) -> DataFrame:
-    """(doc_id, key, draws, buckets) of every document; no words: null key."""
+    """(doc_id, key, draws, buckets, size) of every document; no words: null key."""
 
     def run(batches):
         own = worker_state(broadcast_key("weights", weights), lambda: Weights(*weights.value))
@@ -161,11 +163,12 @@ def _signatures(documents: DataFrame, weights) -> DataFrame:
                         pa.array([f[2] if h else None for f, h in zip(found, has, strict=True)], pa.binary()),
                         pa.array([d.tobytes() if h else None for d, h in zip(draws, has, strict=True)], pa.binary()),
                         pa.array([b.tolist() if h else None for b, h in zip(bucket, has, strict=True)], pa.list_(pa.int64())),
+                        pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int64()),
                     ],
-                    names=["doc_id", "key", "draws", "buckets"],
+                    names=["doc_id", "key", "draws", "buckets", "size"],
                 )
 
-    return documents.mapInArrow(run, "doc_id long, key binary, draws binary, buckets array<long>")
+    return documents.mapInArrow(run, "doc_id long, key binary, draws binary, buckets array<long>, size long")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, weights, similarity: float) -> DataFrame:
@@ -199,42 +202,102 @@ def _alike(a: str, b: str):
     return sum((F.when(part(a, k) == part(b, k), 1).otherwise(0) for k in range(BINS)), F.lit(0))
 
 
-def _rest(members: DataFrame, classes: DataFrame, draws: DataFrame, least: int) -> DataFrame:
-    """Pairs of members of one bucket that are in different classes and could be alike.
+def _blocks(members: DataFrame, classes: DataFrame, draws: DataFrame, apart: bool) -> DataFrame:
+    """(block, bucket, band, side, m) of buckets whose members still belong to several classes.
 
-    Only buckets that still hold several classes are read. Their members are cut into blocks of
-    about ``BLOCK``: those of the bucket's largest class apart from the others, since they needn't
-    meet each other. Pairs of blocks are dealt by block, so a large bucket is many small tasks.
+    Members are cut at random into blocks of about ``BLOCK`` texts and ``BLOCK_BYTES`` bytes, so a
+    large bucket is many small rows. ``apart`` puts a bucket's largest class (side 1) into blocks
+    of its own, which needn't meet each other.
     """
-    own = members.join(classes, members["rep"] == classes["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("class"))
-    sizes = own.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.max(F.struct("n", "class")).alias("top")).where("k > 1")
-    at = own.join(mixed.select("bucket", "all", F.col("top.n").alias("n"), F.col("top.class").alias("main")), "bucket")
-    at = at.withColumn("side", (F.col("class") == F.col("main")).cast("int"))
-    held = F.when(F.col("side") == 1, F.col("n")).otherwise(F.col("all") - F.col("n"))
-    at = at.select("bucket", "rep", "class", "side", F.pmod(F.xxhash64("rep"), F.ceil(held / BLOCK)).alias("part")).join(draws, "rep")
-    blocks = at.groupBy("bucket", "side", "part").agg(F.collect_list(F.struct("rep", "class", "draws")).alias("m"))
-    blocks = work_table(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    left, right = (blocks.select("bucket", F.col("block").alias("block" + x), F.col("side").alias("side" + x)) for x in "ab")
-    met = left.join(right, "bucket").where("blocka <= blockb and not (sidea = 1 and sideb = 1)").select("blocka", "blockb")
-    for x in "ab":
-        met = met.join(blocks.select(F.col("block").alias("block" + x), F.col("m").alias("m" + x)), "block" + x)
+    own = members.join(classes, members["rep"] == classes["node"], "left").select("bucket", "band", "rep", "size", F.coalesce("component", "rep").alias("class"))
+    sizes = own.groupBy("bucket", "class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "class", "bytes")).alias("top")).where("k > 1")
+    at = own.join(mixed.select("bucket", "n", "bytes", "top"), "bucket").withColumn("side", ((F.col("class") == F.col("top.class")) & F.lit(apart)).cast("int"))
+    held = [F.when(F.col("side") == 1, F.col(f"top.{c}")).otherwise(F.col(c) - (F.col(f"top.{c}") if apart else 0)) / most for c, most in (("n", BLOCK), ("bytes", BLOCK_BYTES))]
+    at = at.select("bucket", "band", "rep", "class", "side", F.pmod(F.xxhash64("rep"), F.ceil(F.greatest(*held, F.lit(1)))).alias("part")).join(draws, "rep")
+    met = at.groupBy("bucket", "band", "side", "part").agg(F.collect_list(F.struct("rep", "class", "draws")).alias("m"))
+    return work_table(met.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def _met(blocks: DataFrame, least: int, apart: bool) -> DataFrame:
+    """(blocka, blockb, pairs): for two blocks of a bucket, the pairs of members of different classes that could be alike.
+
+    ``pairs`` packs places in the two blocks. A pair belongs to the first band in which its draws
+    agree, so it is met in one bucket only. Without ``apart`` blocks meet just themselves.
+    """
+    sides = [blocks.select("bucket", "band", F.col("block").alias("block" + x), F.col("side").alias("side" + x), F.col("m").alias("m" + x)) for x in "ab"]
+    if apart:
+        ids = sides[0].select("bucket", "blocka", "sidea").join(sides[1].select("bucket", "blockb", "sideb"), "bucket").where("blocka <= blockb and not (sidea = 1 and sideb = 1)")
+        met = ids.select("blocka", "blockb").join(sides[0].select("band", "blocka", "ma"), "blocka").join(sides[1].select("blockb", "mb"), "blockb")
+    else:
+        met = sides[0].select("band", "blocka", F.col("blocka").alias("blockb"), "ma", F.lit(None).cast(blocks.schema["m"].dataType).alias("mb"))
+
+    def unpack(m):
+        return np.frombuffer(b"".join(x["draws"] for x in m), np.uint32).reshape(len(m), BINS), np.array([x["class"] for x in m])
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = (batch.column(c)[k].as_py() for c in ("ma", "mb"))
-                (da, ca), (db, cb) = ((np.frombuffer(b"".join(x["draws"] for x in m), np.uint32).reshape(len(m), BINS), np.array([x["class"] for x in m])) for m in (a, b))
-                out = set()
+                band, x, y, ma, mb = (batch.column(c)[k].as_py() for c in ("band", "blocka", "blockb", "ma", "mb"))
+                (da, ca), (db, cb) = unpack(ma), unpack(ma if x == y else mb)
+                out = []
                 for i, row in enumerate(da):
-                    for j in np.flatnonzero((cb != ca[i]) & ((db == row).sum(1) >= least)).tolist():
-                        x, y = a[i]["rep"], b[j]["rep"]
-                        out.add((min(x, y), max(x, y)))
-                if out:
-                    x, y = zip(*sorted(out), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                    away = cb != ca[i]
+                    away[: i + 1 if x == y else 0] = False
+                    js = np.flatnonzero(away)
+                    same = db[js] == row
+                    enough = same.sum(1) >= least
+                    js = js[enough][same[enough].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+                    out.append(np.stack([np.full(len(js), i), js], 1))
+                pairs = np.concatenate(out).astype(np.uint16)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([y], pa.int64()), pa.array([pairs.tobytes()], pa.binary())], names=["blocka", "blockb", "pairs"])
+
+    return work_table(met.select("band", "blocka", "blockb", "ma", "mb").mapInArrow(run, "blocka long, blockb long, pairs binary"), "met")
+
+
+def _links_between(met: DataFrame, blocks: DataFrame, documents: DataFrame, weights, similarity: float) -> DataFrame:
+    """Links (a, b) of alike pairs of ``met``: of two blocks, a spanning forest of their classes.
+
+    Pairs that other links of the same blocks have joined already aren't compared, since they
+    can't change a class; so a large group gives links in proportion to its members.
+    """
+    ids = met.select(F.col("blocka").alias("block")).unionByName(met.select(F.col("blockb").alias("block"))).distinct()
+    inside = blocks.join(ids, "block").select("block", F.posexplode("m").alias("at", "x")).select("block", "at", "x.rep", "x.class")
+    texts = documents.join(inside.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("text"))
+    filled = work_table(inside.join(texts, "rep").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "rep", "class", "text"))).alias("m")), "filled")
+    both = met.join(filled.select(F.col("block").alias("blocka"), F.col("m").alias("ma")), "blocka").join(filled.select(F.col("block").alias("blockb"), F.col("m").alias("mb")), "blockb")
+
+    def run(batches):
+        own = worker_state(broadcast_key("weights", weights), lambda: Weights(*weights.value))
+
+        def weighed(held, m, k):
+            if k not in held:
+                shingles, n, _ = counted_shingles(m[k]["text"])
+                held[k] = shingles, own.of(shingles, n)
+            return held[k]
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ma, mb = batch.column("ma")[k].as_py(), batch.column("mb")[k].as_py()
+                heads: dict = {}
+
+                def head(c, heads=heads):
+                    while heads.get(c, c) != c:
+                        c = heads[c]
+                    return c
+
+                ha, hb, links = {}, {}, []
+                for i, j in np.frombuffer(batch.column("pairs")[k].as_py(), np.uint16).reshape(-1, 2).tolist():
+                    x, y = head(ma[i]["class"]), head(mb[j]["class"])
+                    if x != y and weighted_jaccard(weighed(ha, ma, i), weighed(hb, mb, j)) >= similarity:
+                        heads[max(x, y)] = min(x, y)
+                        links.append((ma[i]["rep"], mb[j]["rep"]))
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return met.select("ma", "mb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("pairs", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
@@ -243,14 +306,14 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     weights = Shared(spark, _frequencies(source.select("text")))
     signed = work_table(_signatures(source, weights), "signatures")
-    reps = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("draws").alias("draws"), F.first("buckets").alias("buckets"))
+    reps = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("draws").alias("draws"), F.first("buckets").alias("buckets"), F.first("size").alias("size"))
     reps = work_table(reps, "texts")
-    members = reps.select("rep", F.explode("buckets").alias("bucket"))
+    members = reps.select("rep", "size", F.posexplode("buckets").alias("band", "bucket"))
     leads = members.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
     shared = work_table(members.join(leads, "bucket"), "buckets")
     draws = reps.select("rep", "draws")
     least = int(BINS * (similarity - 0.3))  # five deviations of the estimate below
-    # first each text with the two leads that share most of its buckets; what that leaves is _rest
+    # first each text with the two leads that share most of its buckets; what that leaves is met in blocks
     pairs = shared.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "lead"))
     pairs = pairs.withColumn("r", best).where("r <= 2").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
@@ -258,10 +321,12 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     near = work_table(near.where(_alike("da", "db") >= least).select("a", "b"), "pairs")
     links = work_table(_verified(near, source, weights, similarity), "links")
     classes = connected_components(links, "a", "b")
-    rest = work_table(_rest(shared.select("bucket", "rep"), classes, draws, least).join(near, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = work_table(links.unionByName(_verified(rest, source, weights, similarity)), "links")
-        classes = connected_components(links, "a", "b")
+    for apart in (False, True):  # within blocks first: it leaves few classes for the blocks to meet over
+        blocks = _blocks(shared.select("bucket", "band", "rep", "size"), classes, draws, apart)
+        met = _met(blocks, least, apart)
+        if not met.isEmpty():
+            links = work_table(links.unionByName(_links_between(met, blocks, source, weights, similarity)), "links")
+            classes = connected_components(links, "a", "b")
     of_text = reps.select("key", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"))
     done = signed.select("doc_id", "key").join(of_text, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

@@ -50,7 +50,9 @@ def corpus():
     return [*texts, None, "", "!!!", "one two", "one two", "x " * 20000]
 
 
-def test_near_dedup_by_brute_force(spark, corpus):
+@pytest.mark.parametrize("block", [3, 256])
+def test_near_dedup_by_brute_force(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
     got = {r.doc_id: (r.class_id, r.kept) for r in near_dedup.near_duplicates(df).collect()}
     weights = near_dedup.Weights(*near_dedup._frequencies(df.select("text")))
