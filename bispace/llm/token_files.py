@@ -3,7 +3,8 @@
 A zstandard dictionary is trained on the serialized id arrays of a bounded sample of rows
 (``sample_rows``). Documents are dealt to ranges of ascending doc_id, encoded, closed with the end
 id, compressed one by one, and packed into shards of bounded size. A shard carries the dictionary's
-hash and an offset index, so a short document is read without its neighbours. Shards are binary
+hash and an offset index, so a short document is read without its neighbours. Ids come from merging
+by rank where the driver has proven that for the vocabulary, else from the codec of operator 3. Shards are binary
 rows of Parquet files, so any store that Spark writes to holds them, and a lost executor's task is
 simply written again.
 
@@ -24,12 +25,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bispace.llm.bpe import codec, slices
-from bispace.llm.common import Shared, file_broadcast
+from bispace.llm.bpe import PRETOKEN, Codec, codec, slices
+from bispace.llm.common import Shared, broadcast_key, file_broadcast, worker_state
 from bispace.session import shared_dir
 
 MAGIC = b"TOKS1"
@@ -44,6 +47,49 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[:size]
 
 
+class ByRank:
+    """Encoder that merges whatever adjacent pair makes the earliest token, by the tiktoken library.
+
+    It gives the ids of the vocabulary's own merges exactly if ``proven`` holds: no other pair of
+    tokens that spells a token can ever be adjacent, and each token encodes as itself.
+    """
+
+    #: Texts with a run of one kind of character as long as this go to the plain codec.
+    RUN = regex.compile(r"\p{White_Space}{2000}|[^\p{White_Space}]{2000}")
+
+    def __init__(self, data: bytes):
+        self.own = Codec(data)
+        ranks = {raw: i for raw, i in self.own.id_of.items()}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens=self.own.special)
+        self.bytes_of = self.own.bytes_of
+
+    @staticmethod
+    def proven(data: bytes) -> bool:
+        own = Codec(data)
+        for raw, i in own.id_of.items():
+            for cut in range(1, len(raw)):
+                a, b = own.id_of.get(raw[:cut]), own.id_of.get(raw[cut:])
+                if a is not None and b is not None and (a, b) != (own.left.get(i), own.right.get(i)) and ((a, b) in own.joined or own.may_follow(a, b)):
+                    return False
+        words = {}
+        for raw, i in own.id_of.items():
+            try:
+                words[raw.decode()] = i
+            except UnicodeDecodeError:
+                continue
+        return all(own.packed[words[w]] == ids for w, ids in own.encode_words(set(words)).items())
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each whole text as little-endian 32-bit integers."""
+        out = []
+        for text in texts:
+            if self.RUN.search(text or ""):
+                out += self.own.encode([text])
+            else:
+                out.append(np.asarray(self.fast.encode(text or "", allowed_special="all"), "<u4").tobytes())
+        return out
+
+
 def pack(doc_ids: list[int | None], arrays: list[bytes], frames: list[bytes], dictionary: bytes, item: int) -> bytes:
     n = len(doc_ids)
     return b"".join(
@@ -85,6 +131,8 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
     """Write ``folder``/dictionary and ``folder``/shards."""
     spark = documents.sparkSession
     shared = file_broadcast(spark, path)
+    by_rank = ByRank.proven(shared.value)
+    encoder = lambda: worker_state(broadcast_key("rank", shared), lambda: ByRank(shared.value)) if by_rank else codec(shared)
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def serial(encoded: list[bytes], item: int) -> list[bytes]:
@@ -92,7 +140,7 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
         return [i.astype("<u2").tobytes() if item == 2 else i.tobytes() for i in ids]
 
     def of_sample(batches):
-        own = codec(shared)
+        own = encoder()
         end = end_id.to_bytes(4, "little")
         item = 2 if max(*own.bytes_of, end_id) < 1 << 16 else 4
         for batch in batches:
@@ -104,7 +152,7 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
     sent = Shared(spark, dictionary)
 
     def of_range(batches):
-        own, part = codec(shared), None
+        own, part = encoder(), None
         end = end_id.to_bytes(4, "little")
         item = 2 if max(*own.bytes_of, end_id) < 1 << 16 else 4
         writer = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(sent.value) if sent.value else None)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from bispace.llm import chat
 from bispace.llm.bpe import Codec, encode_decode
 from bispace.llm.token_counts import count_tokens
-from bispace.llm.token_files import Shard, pack, read_token_files, token_folder, write_token_files
+from bispace.llm.token_files import ByRank, Shard, pack, read_token_files, token_folder, write_token_files
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", None, " ", "  a  b", "a \n b", "x\n \n y", "<|endoftext|>", "a <|endoftext|> b  <|endoftext|>c", "don't I'll \t\tx\x1cy", "日本語 ½ Ⅷ x²", "a" * 5000, "é  x", "　 a", "İΣΑΣ é", "the cat", "the cat"]
@@ -36,6 +36,17 @@ def test_codec_equals_library_on_random_texts(codec):
         assert codec.decode(own) == library.decode(want, skip_special_tokens=False) == text
 
 
+def test_rank_encoder_equals_library_where_proven():
+    with open(BYTE, "rb") as f:
+        data = f.read()
+    assert ByRank.proven(data)
+    library, draw = Tokenizer.from_file(BYTE), random.Random(6)
+    letters = [chr(c) for c in (*range(0x20, 0x17F), 0x2028, 0x3000, 0x1F642, 0x65E5)]
+    texts = [x or "" for x in ODD] + ["".join(draw.choices(letters, k=draw.randint(0, 60))) for _ in range(2000)] + [" " * 3000, "a" * 9000]
+    for text, ids in zip(texts, ByRank(data).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_shared_prefixes_equal_single_words(codec):
     words = {" the", " then", " thenceforth", " there", "x" * 300, "xy"}
     assert codec.encode_words(words) == {w: codec.encode_words({w})[w] for w in words}
