@@ -46,3 +46,57 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str = "fdr", tests: Column |
     q = each.crossJoin(F.broadcast(total)).withColumn("_q", F.col("_p") * F.col("_m") / rank)
     q = q.withColumn("_q", F.least(F.lit(1.0), F.min("_q").over(Window.orderBy(F.desc("_p"))))).select("_p", F.col("_q").alias(out))
     return df.join(q, df[p].eqNullSafe(q["_p"]), "left").drop("_p")
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z >= z) of a standard normal: a power series up to 3, beyond it a continued fraction."""
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    start = F.struct(x.alias("term"), x.alias("sum"))
+
+    def step(s, k):
+        term = s["term"] * x * x / (2 * k + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = 0.5 - density * F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda s: s["sum"])
+    far = density / (x + F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), F.lit(0.0), lambda s, k: k / (x + s)))
+    upper = F.when(x < 3, series).otherwise(far)
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+def mann_whitney_p(u: Column, n1: Column, n2: Column, ties: Column, two_sided: bool = True) -> Column:
+    """Asymptotic p-value of U with corrections for ties and continuity; equal values give 1."""
+    n = (n1 + n2).cast("double")
+    variance = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
+    mean = n1 * n2 / 2
+    away = (F.abs(u - mean) if two_sided else u - mean) - 0.5
+    tail = normal_tail(away / F.sqrt(variance)) * (2 if two_sided else 1)
+    return F.when(variance > 0, F.least(F.lit(1.0), tail)).otherwise(F.lit(1.0))
+
+
+def student_two_sided(t: Column, df: Column, terms: int = 200) -> Column:
+    """P(|T| >= |t|) of Student's distribution: the incomplete beta function's continued fraction."""
+    x = df / (df + t * t)
+
+    def beta_fraction(a: Column, b: Column, x: Column) -> Column:
+        # backwards from the last term, so that no running products are kept
+        def step(s, k):
+            m = k.cast("double")
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            return 1 + even / (1 + odd / s)
+
+        inner = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), F.lit(1.0), step)
+        return 1 / (1 - (a + b) * x / (a + 1) / inner)
+
+    def ln_gamma(y: Column) -> Column:
+        # Stirling's series after shifting the argument by 10
+        z = y + 10
+        shift = sum((F.log(y + k) for k in range(10)), F.lit(0.0))
+        return (z - 0.5) * F.log(z) - z + math.log(2 * math.pi) / 2 + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5.0))) - shift
+
+    a, b = df / 2, F.lit(0.5)
+    front = F.exp(ln_gamma(a + b) - ln_gamma(a) - math.lgamma(0.5) + a * F.log(x) + b * F.log(1 - x))
+    near = front * beta_fraction(a, b, x) / a
+    far = 1 - front * beta_fraction(b, a, 1 - x) / b
+    return F.when(t == 0, F.lit(1.0)).when(x < (a + 1) / (a + b + 2), near).otherwise(far)
