@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,11 +17,21 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _STATE: dict = {}
 
 
+def release() -> None:
+    """Drops a worker's state of earlier stages and gives its memory back to the system."""
+    _STATE.clear()
+    gc.collect()  # tasks may have left cycles while the collector was off
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_state(key, build: Callable):
-    """Value kept in a Python worker (a model inflated from a broadcast); the oldest give way."""
+    """Value kept in a Python worker (a model inflated from a broadcast) until a stage with another
+    one runs there; no stage needs two, and workers outlive stages and jobs."""
     if key not in _STATE:
-        while len(_STATE) >= 3:
-            del _STATE[next(iter(_STATE))]
+        release()
         _STATE[key] = build()
     return _STATE[key]
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import Shared, broadcast_key, mix64, shingle_hashes, word_hashes, worker_state
+from bispace.llm.common import Shared, broadcast_key, mix64, release, shingle_hashes, word_hashes, worker_state
 from bispace.operators.components import connected_components
 from bispace.session import work_table
 
@@ -111,6 +111,7 @@ def _frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
     """Hashed document frequencies of all documents: a table of fixed size reaches the driver."""
 
     def count(batches):
+        release()
         df, n = np.zeros(1 << DF_BITS, np.uint32), 0
         for whole in batches:
             for batch in slices(whole, "text"):
