@@ -18,10 +18,11 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from bispace.llm.common import broadcast_key, file_broadcast, worker_state
+from bispace.llm.common import broadcast_key, file_broadcast, tidy, worker_state
 
 #: The pre-tokenizer's pattern and White_Space, as the vocabulary's library has them.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
@@ -219,7 +220,7 @@ def codec(broadcast) -> Codec:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
     """Parts of a batch with about ``most`` bytes of text each (one row at least): bounds memory."""
-    sizes = [len(x or "") for x in batch.column(column).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at, held = 0, 0
     for k, n in enumerate(sizes):
         if held and held + n > most:
@@ -241,7 +242,7 @@ def encode_decode(documents: DataFrame, path: str, text: str = "text", decode: b
     def run(batches):
         own = codec(shared)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, 4 << 20):
                 ids = id_lists(own.encode(batch.column(text).to_pylist()))
                 made = [ids]
                 if decode:
@@ -249,4 +250,4 @@ def encode_decode(documents: DataFrame, path: str, text: str = "text", decode: b
                     made.append(pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, ids_col, *[decoded_col] * decode])
 
-    return source.mapInArrow(run, fields)
+    return source.mapInArrow(tidy(run), fields)

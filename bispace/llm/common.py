@@ -21,10 +21,25 @@ def release() -> None:
     """Drops a worker's state of earlier stages and gives its memory back to the system."""
     _STATE.clear()
     gc.collect()  # tasks may have left cycles while the collector was off
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory of this process back to the system."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that trims the worker at the end of each task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return tidied
 
 
 def worker_state(key, build: Callable):

@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import Shared, broadcast_key, ddl, mix64, worker_state
+from bispace.llm.common import Shared, broadcast_key, ddl, mix64, tidy, worker_state
 
-ORDER, ALPHABET, CACHE_ENTRIES, LONGEST_KEPT = 4, 65_536, 400_000, 64
+ORDER, ALPHABET, CACHE_ENTRIES, LONGEST_KEPT, WORDS_AT_ONCE = 4, 65_536, 400_000, 64, 8_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,8 +138,8 @@ class Scorer:
         at = len(self.rows)
         while len(self.table) < at + len(new):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for k in range(0, len(new), 50_000):
-            self.table[at + k : at + min(k + 50_000, len(new))] = self.words(new[k : k + 50_000])
+        for k in range(0, len(new), WORDS_AT_ONCE):
+            self.table[at + k : at + min(k + WORDS_AT_ONCE, len(new))] = self.words(new[k : k + WORDS_AT_ONCE])
         self.rows |= zip(new, range(at, at + len(new)), strict=True)
         get = self.rows.__getitem__
         out = np.array([self.table[list(map(get, pieces))].sum(0) if pieces else np.zeros(len(self.names) + 1) for pieces in split]).reshape(len(texts), -1)
@@ -223,10 +223,10 @@ def identify(documents: DataFrame, scorer: Scorer, text: str = "text") -> DataFr
         gc.disable()
         own = worker_state(broadcast_key("language", sent), lambda: sent.value)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, 4 << 20):
                 names, scores, rejected, entropy = own.decide(own.texts(batch.column(text).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(entropy, pa.float64())], names=[*keep, "lang_pred", "score", "rejected", "entropy"])
 
     source = documents.select(*dict.fromkeys([*keep, text]))
     extra = "lang_pred string, score double, rejected boolean, entropy double"
-    return source.mapInArrow(run, ", ".join(x for x in (ddl(documents, keep), extra) if x)).select(*keep, "lang_pred", "score", "rejected", "entropy")
+    return source.mapInArrow(tidy(run), ", ".join(x for x in (ddl(documents, keep), extra) if x)).select(*keep, "lang_pred", "score", "rejected", "entropy")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import Shared, broadcast_key, mix64, release, shingle_hashes, word_hashes, worker_state
+from bispace.llm.common import Shared, broadcast_key, mix64, release, shingle_hashes, tidy, word_hashes, worker_state
 from bispace.operators.components import connected_components
 from bispace.session import work_table
 
@@ -133,7 +133,7 @@ def _frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
         packed = np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()
         return pa.table({"chunk": pa.array([keys[0].as_py()], pa.int64()), "counts": pa.array([packed], pa.binary())})
 
-    counted = documents.mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()
+    counted = documents.mapInArrow(tidy(count), "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()
     df, n = np.zeros(1 << DF_BITS, np.uint32), 0
     for r in counted:
         values = np.frombuffer(bytes(r["counts"]), np.uint32)
@@ -169,7 +169,7 @@ def _signatures(documents: DataFrame, weights) -> DataFrame:
                     names=["doc_id", "key", "draws", "buckets", "size"],
                 )
 
-    return documents.mapInArrow(run, "doc_id long, key binary, draws binary, buckets array<long>, size long")
+    return documents.mapInArrow(tidy(run), "doc_id long, key binary, draws binary, buckets array<long>, size long")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, weights, similarity: float) -> DataFrame:
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, weights, similarity: float
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "link"])
 
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, link boolean").where("link").select("a", "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long, link boolean").where("link").select("a", "b")
 
 
 def _alike(a: str, b: str):
@@ -254,7 +254,7 @@ def _met(blocks: DataFrame, least: int, apart: bool) -> DataFrame:
                 if len(pairs):
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()), pa.array([y], pa.int64()), pa.array([pairs.tobytes()], pa.binary())], names=["blocka", "blockb", "pairs"])
 
-    return work_table(met.select("band", "blocka", "blockb", "ma", "mb").mapInArrow(run, "blocka long, blockb long, pairs binary"), "met")
+    return work_table(met.select("band", "blocka", "blockb", "ma", "mb").mapInArrow(tidy(run), "blocka long, blockb long, pairs binary"), "met")
 
 
 def _links_between(met: DataFrame, blocks: DataFrame, documents: DataFrame, weights, similarity: float) -> DataFrame:
@@ -298,7 +298,7 @@ def _links_between(met: DataFrame, blocks: DataFrame, documents: DataFrame, weig
                     a, b = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return both.select("pairs", "ma", "mb").mapInArrow(run, "a long, b long")
+    return both.select("pairs", "ma", "mb").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
