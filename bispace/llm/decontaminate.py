@@ -2,10 +2,10 @@
 
 Fixed masks select some of the word positions of a window and ignore the others, so a window still
 hashes alike when an ignored word was substituted. Seed hashes of benchmark items and documents
-are joined; around each hit the document is laid along the item on the hit's diagonal, and the best
-ungapped stretch is verified word by word, substitutions allowed.
+are joined; around each hit the document is laid along the item on the hit's diagonal, and all its
+ungapped stretches are verified word by word, substitutions allowed.
 
-An item counts as leaked if that stretch has at least ``min_words`` equal words (or ``similarity``
+An item counts as leaked if one of them has at least ``min_words`` equal words (or ``similarity``
 of the item's words where that is fewer) and at least ``similarity`` of its words are equal.
 
 The benchmark is broadcast in slices of at most ``slice_seeds`` seeds, counted before: documents
@@ -20,6 +20,8 @@ one; extra columns pass through, those named as an added column are replaced.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,13 +47,20 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
         return mix64(acc + np.uint64(MASKS.index(mask)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Ends of the stretch with most equal minus unequal words; it starts and ends with equal ones."""
-    total = np.cumsum([0, *np.where(equal, 1, -1)])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end
+def best_stretch(equal: np.ndarray, share: Fraction) -> tuple[int, int]:
+    """Ends of the stretch with most equal words among all whose share of equal words is at least ``share``.
+
+    An equal word scores ``1 - share`` and another ``-share``, in whole numbers; so a stretch has
+    the share exactly if its score isn't negative, and of those that end at a word the one from the
+    earliest start has most equal words. It starts and ends with equal ones.
+    """
+    score, n = np.zeros((2, len(equal) + 1), np.int64)
+    np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator), out=score[1:])
+    np.cumsum(equal, out=n[1:])
+    first = np.searchsorted(-np.minimum.accumulate(score), -score, "left")
+    end = int(np.argmax(n - n[first]))
+    hits = np.flatnonzero(equal[first[end] : end]) + first[end]
+    return (int(hits[0]), int(hits[-1]) + 1) if len(hits) else (0, 0)
 
 
 class Index:
@@ -59,7 +68,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], min_words: int, similarity: float, min_item: int):
         self.items = [(i, np.frombuffer(w, np.uint64)) for i, w in items]
-        self.min_words, self.similarity = min_words, similarity
+        self.min_words, self.share = min_words, Fraction(str(similarity))
         found = []
         for at, (_, words) in enumerate(self.items):
             for mask in MASKS:
@@ -92,9 +101,9 @@ class Index:
             item = self.items[at][1]
             a, b = max(0, -shift), min(len(item), len(words) - shift)
             equal = words[a + shift : b + shift] == item[a:b]
-            start, end = best_stretch(equal)
+            start, end = best_stretch(equal, self.share)
             n = int(equal[start:end].sum())
-            if n >= min(self.min_words, self.similarity * len(item)) and n >= self.similarity * (end - start):
+            if n and n >= min(self.min_words, self.share * len(item)):
                 found = (n, a + shift + start, a + shift + end)
                 best[at] = max(best.get(at, found), found)
         for n, items in self.short.items():

@@ -103,6 +103,24 @@ def test_leaks_tolerate_substitutions_only(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_leaks_by_brute_force_over_all_stretches():
+    draw, found = random.Random(12), 0
+    changed = [[k >= 20 and k % 3 == 1 for k in range(80)]]  # a verbatim head, a reworded rest
+    for share in (0.15, 0.2, 0.25, 0.35):
+        changed += [[draw.random() < share for _ in range(draw.randint(16, 59))] for _ in range(250)]
+    for c in changed:
+        item = [f"w{k}" for k in range(len(c))]
+        text = " ".join(["before", *(f"x{k}" if x else f"w{k}" for k, x in enumerate(c)), "after"])
+        equal = np.cumsum([0, *(not x for x in c)])
+        most = max((n for a in range(len(c)) for b in range(a + 1, len(c) + 1) if 5 * (n := int(equal[b] - equal[a])) >= 4 * (b - a)), default=0)
+        want = [most] if most >= 13 or 5 * most >= 4 * len(c) else []
+        got = decontaminate.Index([(7, decontaminate.word_hashes(" ".join(item)).tobytes())], 13, 0.8, 3).search(decontaminate.word_hashes(text))
+        assert [n for _, _, _, n in got] == want
+        assert all(n == equal[b - 1] - equal[a - 1] and 5 * n >= 4 * (b - a) for _, a, b, n in got)
+        found += len(want)
+    assert 300 < found < 950
+
+
 def test_language_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = language_id.F.col("doc_id") % 4 == 2
