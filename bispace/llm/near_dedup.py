@@ -1,12 +1,14 @@
-"""Operator 2 - near-duplicate documents by improved consistent weighted sampling.
+"""Operator 2 - near-duplicate documents by consistent weighted sampling.
 
 Shingles of five words weigh their count in the text times a damped inverse document frequency,
 ``1 + ln(N / df) / ln(N + 1)`` (1 to 2). Document frequencies cover all documents; they are counted
 in a table of ``2**DF_BITS`` hashed counters, so the table has the same size for any corpus.
 
-Each shingle falls by hash into one of ``BINS`` bins; within a bin, improved consistent weighted
-sampling draws one (shingle, quantised weight) pair, and an empty bin takes the draw of the next
-filled one, marked with its distance. Draws are banded (``BANDS`` x ``ROWS``).
+Every occurrence of a shingle is a unit of its own, of the same weight in any text, so the units of
+two texts have the texts' weighted Jaccard similarity. Units arrive in ``BINS`` bins as Poisson
+processes whose rates are their weights; the first arrival of a bin is its draw. By the splitting
+of such processes these are ``BINS`` independent draws over all units in proportion to weight, while
+only arrivals that can still be the first of a bin are computed. Draws are banded (``BANDS`` x ``ROWS``).
 
 Candidates are met without pairs of all members: exact copies are one text; each text
 is compared with the smallest ids of the buckets that it shares most with; and where members of a
@@ -57,36 +59,35 @@ class Weights:
         return counts * self.idf[(shingles >> np.uint64(64 - DF_BITS)).astype(np.int64)]
 
 
-def _uniform(shingles: np.ndarray, salt: int) -> np.ndarray:
+def units(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One hash for each occurrence of each shingle, the k-th alike in any text."""
+    k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     with np.errstate(over="ignore"):
-        x = mix64(shingles + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        return mix64(np.repeat(shingles, counts) + k.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def sample(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     """Consistent weighted draws of many texts at once: (texts, BINS) of 32 bits.
 
-    Every shingle has its own gamma and beta variables; the smallest ``ln a`` of a bin wins.
+    Every unit has its own sequence of arrival times and bins; the earliest arrival of a bin wins.
+    A unit is followed until its arrivals are later than the first ones of all bins of its text.
     """
-    r = -np.log(_uniform(shingles, 1) * _uniform(shingles, 2))
-    c = -np.log(_uniform(shingles, 3) * _uniform(shingles, 4))
-    beta = _uniform(shingles, 5)
-    t = np.floor(np.log(weights) / r + beta)
-    log_a = np.log(c) - r * (t - beta) - r
-    place = owner * BINS + (mix64(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)) & np.uint64(BINS - 1)).astype(np.int64)
-    order = np.lexsort((log_a, place))
-    first = order[np.flatnonzero(np.diff(place[order], prepend=-1))]
-    with np.errstate(over="ignore"):
-        draw = (mix64(shingles[first] + t[first].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(0x7FFFFFFF)).astype(np.int64)
-    table = np.full(texts * BINS, -1, np.int64)
-    table[place[first]] = draw
-    table = table.reshape(texts, BINS)
-    twice = np.concatenate([table, table], 1)
-    filled = np.where(twice >= 0, np.arange(2 * BINS), 4 * BINS)
-    after = np.minimum.accumulate(filled[:, ::-1], 1)[:, ::-1][:, :BINS]
-    step = after - np.arange(BINS)
-    found = np.take_along_axis(twice, np.minimum(after, 2 * BINS - 1), 1)
-    return ((found + step * 0x5BD1E995) & 0xFFFFFFFF).astype(np.uint32)
+    first, winner = np.full(texts * BINS, np.inf), np.zeros(texts * BINS, np.int64)
+    unit, x, time, limit = np.arange(len(shingles)), shingles, np.zeros(len(shingles)), np.zeros(texts)
+    while len(unit):
+        with np.errstate(over="ignore"):
+            x = mix64(x + np.uint64(0x9E3779B97F4A7C15))
+        time = time - np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weights
+        place = owner * BINS + (x & np.uint64(BINS - 1)).astype(np.int64)
+        np.minimum.at(first, place, time)
+        won = time == first[place]
+        winner[place[won]] = unit[won]
+        live = np.flatnonzero(np.bincount(owner, minlength=texts))
+        limit[live] = first.reshape(texts, BINS)[live].max(1)
+        on = np.flatnonzero(time < limit[owner])
+        unit, x, time, weights, owner = unit[on], x[on], time[on], weights[on], owner[on]
+    draws = (mix64(shingles) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return np.where(np.isfinite(first), draws[winner] if len(draws) else np.uint32(0), np.uint32(0)).reshape(texts, BINS)
 
 
 def bands(draws: np.ndarray) -> np.ndarray:
@@ -152,10 +153,10 @@ def _signatures(documents: DataFrame, weights) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 found = [counted_shingles(t) for t in batch.column("text").to_pylist()]
-                sizes = np.array([len(f[0]) for f in found])
-                shingles = np.concatenate([f[0] for f in found])
-                weight = own.of(shingles, np.concatenate([f[1] for f in found]))
-                draws = sample(shingles, weight, np.repeat(np.arange(len(found)), sizes), len(found))
+                sizes = np.array([f[1].sum() for f in found])
+                shingles, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                weight = np.repeat(own.of(shingles, np.ones(len(n))), n)
+                draws = sample(units(shingles, n), weight, np.repeat(np.arange(len(found)), sizes), len(found))
                 bucket = bands(draws)
                 has = sizes > 0
                 yield pa.RecordBatch.from_arrays(
@@ -313,7 +314,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     leads = members.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
     shared = work_table(members.join(leads, "bucket"), "buckets")
     draws = reps.select("rep", "draws")
-    least = int(BINS * (similarity - 0.3))  # five deviations of the estimate below
+    least = int(BINS * (similarity - 0.3))  # six deviations of 64 independent draws below
     # first each text with the two leads that share most of its buckets; what that leaves is met in blocks
     pairs = shared.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "lead"))

@@ -62,6 +62,20 @@ def test_near_dedup_by_brute_force(spark, corpus, block, monkeypatch):
     assert got == {k: (c, c == k) for k, c in want.items()}
 
 
+def test_near_dedup_of_repeated_lines_by_brute_force(spark):
+    draw, texts = random.Random(5), []
+    for own in (60, 100, 200, 500, 1500):
+        for _ in range(6):
+            lines = f"{prose(draw, 12, 10**6)} " * 300
+            texts += [lines + prose(draw, own, 10**6) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = near_dedup.Weights(*near_dedup._frequencies(df.select("text")))
+    sets = [(s, weights.of(s, n)) for s, n, _ in map(near_dedup.counted_shingles, texts)]
+    want = roots(range(len(texts)), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if near_dedup.weighted_jaccard(sets[a], sets[b]) >= 0.8])
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
+    assert len(set(want.values())) == 3 * 6 + 2 * 12
+
+
 def test_near_dedup_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "a b c d e f", 0), (2, None, 0)], "doc_id long, text string, class_id int")
     assert sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in near_dedup.near_duplicates(df).collect()) == [(0, 1, True), (1, 1, True), (1, 1, True), (2, 2, True)]
