@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,58 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     return a.join(b, "len").select("i", "j", cdr3_distance(F.col("s"), F.col("t")).alias("d")).where(F.col("d") <= radius)
 
 
+def _kept(n: int, short: int) -> list[int]:
+    """Places in a sequence of n letters that ``cdr3_distance`` compares with one whose shorter length is ``short``."""
+    gap = min(6, 3 + (short - 5) // 2)
+    return [*range(FRONT, gap), *range(n - BACK - (short - gap - BACK), n - BACK)]
+
+
+def radius_windows(left: DataFrame, right: DataFrame, radius: int, block: int = 512) -> DataFrame:
+    """(i, j, d) of windows (id, pos, seq) within a radius; i and j are structs of id and pos.
+
+    All pairs of five letters or more meet, as in ``radius_join``, but as products of matrices:
+    letter distances of the left by the letters of the right. The right is broadcast, so it must
+    fit into memory; sequences of fewer than five letters have no distance.
+    """
+    close = np.array([[0 if a == b else CLOSE.get(a + b, CLOSE.get(b + a, 4)) for b in ALPHABET] for a in ALPHABET], np.float32)
+    one = np.eye(len(ALPHABET), dtype=np.float32)
+    held: dict = {}
+    for r in right.where("length(seq) >= 5").select("id", "pos", "seq").collect():
+        held.setdefault(len(r["seq"]), []).append(tuple(r))
+    sent = left.sparkSession.sparkContext.broadcast({m: ([x[0] for x in rows], [x[1] for x in rows], "".join(x[2] for x in rows)) for m, rows in held.items()})
+
+    def coded(text: str, n: int) -> np.ndarray:
+        place = np.zeros(256, np.int64)
+        place[list(ALPHABET.encode())] = np.arange(len(ALPHABET))
+        return place[np.frombuffer(text.encode(), np.uint8)].reshape(-1, n)
+
+    def run(batches):
+        other = {m: (np.array(i, np.int64), np.array(p, np.int64), coded(s, m)) for m, (i, p, s) in sent.value.items()}
+        for batch in batches:
+            ids, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "pos"))
+            seqs = batch.column("seq").to_pylist()
+            sizes = np.array([len(s) for s in seqs])
+            for n in np.unique(sizes).tolist():
+                of_size = np.flatnonzero(sizes == n)
+                for at in (of_size[k : k + block] for k in range(0, len(of_size), block)):
+                    a = coded("".join(seqs[k] for k in at.tolist()), n)
+                    for m, (jd, jp, b) in other.items():
+                        if GAP * abs(n - m) > radius:
+                            continue
+                        short = min(n, m)
+                        x = close[a[:, _kept(n, short)]].reshape(len(a), -1)
+                        for low in range(0, len(b), 4 * block):
+                            y = one[b[low : low + 4 * block][:, _kept(m, short)]]
+                            d = WEIGHT * (x @ y.reshape(len(y), -1).T) + GAP * abs(n - m)
+                            i, j = np.nonzero(d <= radius)
+                            if len(i):
+                                columns = [ids[at[i]], pos[at[i]], jd[low + j], jp[low + j], d[i, j].astype(np.int64)]
+                                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["i", "p", "j", "q", "d"])
+
+    met = left.where("length(seq) >= 5").select(F.col("id").cast("long"), F.col("pos").cast("long"), "seq").mapInArrow(run, "i long, p long, j long, q long, d long")
+    return met.select(F.struct(F.col("i").alias("id"), F.col("p").alias("pos")).alias("i"), F.struct(F.col("j").alias("id"), F.col("q").alias("pos")).alias("j"), "d")
+
+
 def match_score(matches: DataFrame, sigma: float) -> DataFrame:
     """One row: matches, distinct left and right, and the sum of exp(-d**2 / sigma**2)."""
     return matches.agg(F.count("*").alias("matches"), F.countDistinct("i").alias("n_left"), F.countDistinct("j").alias("n_right"), F.sum(F.exp(-F.col("d") * F.col("d") / F.lit(sigma * sigma))).alias("soft"))

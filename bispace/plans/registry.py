@@ -337,6 +337,52 @@ def motif_core_counts(spark, sf_dir):
     return sequences.motif_cores(adapters.sequences(spark, sf_dir))
 
 
+# Whole texts, window by window: the SQL of the queries above takes the first letters of a text only.
+def _whole(spark, sf_dir):
+    return adapters.windows(spark, sf_dir, "documents", "doc_id"), adapters.windows(spark, sf_dir, "benchmark", "item_id")
+
+
+@query()
+def radius_matches_whole(spark, sf_dir):
+    m = sequences.radius_windows(*_whole(spark, sf_dir), 72)
+    return m.select(F.col("i.id").alias("i"), F.col("i.pos").alias("i_pos"), F.col("j.id").alias("j"), F.col("j.pos").alias("j_pos"), "d")
+
+
+@query()
+def match_count_score_whole(spark, sf_dir):
+    return sequences.match_score(sequences.radius_windows(*_whole(spark, sf_dir), 96), 48.0).withColumn("soft", F.round("soft", 4))
+
+
+@query()
+def background_convolution_whole(spark, sf_dir):
+    m = sequences.radius_windows(*_whole(spark, sf_dir), 96)
+    done = sequences.background(m, m, 1_000_000, 96)
+    return done.select(F.col("id.id").alias("id"), F.col("id.pos").alias("pos"), F.col("dist").cast("long").alias("dist"), F.round(F.col("freq") * 1e6, 6).alias("freq_ppm"))
+
+
+@query()
+def strict_match_whole(spark, sf_dir):
+    db = adapters.runs(spark, sf_dir, "benchmark", "item_id").select(F.col("id").alias("item_id"), "pos", "seq")
+    there = adapters.runs(spark, sf_dir, "documents", "doc_id").join(F.broadcast(db.select("seq").distinct()), "seq", "left_semi")
+    return sequences.strict_match(db, there.select("id", "seq").distinct(), "seq").select("item_id", "pos", "seq", "ids")
+
+
+@query()
+def anti_merge_whole(spark, sf_dir):
+    docs, db = (w.select("id", "pos", "seq") for w in _whole(spark, sf_dir))
+    return sequences.anti_merge(db, docs, "seq").select("id", "pos", "seq")
+
+
+@query()
+def letter_counts_whole(spark, sf_dir):
+    return sequences.letter_counts(_whole(spark, sf_dir)[0])
+
+
+@query()
+def motif_core_counts_whole(spark, sf_dir):
+    return sequences.motif_cores(_whole(spark, sf_dir)[0])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -50,3 +50,25 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def database(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), letters("text").alias("s"))
     return d.select("id", F.expr("substring(s, 1, 12 + cast(id % 5 as int))").alias("seq")).where("length(seq) >= 12")
+
+
+def windows(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """id, pos, v, seq: the whole letters of each text in consecutive windows, from position ``pos``.
+
+    Windows have 12 to 16 letters; what is left at the end is a window of its own from five letters
+    on, or else belongs to the last one. Only texts without letters have none.
+    """
+    t = table(spark, sf_dir, name)
+    v = F.col("source") if "source" in t.columns else F.lit(None).cast("string")
+    d = t.select(F.col(key).alias("id"), v.alias("v"), letters("text").alias("s")).where("length(s) > 0")
+    d = d.withColumn("w", F.expr("12 + cast(pmod(coalesce(id, 0), 5) as int)")).withColumn("k", F.expr("cast(greatest(1, length(s) div w + if(length(s) % w >= 5, 1, 0)) as int)"))
+    d = d.withColumn("p", F.explode(F.sequence(F.lit(1), F.col("k"))))
+    pos = (F.col("p") - 1) * F.col("w") + 1
+    return d.select("id", pos.alias("pos"), "v", F.substring("s", pos, F.when(F.col("p") == F.col("k"), F.length("s")).otherwise(F.col("w"))).alias("seq"))
+
+
+def runs(spark: SparkSession, sf_dir: str, name: str, key: str, size: int = 5) -> DataFrame:
+    """id, pos, seq: the run of ``size`` letters at every position of each whole text; a shorter text is one."""
+    d = table(spark, sf_dir, name).select(F.col(key).alias("id"), letters("text").alias("s")).where("length(s) > 0")
+    d = d.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("s") - size + 1))))
+    return d.select("id", "pos", F.substring("s", F.col("pos"), F.lit(size)).alias("seq"))
