@@ -143,6 +143,13 @@ def pwm(rows: DataFrame) -> DataFrame:
     return n.join(n.groupBy("pos").agg(F.sum("n").alias("all")), "pos").select("pos", "letter", (F.col("n") / F.col("all")).alias("freq"))
 
 
+def pwm_by_length(rows: DataFrame) -> DataFrame:
+    """(len, pos, letter, freq): one matrix for each length, over all sequences."""
+    each = rows.select(F.length("seq").alias("len"), F.posexplode(F.split("seq", "")).alias("pos", "letter")).where("letter <> ''")
+    n = each.groupBy("len", "pos", "letter").agg(F.count("*").alias("n"))
+    return n.join(n.groupBy("len", "pos").agg(F.sum("n").alias("all")), ["len", "pos"]).select("len", "pos", "letter", (F.col("n") / F.col("all")).alias("freq"))
+
+
 def motif_cores(rows: DataFrame, spread: int = 3) -> DataFrame:
     """(core, n): three letters with gaps of up to ``spread`` - 1 between them in trimmed sequences
     between marks; every occurrence counts."""

@@ -378,6 +378,11 @@ def letter_counts_whole(spark, sf_dir):
     return sequences.letter_counts(_whole(spark, sf_dir)[0])
 
 
+@query()
+def pwm_whole(spark, sf_dir):
+    return sequences.pwm_by_length(_whole(spark, sf_dir)[0]).select("len", "pos", "letter", F.round("freq", 9).alias("freq"))
+
+
 @query()
 def motif_core_counts_whole(spark, sf_dir):
     return sequences.motif_cores(_whole(spark, sf_dir)[0])

@@ -56,3 +56,12 @@ def test_strict_match_sees_every_position(spark, tables):
     windows = adapters.windows(spark, folder, "documents", "doc_id").count() + adapters.windows(spark, folder, "benchmark", "item_id").count()
     assert 0 < registry.queries()["anti_merge_whole"](spark, folder).count() < windows
     assert registry.queries()["motif_core_counts_whole"](spark, folder).count() > 0
+
+
+def test_pwm_counts_all_sequences_of_every_length(spark, tables):
+    folder, _ = tables
+    seqs = [r.seq for r in adapters.windows(spark, folder, "documents", "doc_id").collect()]
+    n = Counter((len(s), k, c) for s in seqs for k, c in enumerate(s))
+    lengths = Counter(map(len, seqs))
+    got = {(r.len, r.pos, r.letter): r.freq for r in registry.queries()["pwm_whole"](spark, folder).collect()}
+    assert len(lengths) > 5 and got == pytest.approx({k: v / lengths[k[0]] for k, v in n.items()}, abs=1e-9)
