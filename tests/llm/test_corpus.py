@@ -94,6 +94,18 @@ def test_sampling_matches_jaccard():
     assert np.mean(equal) == pytest.approx(0.6, abs=0.03)
 
 
+def test_draws_of_short_texts_are_independent():
+    draw = np.random.default_rng(9)
+    for n in (5, 10, 15, 20):  # similarity 0.8 by one differing shingle in five
+        texts, short = 1500, n * 4 // 5
+        s = near_dedup.mix64(draw.integers(0, 1 << 63, (texts, n)).astype(np.uint64))
+        both = np.concatenate([s[:, :short].ravel(), s.ravel()])
+        owner = np.concatenate([np.repeat(np.arange(texts), short), np.repeat(np.arange(texts, 2 * texts), n)])
+        d = near_dedup.sample(both, np.ones(len(both)), owner, 2 * texts)
+        equal = (d[:texts] == d[texts:]).sum(1)
+        assert equal.min() >= 32 and equal.mean() == pytest.approx(0.8 * 64, abs=0.5) and equal.std() == pytest.approx(3.2, abs=0.3)
+
+
 def test_leaks_tolerate_substitutions_only(spark):
     draw = random.Random(2)
     items = {k: prose(draw, 20, 5000) for k in range(30)} | {77: "tiny item here"}
