@@ -12,14 +12,16 @@ The benchmark is broadcast in slices of at most ``slice_seeds`` seeds, counted b
 meet one slice after another, so a benchmark of any size is searched whole with bounded memory.
 A hot passage costs nothing extra: documents aren't shuffled.
 
-Defined cases: null and wordless texts and items match nothing; items shorter than the shortest
-mask match by their whole sequence of words if they have ``min_item`` words; rows map one for one
+Defined cases: null and wordless texts and items match nothing; items of fewer words than any mask
+and than ``min_item`` aren't searched; items with a null id are searched, and their leaks have a null
+id, which ``n_items`` counts as one item; rows map one for one
 (ties, repeats and null ids stay); an empty benchmark marks nothing; an empty table gives an empty
 one; extra columns pass through, those named as an added column are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -32,6 +34,8 @@ from bispace.llm.common import Shared, broadcast_key, ddl, mix64, word_hashes, w
 
 #: Word positions that each mask compares.
 MASKS = ("1110111", "11010111", "110110011", "101110011", "11110")
+#: Items of fewer words get seeds of the run of equal words that any leak of them must hold.
+SHORT = 16
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -44,7 +48,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
         for k, used in enumerate(mask):
             if used == "1":
                 acc = acc * np.uint64(0x9FB21C651E98DF25) + words[k : k + n]
-        return mix64(acc + np.uint64(MASKS.index(mask)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return mix64(acc + np.uint64(int(mask, 2)) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def best_stretch(equal: np.ndarray, share: Fraction) -> tuple[int, int]:
@@ -70,14 +74,16 @@ class Index:
         self.items = [(i, np.frombuffer(w, np.uint64)) for i, w in items]
         self.min_words, self.share = min_words, Fraction(str(similarity))
         found = []
+        self.masks = dict.fromkeys(MASKS)
         for at, (_, words) in enumerate(self.items):
-            for mask in MASKS:
+            own = [*MASKS]
+            if min_item <= len(words) < SHORT:
+                need = math.ceil(min(min_words, self.share * len(words)))
+                own.append("1" * max(1, -(-need // (len(words) - need + 1))))
+            self.masks |= dict.fromkeys(own)
+            for mask in dict.fromkeys(own):
                 s = seeds(words, mask)
                 found.append((s, np.full(len(s), at), np.arange(len(s))))
-        self.short: dict[int, list[int]] = {}
-        for at, (_, words) in enumerate(self.items):
-            if min_item <= len(words) < min(map(len, MASKS)):
-                self.short.setdefault(len(words), []).append(at)
         self.hash, self.item, self.at = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.at = self.hash[order].astype(np.uint64), self.item[order], self.at[order]
@@ -88,7 +94,7 @@ class Index:
     def search(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item id, first word, word after the last, equal words) of each leaked item."""
         diagonals = set()
-        for mask in MASKS:
+        for mask in self.masks:
             s = seeds(words, mask)
             near = np.flatnonzero(self.there[(s >> np.uint64(64 - self.bits)).astype(np.int64)])
             if not len(near):
@@ -106,13 +112,6 @@ class Index:
             if n and n >= min(self.min_words, self.share * len(item)):
                 found = (n, a + shift + start, a + shift + end)
                 best[at] = max(best.get(at, found), found)
-        for n, items in self.short.items():
-            for at in items:
-                item = self.items[at][1]
-                for p in np.flatnonzero(words[: max(0, len(words) - n + 1)] == item[0]).tolist():
-                    if (words[p : p + n] == item).all():
-                        best[at] = (n, p, p + n)
-                        break
         return [(self.items[at][0], a, b, n) for at, (n, a, b) in sorted(best.items())]
 
 
@@ -126,9 +125,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", i
     def hashed(batches):
         for batch in batches:
             words = [word_hashes(t) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([len(w) * len(MASKS) for w in words], pa.int64())], names=["i", "w", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([len(w) * (len(MASKS) + 1) for w in words], pa.int64())], names=["i", "w", "n"])
 
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).mapInArrow(hashed, "i long, w binary, n long").where("n > 0 and i is not null")
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).mapInArrow(hashed, "i long, w binary, n long").where("n > 0")
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_slices = max(1, -(-int(total) // slice_seeds))
     keep = [c for c in documents.columns if c not in {"leaks", "n_items", "contaminated"}]

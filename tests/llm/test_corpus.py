@@ -147,6 +147,20 @@ def test_leaks_by_brute_force_over_all_stretches():
     assert 300 < found < 950
 
 
+def test_short_items_and_items_without_id(spark):
+    for n in range(3, 16):
+        item = np.arange(n).astype(np.uint64) + np.uint64(1000)
+        index = decontaminate.Index([(7, item.tobytes())], 13, 0.8, 3)
+        for changed in (c for k in range(4) for c in itertools.combinations(range(n), k)):
+            text = item.copy()
+            text[list(changed)] = 5
+            assert bool(index.search(text)) == (5 * (n - len(changed)) >= 4 * n)
+    bench = spark.createDataFrame([(None, "a b c d e f g"), (3, "h i j k l m n")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b X d e f g"), (2, "X h i Y k l m n a b c d e f g"), (3, "a b c h i")], "doc_id long, text string")
+    got = {r.doc_id: ({x.item_id for x in r.leaks}, r.n_items) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {1: ({None}, 1), 2: ({None, 3}, 2), 3: (set(), 0)}
+
+
 def test_language_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = language_id.F.col("doc_id") % 4 == 2
