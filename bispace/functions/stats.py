@@ -29,9 +29,16 @@ def hypergeometric_tail(at_least: Column, population: Column, marked: Column, dr
 
 
 def poisson_tail(at_least: Column, mu: Column, terms: int = 200) -> Column:
-    """P(X >= at_least) by direct summation of the tail."""
-    steps = F.sequence(at_least, at_least + F.lit(terms))
-    return F.when(at_least <= 0, F.lit(1.0)).otherwise(F.aggregate(steps, F.lit(0.0), lambda s, j: s + F.exp(-mu + j * F.log(mu) - ln_factorial(j))))
+    """P(X >= at_least): the tail's own terms, or 1 minus the lower ones where the mean is larger.
+
+    Terms shrink away from the mean within some of its deviations; ``terms`` is their least number.
+    """
+    top = F.lit(terms) + F.ceil(12 * F.sqrt(mu))
+    term = lambda j: F.exp(-mu + j * F.log(mu) - ln_factorial(j))
+    total = lambda low, high: F.aggregate(F.sequence(low.cast("long"), high.cast("long")), F.lit(0.0), lambda s, j: s + term(j))
+    upper = total(at_least, at_least + top)
+    lower = F.greatest(F.lit(0.0), 1 - total(F.greatest(F.lit(0), at_least - 1 - top), F.greatest(F.lit(0), at_least - 1)))
+    return F.when(at_least <= 0, F.lit(1.0)).when(mu <= 0, F.lit(0.0)).when(mu > at_least, lower).otherwise(upper)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "fdr", tests: Column | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries over whole texts: every letter is in a window, and later matches are seen."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from bispace.functions.stats import poisson_tail
 from bispace.operators import sequences
 from bispace.plans import registry
 from bispace.sources import adapters
@@ -65,3 +67,11 @@ def test_pwm_counts_all_sequences_of_every_length(spark, tables):
     lengths = Counter(map(len, seqs))
     got = {(r.len, r.pos, r.letter): r.freq for r in registry.queries()["pwm_whole"](spark, folder).collect()}
     assert len(lengths) > 5 and got == pytest.approx({k: v / lengths[k[0]] for k, v in n.items()}, abs=1e-9)
+
+
+def test_poisson_tail_of_large_means(spark):
+    cases = [(1, 1000.0), (950, 1000.0), (1000, 1000.0), (1100, 1000.0), (3, 0.5), (5, 7.0), (1, 1.5), (0, 9.0), (20000, 20100.0)]
+    got = spark.createDataFrame(cases, "k long, mu double").select("k", "mu", poisson_tail(F.col("k"), F.col("mu")).alias("p")).collect()
+    for r in got:
+        lower = math.fsum(math.exp(-r.mu + j * math.log(r.mu) - math.lgamma(j + 1)) for j in range(r.k))
+        assert r.p == pytest.approx(1 - lower, abs=1e-8)
