@@ -3,9 +3,11 @@
 A conversation is rendered whole, encoded once with offsets, and the sorted spans of its assistant
 texts are intersected with the sorted token spans by binary search.
 
-Template: ``<|im_start|>role`` newline, text, ``<|im_end|>`` newline for each turn. Control strings
-inside texts and roles are escaped reversibly: a run ``<``, any backslashes, ``|`` gets one more
-backslash, so no text can hold ``<|``. Newlines and backslashes of roles are escaped as well.
+Template: ``<|im_start|>role<|im_sep|>text<|im_end|>`` newline for each turn. Control strings inside
+texts and roles are escaped reversibly: a run ``<``, any backslashes, ``|`` gets one more backslash,
+so no text can hold ``<|``. Each text stands between two control strings, which are tokens of their
+own, so no token crosses an end of a text and the loss mask covers whole texts exactly; what is read
+back as text under the loss comes from the mask and the tokens' places alone.
 
 Defined cases: turns are ordered by (turn, role, text), nulls first, so ties and repeated rows
 have one order and each repeated row is a turn of its own; null roles and texts are empty; rows of
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 
 from bispace.llm.common import broadcast_key, file_broadcast, worker_state
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
+_TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>\n", re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -37,19 +39,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
-def _role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
-
-
-def _unrole(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
-
-
 def render(turns: list[tuple[str, str]], loss_role: str = "assistant") -> tuple[str, list[tuple[int, int]]]:
     """Formatted conversation and the character spans of the texts that bear loss."""
     out, at, spans = [], 0, []
     for role, text in turns:
-        head, body = f"{START}{_role(role)}\n", escape(text)
+        head, body = f"{START}{escape(role)}{SEP}", escape(text)
         if role == loss_role:
             spans.append((at + len(head), at + len(head) + len(body)))
         out += [head, body, END, "\n"]
@@ -59,7 +53,7 @@ def render(turns: list[tuple[str, str]], loss_role: str = "assistant") -> tuple[
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Turns of a formatted conversation, as they were before it was rendered."""
-    return [(_unrole(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
+    return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
 def align(spans: list[tuple[int, int]], offsets: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -84,15 +78,16 @@ def _tokenizer(data: bytes):
     tokenizer = Tokenizer.from_buffer(data)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    tokenizer.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (START, END)])
+    tokenizer.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (START, SEP, END)])
     return tokenizer
 
 
-SCHEMA = "conv_id long, formatted string, token_ids array<int>, loss_mask array<tinyint>, loss_spans array<struct<start:long,end:long>>"
+SCHEMA = "conv_id long, formatted string, token_ids array<int>, token_starts array<int>, loss_mask array<tinyint>, loss_spans array<struct<start:long,end:long>>"
 
 
 def format_conversations(conversations: DataFrame, path: str, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: formatted text, token ids, a loss mask over them, covered spans."""
+    """One row per conversation: formatted text, token ids and their first characters, a loss mask
+    over them, covered spans."""
     shared = file_broadcast(conversations.sparkSession, path)
     whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
@@ -111,17 +106,26 @@ def format_conversations(conversations: DataFrame, path: str, loss_role: str = "
                         part.column("conv_id"),
                         pa.array(texts, pa.string()),
                         pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
+                        pa.array([[a for a, _ in e.offsets] for e in encoded], pa.list_(pa.int32())),
                         pa.array([m for m, _ in aligned], pa.list_(pa.int8())),
                         pa.array([[{"start": a, "end": b} for a, b in c] for _, c in aligned], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     ],
-                    names=["conv_id", "formatted", "token_ids", "loss_mask", "loss_spans"],
+                    names=["conv_id", "formatted", "token_ids", "token_starts", "loss_mask", "loss_spans"],
                 )
 
     return whole.mapInArrow(run, SCHEMA)
 
 
+def under_loss(text: str, starts: np.ndarray, mask: np.ndarray) -> str:
+    """The unescaped text of each run of masked tokens: from its first one to the token after it."""
+    step = np.diff(mask, prepend=0, append=0)
+    ends = np.append(starts, len(text))
+    return "".join(unescape(text[ends[a] : ends[b]]) for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds ``turns array<struct<role,text>>`` and ``loss_text``, both from the formatted output."""
+    """Adds ``turns array<struct<role,text>>`` from the formatted text, and ``loss_text`` from the
+    tokens under the loss mask."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in formatted.schema)
     pair = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
@@ -129,7 +133,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("formatted").to_pylist()
             turns = [[{"role": r, "text": t} for r, t in parse(x)] for x in texts]
-            loss = ["".join(unescape(x[s["start"] : s["end"]]) for s in spans) for x, spans in zip(texts, batch.column("loss_spans").to_pylist(), strict=True)]
+            places, masks = ([np.array(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("token_starts", "loss_mask"))
+            loss = [under_loss(*x) for x in zip(texts, places, masks, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(turns, pair), pa.array(loss, pa.string())], names=[*batch.schema.names, "turns", "loss_text"])
 
     return formatted.mapInArrow(run, f"{fields}, turns array<struct<role:string,text:string>>, loss_text string")
