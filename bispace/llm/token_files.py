@@ -1,7 +1,7 @@
 """Operator 8 - token ids in binary shards, each document compressed with one shared dictionary.
 
-A zstandard dictionary is trained on the serialized id arrays of a bounded sample of rows
-(``sample_rows``). Documents are dealt to ranges of ascending doc_id, encoded, closed with the end
+A zstandard dictionary is trained on the serialized id arrays of about ``sample_rows`` rows, drawn
+evenly from the whole table. Documents are dealt to ranges of ascending doc_id, encoded, closed with the end
 id, compressed one by one, and packed into shards of bounded size. A shard carries the dictionary's
 hash and an offset index, so a short document is read without its neighbours. Ids come from merging
 by rank where the driver has proven that for the vocabulary, else from the codec of operator 3. Shards are binary
@@ -12,7 +12,7 @@ Shard: magic ``TOKS1``, item size (2 or 4), dictionary SHA-256, number of docume
 (doc_id int64 each, null flags, token counts int64, offsets int64, one more at the end), frames.
 
 Defined cases: null texts hold the end id alone; a null doc_id sorts first; repeated doc_ids keep
-one entry per row, ties ordered by text; an empty table gives no shards; extra columns are ignored;
+one entry per row, ties ordered by a hash of their text; an empty table gives no shards; extra columns are ignored;
 texts of any length are one frame.
 """
 
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import PRETOKEN, Codec, codec, slices
-from bispace.llm.common import Shared, broadcast_key, file_broadcast, worker_state
+from bispace.llm.common import Shared, broadcast_key, file_broadcast, spread, worker_state
 from bispace.session import shared_dir
 
 MAGIC = b"TOKS1"
+#: Bytes of text in a range of documents; the tasks of larger tables stay as large, there are more.
+RANGE_BYTES = 128 << 20
 _HEAD = struct.Struct("<5sB32sQ")
 
 
@@ -128,7 +130,12 @@ class Shard:
 
 
 def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 500, dictionary_size: int = 65_536, shard_bytes: int = 2 << 20, ranges: int | None = None) -> None:
-    """Write ``folder``/dictionary and ``folder``/shards."""
+    """Write ``folder``/dictionary and ``folder``/shards.
+
+    Ranges are as many as ``RANGE_BYTES`` of text need, the session's shuffle partitions at least,
+    or ``ranges``. Rows are dealt by (doc_id, hash of text), so rows that share an id or have none
+    are dealt out too.
+    """
     spark = documents.sparkSession
     shared = file_broadcast(spark, path)
     by_rank = ByRank.proven(shared.value)
@@ -146,7 +153,7 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(serial([e + end for e in own.encode(batch.column("text").to_pylist())], item), pa.binary())], names=["ids"])
 
-    rows = source.limit(sample_rows).mapInArrow(of_sample, "ids binary").collect()
+    rows = spread(source, sample_rows).mapInArrow(of_sample, "ids binary").collect()
     dictionary = train_dictionary([bytes(r[0]) for r in rows], dictionary_size)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), dictionary)], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     sent = Shared(spark, dictionary)
@@ -178,8 +185,10 @@ def write_token_files(documents: DataFrame, path: str, folder: str, end_id: int
         if ids:
             yield shard()
 
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(source.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // RANGE_BYTES))
+    source = source.withColumn("deal", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("deal")]
+    ordered = source.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     ordered.select(F.spark_partition_id().alias("range"), "doc_id", "text").mapInArrow(of_range, "range int, shard long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{folder}/shards")
 
 
