@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bispace.llm.common import broadcast_key, file_broadcast, worker_state
+from bispace.llm.common import broadcast_key, file_broadcast, tidy, worker_state
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -62,7 +62,7 @@ def align(spans: list[tuple[int, int]], offsets: list[tuple[int, int]]) -> tuple
     Both lists are sorted; the tokens that meet a span lie between two binary searches. A token
     that crosses an end of a span bears loss, but only its part inside counts as covered.
     """
-    starts, ends = (np.array([o[k] for o in offsets], np.int64) for k in (0, 1))
+    starts, ends = np.asarray(offsets, np.int64).reshape(-1, 2).T
     mask, covered = np.zeros(len(offsets), np.int8), []
     for a, b in spans:
         first, after = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
@@ -85,6 +85,12 @@ def _tokenizer(data: bytes):
 SCHEMA = "conv_id long, formatted string, token_ids array<int>, token_starts array<int>, loss_mask array<tinyint>, loss_spans array<struct<start:long,end:long>>"
 
 
+def _lists(rows: list, values: pa.Array | None = None) -> pa.ListArray:
+    """An Arrow list column from arrays, or from their lengths and all their values."""
+    values = pa.array(np.concatenate(rows)) if values is None else values
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), values)
+
+
 def format_conversations(conversations: DataFrame, path: str, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: formatted text, token ids and their first characters, a loss mask
     over them, covered spans."""
@@ -96,24 +102,21 @@ def format_conversations(conversations: DataFrame, path: str, loss_role: str = "
     def run(batches):
         tokenizer = worker_state(broadcast_key("chat", shared), lambda: _tokenizer(shared.value))
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
                 turns = [[(t["role"] or "", t["text"] or "") for t in ts] for ts in part.column("turns").to_pylist()]
                 texts, spans = zip(*(render(t, loss_role) for t in turns), strict=True)
-                encoded = tokenizer.encode_batch(list(texts), add_special_tokens=False)
-                aligned = [align(s, e.offsets) for s, e in zip(spans, encoded, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("conv_id"),
-                        pa.array(texts, pa.string()),
-                        pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
-                        pa.array([[a for a, _ in e.offsets] for e in encoded], pa.list_(pa.int32())),
-                        pa.array([m for m, _ in aligned], pa.list_(pa.int8())),
-                        pa.array([[{"start": a, "end": b} for a, b in c] for _, c in aligned], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    ],
-                    names=["conv_id", "formatted", "token_ids", "token_starts", "loss_mask", "loss_spans"],
-                )
-
-    return whole.mapInArrow(run, SCHEMA)
+                ids, starts, masks, covered = [], [], [], []
+                for span, text in zip(spans, texts, strict=True):
+                    encoded = tokenizer.encode(text, add_special_tokens=False)
+                    offsets = np.array(encoded.offsets, np.int32).reshape(-1, 2)
+                    mask, cover = align(span, offsets)
+                    ids.append(np.array(encoded.ids, np.int32)), starts.append(offsets[:, 0]), masks.append(mask), covered.append(cover)
+                ends = np.array([x for c in covered for x in c], np.int64).reshape(-1, 2)
+                pairs = pa.StructArray.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["start", "end"])
+                columns = [part.column("conv_id"), pa.array(texts, pa.string()), *map(_lists, (ids, starts, masks)), _lists(covered, pairs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "formatted", "token_ids", "token_starts", "loss_mask", "loss_spans"])
+
+    return whole.mapInArrow(tidy(run), SCHEMA)
 
 
 def under_loss(text: str, starts: np.ndarray, mask: np.ndarray) -> str:
@@ -133,8 +136,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("formatted").to_pylist()
             turns = [[{"role": r, "text": t} for r, t in parse(x)] for x in texts]
-            places, masks = ([np.array(x, np.int64) for x in batch.column(c).to_pylist()] for c in ("token_starts", "loss_mask"))
+            places, masks = ([batch.column(c)[k].values.to_numpy(zero_copy_only=False) for k in range(batch.num_rows)] for c in ("token_starts", "loss_mask"))
             loss = [under_loss(*x) for x in zip(texts, places, masks, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(turns, pair), pa.array(loss, pa.string())], names=[*batch.schema.names, "turns", "loss_text"])
 
-    return formatted.mapInArrow(run, f"{fields}, turns array<struct<role:string,text:string>>, loss_text string")
+    return formatted.mapInArrow(tidy(run), f"{fields}, turns array<struct<role:string,text:string>>, loss_text string")
