@@ -1,16 +1,23 @@
 """Operator 9 - language-model scores by subword lattice likelihood.
 
-The pieces of an existing vocabulary get unigram probabilities from the training documents: the
-word counts of the whole corpus, each word cut as the vocabulary's own library cuts it, add-alpha
-smoothed. A word's probability is the sum over all its segmentations into pieces, by a forward
-recursion in log space; a text's is the product over its words and its end. Characters outside the
-vocabulary pass through byte pieces, so every text has a finite score. A word met in training has
-one arc more, from its start to its end, with its relative frequency; the arcs of pieces then share
-the mass that Witten and Bell leave to new words, V / (N + V).
-
-Beside it stands an add-one word model. Counts of frequent words (``table_size`` at most) are
-broadcast; the rarer words of documents meet the rest of the counts in one join, pre-aggregated by
-document, so no table that grows with the corpus is broadcast and hot words are never shuffled.
+The pieces of an existing vocabulary weigh all segmentations of a word: its probability is the sum
+over them of the product of their pieces' probabilities, by a forward recursion in log space; a
+text's is the product over its words and its end. Characters outside the vocabulary pass through
+byte pieces, so every text has a finite score.
+
+The scores in the vocabulary's file are ranks of merges, no log probabilities, so unigram
+probabilities are fitted here: expected counts of pieces over all segmentations of all training
+words (forward and backward recursions, ``EM_ROUNDS`` rounds, from the counts of the library's own
+cuts), add-alpha smoothed. Word counts cover the whole training corpus.
+
+``mixture_score``, an extra, gives each word met in training one arc more, from its start to its
+end, with its relative frequency; the arcs of pieces then share the mass that Witten and Bell leave
+to new words, V / (N + V).
+
+Beside them stands an add-one word model. Counts of frequent words (``table_size`` at most, found
+by a cut-off from the histogram of counts) are broadcast; the rarer words of documents meet the rest
+of the counts in one join, pre-aggregated by document, so no table that grows with the corpus is
+broadcast or sent to the driver, and hot words are never shuffled.
 
 Defined cases: null and empty texts are their end token alone; rows map one for one (ties,
 repeats, null ids stay; a null id counts as the empty text for the split); without training rows
@@ -30,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import Shared, broadcast_key, crc_mod, file_broadcast, worker_state
+from bispace.llm.common import Shared, broadcast_key, crc_mod, file_broadcast, frequency_class, least_class, worker_state
 from bispace.session import work_table
 
-HELD_WORDS, ALPHA = 300_000, 0.1
+HELD_WORDS, ALPHA, EM_ROUNDS = 300_000, 0.1, 2
 END = b""
 
 
@@ -96,88 +103,136 @@ class Lattice:
         library = Pieces(data).library
         total = math.log(counts.sum() + ALPHA * len(counts))
         log_p = (np.log(counts + ALPHA) - total).tolist()
-        self.end = log_p[-1] / math.log(10)
+        self.size, self.end = len(counts) - 1, log_p[-1] / math.log(10)
         self.pieces: dict[str, float] = {}
-        self.bytes = [0.0] * 256
+        self.number: dict[str, int] = {}
+        self.bytes, self.byte_number = [0.0] * 256, [0] * 256
         for i in range(library.get_piece_size()):
+            piece = library.id_to_piece(i)
             if library.is_byte(i):
-                self.bytes[int(library.id_to_piece(i)[3:5], 16)] = log_p[i]
+                self.bytes[int(piece[3:5], 16)], self.byte_number[int(piece[3:5], 16)] = log_p[i], i
             elif not library.is_control(i) and not library.is_unknown(i):
-                self.pieces[library.id_to_piece(i)] = log_p[i]
+                self.pieces[piece], self.number[piece] = log_p[i], i
         self.longest: dict[str, int] = {}
         for p in self.pieces:
             self.longest[p[-1]] = max(self.longest.get(p[-1], 0), len(p))
 
-    def word(self, raw: bytes) -> float:
-        """log10 of the summed probability of all segmentations of a word with its opening space."""
-        text = "▁" + raw.decode("utf-8", "replace")
-        ahead, get, longest, exp, log = [0.0], self.pieces.get, self.longest.get, math.exp, math.log
+    def _forward(self, text: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
+        """Log of the summed probability of each prefix, and the arcs (start, log p) into each end."""
+        ahead, arcs = [0.0], [[]]
+        get, longest, exp, log = self.pieces.get, self.longest.get, math.exp, math.log
         for end in range(1, len(text) + 1):
-            char, terms = text[end - 1], []
+            char, into = text[end - 1], []
             for start in range(max(0, end - longest(char, 0)), end):
                 p = get(text[start:end])
                 if p is not None:
-                    terms.append(ahead[start] + p)
+                    into.append((start, p))
             if char not in self.pieces:
-                terms.append(ahead[end - 1] + sum(self.bytes[b] for b in char.encode("utf-8", "replace")))
-            if len(terms) == 1:
-                ahead.append(terms[0])
+                into.append((end - 1, sum(self.bytes[b] for b in char.encode("utf-8", "replace"))))
+            arcs.append(into)
+            if len(into) == 1:
+                ahead.append(ahead[into[0][0]] + into[0][1])
             else:
+                terms = [ahead[start] + p for start, p in into]
                 top = max(terms)
                 ahead.append(top + log(sum([exp(t - top) for t in terms])))
-        return ahead[-1] / math.log(10)
+        return ahead, arcs
+
+    def word(self, raw: bytes) -> float:
+        """log10 of the summed probability of all segmentations of a word with its opening space."""
+        return self._forward("▁" + raw.decode("utf-8", "replace"))[0][-1] / math.log(10)
+
+    def expect(self, raw: bytes, n: float, into: np.ndarray) -> None:
+        """Adds the expected counts of pieces in ``n`` occurrences of a word."""
+        text = "▁" + raw.decode("utf-8", "replace")
+        ahead, arcs = self._forward(text)
+        exp = math.exp
+        share = [0.0] * len(text) + [float(n)]  # expected visits of each place, from the end back
+        for end in range(len(text), 0, -1):
+            if share[end] == 0.0:
+                continue
+            for start, p in arcs[end]:
+                part = share[end] * exp(ahead[start] + p - ahead[end])
+                share[start] += part
+                piece = self.number.get(text[start:end])
+                if piece is not None:
+                    into[piece] += part
+                else:
+                    for b in text[start:end].encode("utf-8", "replace"):
+                        into[self.byte_number[b]] += part
 
 
 class Scoring:
     """Frequent words with their scores, made once by the driver and the same in every worker."""
 
-    def __init__(self, lattice: Lattice, counts: dict[bytes, int], total: int, kinds: int):
-        self.below, self.total = math.log10(total + kinds + 1), max(total, 1)
-        self.new = kinds / (total + kinds) if kinds else 1.0
-        self.rows = {w: k for k, w in enumerate(w for w in counts if w)}
-        self.values = np.zeros((len(self.rows), 2))
-        for w, k in self.rows.items():
-            n = counts[w]
-            self.values[k] = math.log10((1 - self.new) * n / self.total + self.new * 10 ** lattice.word(w)), math.log10(n + 1) - self.below
-        ends = counts.get(END, 0)
-        self.end = (lattice.end, math.log10(ends + 1) - self.below, int(ends > 0))
+    def __init__(self, end: float, words: dict[bytes, tuple[int, float]], ends: int, total: int, kinds: int):
+        below, new = math.log10(total + kinds + 1), kinds / (total + kinds) if kinds else 1.0
+        self.rows = {w: k for k, w in enumerate(words)}
+        self.values = np.zeros((len(words), 3))
+        for w, (n, pieces) in words.items():
+            self.values[self.rows[w]] = pieces, math.log10(n + 1) - below, math.log10((1 - new) * n / max(total, 1) + new * 10**pieces)
+        self.end = (end, math.log10(ends + 1) - below, int(ends > 0))
 
     def text(self, text: str | None):
-        """Tokens, known frequent tokens, their base score and score; rarer words with counts."""
+        """Tokens, known frequent tokens, their base score, score and mixture score; rarer words with counts."""
         words = words_of(text)
         at = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
         known = at[at >= 0]
-        score, base = self.values[known].sum(0)
+        score, base, mixture = self.values[known].sum(0).tolist()
         rare = Counter([words[k] for k in np.flatnonzero(at < 0).tolist()]) if len(known) < len(at) else {}
-        return len(words) + 1, len(known) + self.end[2], float(base) + self.end[1], float(score) + self.end[0], rare
+        return len(words) + 1, len(known) + self.end[2], base + self.end[1], score + self.end[0], mixture + self.end[0], rare
 
 
-def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, table_size: int = 50_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2, table_size: int = 50_000, rounds: int = EM_ROUNDS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixture_score) of every row."""
     spark = documents.sparkSession
     shared = file_broadcast(spark, path)
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (crc_mod(F.col(doc_id), modulus) == held).alias("held_out"))
     counts = work_table(count_words(rows.where("not held_out").select("text")), "words")
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, kinds, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
+    words = counts.where("length(word) > 0")
+    size = Pieces(shared.value).size
+
+    def pieces_of(cut) -> np.ndarray:
+        """Sums over all training words of what ``cut(words, counts)`` makes of a batch; no more
+        numbers than the vocabulary has pieces reach the driver."""
+
+        def run(batches):
+            gc.disable()
+            sums = np.zeros(size + 1)
+            for batch in batches:
+                sums += cut(batch.column("word").to_pylist(), batch.column("n").to_pylist())
+            used = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["piece", "n"])
+
+        found = np.zeros(size + 1)
+        for r in words.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            found[r["piece"]] = r["n"]
+        found[size] = ends
+        return found
+
+    pieces = pieces_of(lambda w, n: worker_state(broadcast_key("pieces", shared), lambda: Pieces(shared.value)).count(w, n))
+    for _ in range(rounds):
+        sent = Shared(spark, pieces)
+
+        def expected(w, n, sent=sent):
+            lattice = worker_state(broadcast_key("lattice", sent), lambda: Lattice(shared.value, sent.value))
+            sums = np.zeros(size + 1)
+            for x, k in zip(w, n, strict=True):
+                lattice.expect(x, k, sums)
+            return sums
+
+        pieces = pieces_of(expected)
+    counts_sent = Shared(spark, pieces)
 
-    def piece_counts(batches):
-        own = worker_state(broadcast_key("pieces", shared), lambda: Pieces(shared.value))
-        sums = np.zeros(own.size + 1)
+    def of_frequent(batches):
+        own = worker_state(broadcast_key("lattice", counts_sent), lambda: Lattice(shared.value, counts_sent.value))
         for batch in batches:
-            sums += own.count(batch.column("word").to_pylist(), batch.column("n").to_pylist())
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["piece", "n"])
-
-    pieces = np.zeros(Pieces(shared.value).size + 1)
-    for r in counts.mapInArrow(piece_counts, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        pieces[r["piece"]] = r["n"]
-    top = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(table_size).collect()}
-    if kinds:
-        top.setdefault(END, counts.where(F.length("word") == 0).first()["n"])
-    lattice = Lattice(shared.value, pieces)
-    frequent = Shared(spark, Scoring(lattice, top, total, kinds))
-    counts_sent = Shared(spark, pieces)
-    schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,tf:int>>".format(dict(rows.dtypes)["doc_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([own.word(w) for w in batch.column("word").to_pylist()], pa.float64())], names=["word", "n", "pieces"])
+
+    top = words.where(frequency_class(F.col("n")) >= least_class(words, table_size)).mapInArrow(of_frequent, "word binary, n long, pieces double")
+    frequent = Shared(spark, Scoring(Lattice(shared.value, pieces).end, {bytes(r["word"]): (r["n"], r["pieces"]) for r in top.collect()}, ends, total, kinds))
+    schema = "doc_id {}, held_out boolean, n_tokens long, n_known long, base double, score double, mixture double, rare array<struct<word:binary,tf:int>>".format(dict(rows.dtypes)["doc_id"])
     pair = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
 
     def run(batches):
@@ -185,10 +240,11 @@ def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "do
         own = worker_state(broadcast_key("frequent", frequent), lambda: frequent.value)
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, known, base, found, rare = (list(x) for x in zip(*map(own.text, batch.column("text").to_pylist()), strict=True))
+                n, known, base, found, mixture, rare = (list(x) for x in zip(*map(own.text, batch.column("text").to_pylist()), strict=True))
                 flat = pa.StructArray.from_arrays([pa.array([w for ws in rare for w in ws], pa.binary()), pa.array([x for ws in rare for x in ws.values()], pa.int32())], names=["word", "tf"])
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32)), flat).cast(pair)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(found), lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+                made = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), *(pa.array(x, pa.float64()) for x in (base, found, mixture)), lists]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "mixture", "rare"])
 
     def by_pieces(batches):
         """Lattice scores of rare words; the join has brought equal words together, so each is
@@ -210,8 +266,13 @@ def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "do
     own = F.when(F.col("n") > 0, F.log10((1 - new) / max(total, 1) * F.col("n") + new * F.pow(F.lit(10.0), F.col("pieces")))).otherwise(F.col("pieces") + math.log10(new))
     rest = met.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).cast("long").alias("more"),
-        F.sum((F.log10(F.col("n") + F.lit(1.0)) - most) * F.col("tf")).alias("add"),
-        F.sum(own * F.col("tf")).alias("add_score"),
+        F.sum((F.log10(F.col("n") + F.lit(1.0)) - most) * F.col("tf")).alias("add_base"),
+        F.sum(F.col("pieces") * F.col("tf")).alias("add_score"),
+        F.sum(own * F.col("tf")).alias("add_mixture"),
     )
     full = done.drop("rare").join(rest, "row", "left")
-    return full.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("add_score", F.lit(0.0))).alias("score"))
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0.0))
+    return full.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        plus("base", "add_base").alias("base_score"), plus("score", "add_score").alias("score"), plus("mixture", "add_mixture").alias("mixture_score"),
+    )

@@ -205,28 +205,71 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def segmentations(text, pieces):
+    """All ways to cut a word into pieces, as lists of names; a character without a piece is its bytes."""
+    if not text:
+        yield []
+    for k in range(1, len(text) + 1):
+        if text[:k] in pieces:
+            yield from ([text[:k], *rest] for rest in segmentations(text[k:], pieces))
+    if text and text[0] not in pieces:
+        yield from ([*(f"<0x{b:02X}>" for b in text[0].encode()), *rest] for rest in segmentations(text[1:], pieces))
+
+
+def fitted(words, ends, rounds):
+    """Piece probabilities by enumeration of all segmentations of all training words."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+    pieces = {n for i, n in enumerate(names) if not library.is_byte(i) and not library.is_control(i) and not library.is_unknown(i)}
+    cuts = {w: list(segmentations("▁" + w, pieces)) for w in words}
+    count = Counter()
+    for w, n in words.items():
+        for i in library.encode(w):
+            count[names[i]] += n
+    for r in range(rounds + 1):
+        total = sum(count.values()) + ends + 0.1 * (len(names) + 1)
+        p = {n: (count[n] + 0.1) / total for n in names}
+        if r < rounds:
+            count = Counter()
+            for w, n in words.items():
+                weigh = [math.prod(p[x] for x in c) for c in cuts[w]]
+                for c, x in zip(cuts[w], weigh, strict=True):
+                    for name in c:
+                        count[name] += n * x / sum(weigh)
+    marginal = lambda w: math.log10(sum(math.prod(p[x] for x in c) for c in segmentations("▁" + w, pieces)))
+    return marginal, math.log10((ends + 0.1) / total)
+
+
 def test_lm_scores_by_brute_force(spark):
-    texts = ["The cat sat", "the CAT\tran", None, "", "é 日本 zq", "the the the", "x" * 3000, *(f"w{k} the a{k}" for k in range(30))]
+    texts = ["The cat sat", "the CAT\tran", None, "", "é 日本 zq ⠿x", "the the the", *(f"w{k} the a{k}" for k in range(30))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
     count = Counter(w for t in train for w in [*lm_scoring.words_of(t), b""])
     n, v = sum(count.values()), len(count)
-    with open(PIECES, "rb") as f:
-        data = f.read()
-    lattice = lm_scoring.Lattice(data, lm_scoring.Pieces(data).count(list(count), list(count.values())))
+    marginal, end = fitted({w.decode(): c for w, c in count.items() if w}, count[b""], lm_scoring.EM_ROUNDS)
     share = v / (n + v)
     for table in (5, 100_000):
         got = lm_scoring.score(df, PIECES, table_size=table).collect()
         assert len(got) == len(texts)
         for r in got:
             words = lm_scoring.words_of(texts[r.doc_id])
+            own = {w: marginal(w.decode()) for w in words}
             assert (r.n_tokens, r.train_tokens, r.n_known) == (len(words) + 1, n, sum(count[w] > 0 for w in [*words, b""]))
             assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
             assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*words, b""]))
-            assert r.score == pytest.approx(sum(math.log10((1 - share) * count[w] / n + share * 10 ** lattice.word(w)) if count[w] else math.log10(share) + lattice.word(w) for w in words) + lattice.end)
+            assert r.score == pytest.approx(sum(own[w] for w in words) + end)
+            assert r.mixture_score == pytest.approx(sum(math.log10((1 - share) * count[w] / n + share * 10 ** own[w]) if count[w] else math.log10(share) + own[w] for w in words) + end)
     assert lm_scoring.score(df.limit(0), PIECES).count() == 0
 
 
+def test_lm_scores_of_a_very_long_word_and_text(spark):
+    df = spark.createDataFrame([(1, "x" * 3000), (3, "the cat " * 4000), (4, "the cat")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(df, PIECES).collect()}
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got.values()) and got[3].n_tokens == 8001
+
+
 def test_lattice_sums_all_segmentations():
     with open(PIECES, "rb") as f:
         data = f.read()
