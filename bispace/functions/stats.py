@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,20 @@ def ln_choose(n: Column, k: Column) -> Column:
 
 
 def hypergeometric_tail(at_least: Column, population: Column, marked: Column, drawn: Column) -> Column:
-    """P(X >= at_least), summed from the upper tail so small values keep their precision."""
-    top = F.least(marked, drawn)
+    """P(X >= at_least), summed from the upper tail so small values keep their precision.
+
+    Terms further than 60 and twelve deviations from the mean, or from ``at_least`` beyond it, are
+    under any double's reach of the sum and aren't computed, so work grows with the root of the size.
+    An empty population gives 1 for nothing and 0 for more.
+    """
+    mean = F.coalesce(F.try_divide(marked.cast("double") * drawn, population), F.lit(0.0))
+    reach = F.lit(60) + F.ceil(12 * F.sqrt(mean + 1))
     low = F.greatest(at_least, marked + drawn - population, F.lit(0))
+    start = F.greatest(low.cast("long"), F.floor(mean) - reach)
+    top = F.least(F.least(marked, drawn).cast("long"), F.greatest(low.cast("long"), F.floor(mean)) + reach)
     term = lambda j: F.exp(ln_choose(marked, j) + ln_choose(population - marked, drawn - j) - ln_choose(population, drawn))
-    return F.when(low > top, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(low, F.greatest(low, top)), F.lit(0.0), lambda s, j: s + term(j))))
+    total = F.aggregate(F.sequence(start, F.greatest(start, top)), F.lit(0.0), lambda s, j: s + term(j))
+    return F.when(low > F.least(marked, drawn), F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
 
 
 def poisson_tail(at_least: Column, mu: Column, terms: int = 200) -> Column:
@@ -44,15 +53,17 @@ def poisson_tail(at_least: Column, mu: Column, terms: int = 200) -> Column:
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "fdr", tests: Column | None = None) -> DataFrame:
     """Adds step-up FDR over all rows of ``p``; ``tests`` pads the number of tests.
 
-    Ranks come from counts of distinct p-values, so only the reverse running minimum over distinct
-    values is ordered; ties share a rank, as in the usual procedure.
+    Ranks come from counts of distinct p-values, so only distinct values are ordered, in ranges;
+    ties share a rank, as in the usual procedure. A null p stays without an FDR.
     """
+    from bispace.operators.windows import least_from_here, running_sum
+
     total = df.agg(F.count(p).cast("double").alias("_m")) if tests is None else df.sparkSession.range(1).select(tests.cast("double").alias("_m"))
-    each = df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    rank = F.sum("_n").over(Window.orderBy("_p"))
-    q = each.crossJoin(F.broadcast(total)).withColumn("_q", F.col("_p") * F.col("_m") / rank)
-    q = q.withColumn("_q", F.least(F.lit(1.0), F.min("_q").over(Window.orderBy(F.desc("_p"))))).select("_p", F.col("_q").alias(out))
-    return df.join(q, df[p].eqNullSafe(q["_p"]), "left").drop("_p")
+    each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_q")).agg(F.count("*").alias("_n"))
+    ranked = running_sum(each, [], [F.col("_q")], F.col("_n"), "_rank").crossJoin(F.broadcast(total))
+    ranked = ranked.select("_q", (F.col("_q") * F.col("_m") / F.col("_rank")).alias("_f"))
+    q = least_from_here(ranked, [F.col("_q")], "_f", "_least").select("_q", F.least(F.lit(1.0), "_least").alias(out))
+    return df.join(q, df[p] == q["_q"], "left").drop("_q")
 
 
 def normal_tail(z: Column) -> Column:
@@ -82,7 +93,10 @@ def mann_whitney_p(u: Column, n1: Column, n2: Column, ties: Column, two_sided: b
 
 
 def student_two_sided(t: Column, df: Column, terms: int = 200) -> Column:
-    """P(|T| >= |t|) of Student's distribution: the incomplete beta function's continued fraction."""
+    """P(|T| >= |t|) of Student's distribution: the incomplete beta function's continued fraction.
+
+    The fraction takes about the root of its larger argument to settle, so as many terms are added.
+    """
     x = df / (df + t * t)
 
     def beta_fraction(a: Column, b: Column, x: Column) -> Column:
@@ -93,7 +107,8 @@ def student_two_sided(t: Column, df: Column, terms: int = 200) -> Column:
             odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
             return 1 + even / (1 + odd / s)
 
-        inner = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), F.lit(1.0), step)
+        most = F.lit(terms) + F.ceil(4 * F.sqrt(F.greatest(a, b))).cast("int")
+        inner = F.aggregate(F.sequence(most, F.lit(1), F.lit(-1)), F.lit(1.0), step)
         return 1 / (1 - (a + b) * x / (a + 1) / inner)
 
     def ln_gamma(y: Column) -> Column:

@@ -7,29 +7,32 @@ from pyspark.sql import functions as F
 
 
 def qc_filter(counts: DataFrame, mito: Column, min_features: int, max_features: int, max_mito: float, min_cells: int) -> DataFrame:
-    """Cells (cell, n_features, total, mito_share) that pass; order: few features, rare features, rest."""
+    """Cells (cell, n_features, total, mito_share) that pass; order: few features, rare features, rest.
+    A cell whose counts sum to zero has no mitochondrial share (0)."""
     enough = counts.groupBy("cell").agg(F.countDistinct("feature").alias("k")).where(F.col("k") >= min_features).select("cell")
     kept = counts.join(enough, "cell", "left_semi")
     common = kept.groupBy("feature").agg(F.countDistinct("cell").alias("k")).where(F.col("k") >= min_cells).select("feature")
     kept = kept.join(common, "feature", "left_semi")
-    share = F.sum(F.when(mito, F.col("value")).otherwise(0.0)) / F.sum("value")
+    share = F.coalesce(F.try_divide(F.sum(F.when(mito, F.col("value")).otherwise(0.0)), F.sum("value")), F.lit(0.0))
     cells = kept.groupBy("cell").agg(F.countDistinct("feature").alias("n_features"), F.sum("value").alias("total"), share.alias("mito_share"))
     return cells.where((F.col("n_features") < max_features) & (F.col("mito_share") < max_mito))
 
 
 def normalize_log1p(counts: DataFrame, target: float = 1e4) -> DataFrame:
-    """(cell, feature, x): values scaled to ``target`` per cell, then log1p."""
+    """(cell, feature, x): values scaled to ``target`` per cell, then log1p; zeros in a cell without counts."""
     one = counts.groupBy("cell", "feature").agg(F.sum("value").alias("value"))
     total = one.groupBy("cell").agg(F.sum("value").alias("total"))
-    return one.join(total, "cell").select("cell", "feature", F.log1p(F.col("value") * target / F.col("total")).alias("x"))
+    return one.join(total, "cell").select("cell", "feature", F.coalesce(F.log1p(F.try_divide(F.col("value") * target, F.col("total"))), F.lit(0.0)).alias("x"))
 
 
 def dispersion(normalised: DataFrame, n_cells: int) -> DataFrame:
-    """(feature, mean, dispersion): moments over all cells, absent values being zero."""
+    """(feature, mean, dispersion): moments over all cells, absent values being zero; a feature of zeros
+    or without variance has no dispersion (null)."""
     s = normalised.withColumn("e", F.expm1("x")).groupBy("feature").agg(F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("ss"))
     mean = F.col("s") / n_cells
-    var = (F.col("ss") - n_cells * mean * mean) / (n_cells - 1)
-    return s.select("feature", F.log1p(mean).alias("mean"), F.log(var / mean).alias("dispersion"))
+    var = F.greatest(F.col("ss") - n_cells * mean * mean, F.lit(0.0)) / max(n_cells - 1, 1)
+    ratio = F.try_divide(var, mean)
+    return s.select("feature", F.log1p(mean).alias("mean"), F.when(ratio > 0, F.log(ratio)).alias("dispersion"))
 
 
 def clone_medoid(cells: DataFrame) -> DataFrame:
@@ -55,6 +58,9 @@ def cluster_contingency(rows: DataFrame) -> DataFrame:
 
 
 def dense_group_ids(rows: DataFrame, columns: list[str], out: str) -> DataFrame:
-    """0-based position of each row's tuple among the sorted distinct tuples; only these are ordered."""
-    ranks = rows.select(*columns).distinct().withColumn(out, F.row_number().over(Window.orderBy(*columns)) - 1)
-    return rows.join(ranks, columns)
+    """0-based position of each row's tuple among the sorted distinct tuples; only these are ordered,
+    in ranges. Rows with a null in the tuple are left out."""
+    from bispace.operators.windows import running_sum
+
+    ranks = running_sum(rows.select(*columns).na.drop().distinct(), [], [F.col(c) for c in columns], F.lit(1), out)
+    return rows.join(ranks.withColumn(out, F.col(out) - 1), columns)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bispace.functions.stats import hypergeometric_tail
+from bispace.operators.distances import in_blocks, nearest
+from bispace.operators.windows import running_sum
 
 BLOCK = 512
 
@@ -16,35 +17,24 @@ def exclusion_knn(nodes: DataFrame, vector: str, k: int, block: int = BLOCK) ->
     """(src, dst, dist, rank): each node's k nearest nodes by Euclidean distance, ties by id.
 
     ``nodes`` has id, ag, bg and the vector; nodes that share ag or bg are never neighbours, so a
-    node with few eligible others gets a shorter list. Nodes are cut into blocks of bounded size;
-    a task meets two blocks in a vector kernel and returns k rows per node, never all pairs.
+    node with few eligible others gets a shorter list. Nodes are cut into blocks of bounded size and
+    every two blocks meet, as exactness takes; a block keeps a running top k, so k rows per node and
+    task are shuffled, never pairs. Nodes with a null id, group or vector, or a null in the vector,
+    have no neighbours and are nobody's; all vectors are of one length.
     """
-    n = nodes.count()
-    parts = max(1, -(-n // block))
-    packed = nodes.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("b"), F.struct("id", "ag", "bg", F.col(vector).alias("v")).alias("x")).groupBy("b").agg(F.collect_list("x").alias("x"))
-    left, right = packed.select(F.col("b").alias("p"), F.col("x").alias("l")), packed.select(F.col("b").alias("q"), F.col("x").alias("r"))
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sides = []
-                for c in "lr":
-                    rows = batch.column(c)[i].as_py()
-                    sides.append((*(np.array([r[f] for r in rows], np.int64) for f in ("id", "ag", "bg")), np.array([r["v"] for r in rows], np.float64)))
-                (ia, ga, ha, xa), (ib, gb, hb, xb) = sides
-                d = np.zeros((len(ia), len(ib)))
-                for j in range(xa.shape[1]):
-                    d += (xa[:, j : j + 1] - xb[:, j]) ** 2
-                d = np.round(np.sqrt(d), 9)
-                d[(ga[:, None] == gb) | (ha[:, None] == hb)] = np.inf
-                order = np.lexsort((np.broadcast_to(ib, d.shape), d))[:, :k]
-                near = np.take_along_axis(d, order, 1)
-                row, col = np.nonzero(np.isfinite(near))
-                yield pa.RecordBatch.from_arrays([pa.array(ia[row]), pa.array(ib[order[row, col]]), pa.array(near[row, col])], names=["src", "dst", "dist"])
-
-    met = left.repartition(parts, "p").crossJoin(F.broadcast(right) if parts == 1 else right).mapInArrow(run, "src long, dst long, dist double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+    whole = nodes.select("id", "ag", "bg", F.col(vector).cast("array<double>").alias("v")).na.drop().where(F.forall("v", lambda x: x.isNotNull()))
+
+    def distance(x, y):
+        xa, xb = (m["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(m["id"]), -1) for m in (x, y))
+        d = np.zeros((len(xa), len(xb)))
+        for j in range(xa.shape[1]):
+            d += (xa[:, j : j + 1] - xb[:, j]) ** 2
+        d = np.round(np.sqrt(d), 9)
+        for g in ("ag", "bg"):
+            d[x[g].to_numpy()[:, None] == y[g].to_numpy()] = np.inf
+        return d
+
+    return nearest(*in_blocks(whole, ["id", "ag", "bg", "v"], block), distance, k)
 
 
 def neighbour_density(edges: DataFrame) -> DataFrame:
@@ -138,9 +128,11 @@ def neighbourhood_moments(edges: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def mann_whitney_u(rows: DataFrame, key: list[str], group: str, value: str) -> DataFrame:
-    """U of the rows with ``group`` true against the others of the same key, with mid-ranks."""
+    """U of the rows with ``group`` true against the others of the same key, with mid-ranks.
+
+    Distinct values are ordered in ranges of (key, value), so a key of any size is many tasks.
+    """
     each = rows.groupBy(*key, value).agg(F.count("*").alias("n"), F.sum(F.col(group).cast("long")).alias("f"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = each.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = running_sum(each, key, [F.col(value)], F.col("n"), "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2)
     got = ranked.groupBy(*key).agg(F.sum(F.col("rank") * F.col("f")).alias("r"), F.sum("f").alias("n1"), F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(3.0)) - F.col("n")).alias("ties"))
     return got.select(*key, "n1", (F.col("n") - F.col("n1")).alias("n2"), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "ties")

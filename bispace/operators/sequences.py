@@ -160,3 +160,13 @@ def motif_cores(rows: DataFrame, spread: int = 3) -> DataFrame:
     at = lambda k: F.substring("s", k, F.lit(1))
     core = F.concat(at(F.col("k")), F.repeat(F.lit("."), F.col("g.x") - 1), at(F.col("k") + F.col("g.x")), F.repeat(F.lit("."), F.col("g.y") - 1), at(F.col("k") + F.col("g.x") + F.col("g.y")))
     return w.groupBy(core.alias("core")).agg(F.count("*").alias("n"))
+
+
+def pwm_with_pseudocounts(rows: DataFrame, pseudo: float, alphabet: str = ALPHABET) -> DataFrame:
+    """(len, pos, letter, freq): one matrix for each length, ``pseudo`` added to every letter's count;
+    letters outside the alphabet are skipped, and a place with none but those has no row."""
+    each = rows.select(F.length("seq").alias("len"), F.posexplode(F.split("seq", "")).alias("pos", "letter")).where(F.col("letter").isin(*alphabet))
+    n = each.groupBy("len", "pos", "letter").agg(F.count("*").alias("n"))
+    places = n.groupBy("len", "pos").agg(F.sum("n").alias("all")).withColumn("letter", F.explode(F.array(*map(F.lit, alphabet))))
+    freq = (F.coalesce("n", F.lit(0)) + pseudo) / (F.col("all") + pseudo * len(alphabet))
+    return places.join(n, ["len", "pos", "letter"], "left").select("len", "pos", "letter", freq.alias("freq"))

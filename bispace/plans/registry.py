@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from bispace.functions.stats import benjamini_hochberg
 from bispace.operators import cells, neighbours, receptors, sequences
 from bispace.operators.components import connected_components
+from bispace.plans.base import QUERIES, SQL, query
 from bispace.sources import adapters
 
 FRACTION = 0.1
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 # ---- SQL fragments shared by the oracles -------------------------------------------------------
 NODES = """nodes AS (SELECT vec_id AS id, CAST(embedding[1:32] AS DOUBLE[]) AS gex, CAST(embedding[33:64] AS DOUBLE[]) AS tcr,
@@ -50,18 +49,6 @@ def _log10(p: Column) -> Column:
     return F.round(F.log10(F.greatest(p, F.lit(1e-100))), 4)
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _graph(spark: SparkSession, sf_dir: str, *spaces: str) -> tuple:
     n = adapters.nodes(spark, sf_dir)
     k = max(1, int(FRACTION * n.count()))
@@ -267,77 +254,7 @@ def merge_samples_union(spark, sf_dir):
     return receptors.merge_samples([c.where("productive"), c.where("not productive")]).groupBy("clone", "batch").agg(F.count("*").alias("n"), F.countDistinct("barcode").alias("barcodes"))
 
 
-# ---- sequences ---------------------------------------------------------------------------------
-_LETTERS = "regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
-SEQ = f"""seqs AS (SELECT doc_id AS id, source AS v, substring({_LETTERS}, 1, 12 + doc_id % 5) AS seq FROM documents WHERE length(substring({_LETTERS}, 1, 12 + doc_id % 5)) >= 12),
- db AS (SELECT item_id AS id, substring({_LETTERS}, 1, 12 + item_id % 5) AS seq FROM benchmark WHERE length({_LETTERS}) >= 12),
- aa AS (SELECT a, b, CASE WHEN a = b THEN 0 ELSE coalesce(d, 4) END AS d FROM (SELECT unnest(string_split('{sequences.ALPHABET}', '')) AS a), (SELECT unnest(string_split('{sequences.ALPHABET}', '')) AS b)
-  LEFT JOIN (VALUES {', '.join(f"('{p[0]}', '{p[1]}', {d})" for q, d in sequences.CLOSE.items() for p in (q, q[::-1]))}) AS z(x, y, d) ON x = a AND y = b)"""
-
-
-def _radius(left: str, right: str, r: int) -> str:
-    return f"""p AS (SELECT a.id AS i, b.id AS j, a.seq AS s, b.seq AS t, least(length(a.seq), length(b.seq)) AS m, length(a.seq) AS ls, length(b.seq) AS lt FROM {left} a JOIN {right} b ON abs(length(a.seq) - length(b.seq)) * 12 <= {r}),
- g AS (SELECT *, least(6, 3 + (m - 5) // 2) AS g FROM p),
- k AS (SELECT i, j, ls, lt, unnest(range(4, m - 1)) AS k, s, t, g FROM g),
- h AS (SELECT i, j, ls, lt, CASE WHEN k <= g THEN s[k] ELSE s[ls - least(ls, lt) + k] END AS x, CASE WHEN k <= g THEN t[k] ELSE t[lt - least(ls, lt) + k] END AS y FROM k),
- matches AS (SELECT i, j, CAST(3 * sum(d) + 12 * abs(any_value(ls) - any_value(lt)) AS BIGINT) AS d FROM h JOIN aa ON aa.a = x AND aa.b = y GROUP BY i, j HAVING 3 * sum(d) + 12 * abs(any_value(ls) - any_value(lt)) <= {r})"""
-
-
-@query(f"WITH {SEQ}, {_radius('seqs', 'db', 72)} SELECT i, j, d FROM matches")
-def radius_matches(spark, sf_dir):
-    m = sequences.radius_join(adapters.sequences(spark, sf_dir), adapters.database(spark, sf_dir), 72)
-    return m.withColumn("d", F.col("d").cast("long"))
-
-
-@query(f"WITH {SEQ}, {_radius('seqs', 'db', 96)} SELECT count(*) AS matches, count(DISTINCT i) AS n_left, count(DISTINCT j) AS n_right, round(sum(exp(-d * d / 2304.0)), 4) AS soft FROM matches")
-def match_count_score(spark, sf_dir):
-    m = sequences.radius_join(adapters.sequences(spark, sf_dir), adapters.database(spark, sf_dir), 96)
-    return sequences.match_score(m, 48.0).withColumn("soft", F.round("soft", 4))
-
-
-_BG = """a AS (SELECT i AS id, d, count(*) AS n FROM matches WHERE d <= 96 GROUP BY ALL), conv AS (SELECT x.id, x.d + y.d AS dist, sum(x.n * y.n) AS n FROM a x JOIN a y USING (id) WHERE x.d + y.d <= 96 GROUP BY ALL),
- bg AS (SELECT id, dist, greatest(0.25, sum(n) OVER (PARTITION BY id ORDER BY dist)) / 1e6 AS freq FROM conv)"""
-
-
-@query(f"WITH {SEQ}, {_radius('seqs', 'db', 96)}, {_BG} SELECT id, CAST(dist AS BIGINT) AS dist, round(CAST(freq AS DOUBLE) * 1e6, 6) AS freq_ppm FROM bg")
-def background_convolution(spark, sf_dir):
-    m = sequences.radius_join(adapters.sequences(spark, sf_dir), adapters.database(spark, sf_dir), 96)
-    return sequences.background(m, m, 1_000_000, 96).select("id", F.col("dist").cast("long").alias("dist"), F.round(F.col("freq") * 1e6, 6).alias("freq_ppm"))
-
-
-_DB = f"substring({_LETTERS}, 1, 5)"
-
-
-@query(f"WITH q AS (SELECT {_DB} AS seq, doc_id AS id FROM documents), g AS (SELECT seq, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM q GROUP BY 1) SELECT item_id, g.seq, ids FROM (SELECT item_id, {_DB} AS seq FROM benchmark) b JOIN g USING (seq)")
-def strict_match(spark, sf_dir):
-    head = F.substring(adapters.letters("text"), 1, 5)
-    db = adapters.table(spark, sf_dir, "benchmark").select("item_id", head.alias("seq"))
-    return sequences.strict_match(db, adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), head.alias("seq")), "seq")
-
-
-@query(f"WITH {SEQ} SELECT id, seq FROM db UNION ALL SELECT id, seq FROM seqs WHERE seq NOT IN (SELECT seq FROM db)")
-def anti_merge(spark, sf_dir):
-    return sequences.anti_merge(adapters.database(spark, sf_dir), adapters.sequences(spark, sf_dir).select("id", "seq"), "seq").select("id", "seq")
-
-
-@query(f"WITH {SEQ} SELECT id, letter, count(*) AS n FROM (SELECT id, unnest(string_split(seq, '')) AS letter FROM seqs) GROUP BY ALL")
-def letter_counts(spark, sf_dir):
-    return sequences.letter_counts(adapters.sequences(spark, sf_dir))
-
-
-@query(f"WITH {SEQ}, n AS (SELECT pos, letter, count(*) AS n FROM (SELECT unnest(range(0, 12)) AS pos, unnest(string_split(seq, '')) AS letter FROM seqs WHERE length(seq) = 12) GROUP BY ALL) SELECT CAST(pos AS INT) AS pos, letter, round(n / sum(n) OVER (PARTITION BY pos), 9) AS freq FROM n")
-def pwm(spark, sf_dir):
-    return sequences.pwm(adapters.sequences(spark, sf_dir).where("length(seq) = 12")).select("pos", "letter", F.round("freq", 9).alias("freq"))
-
-
-@query(f"""WITH {SEQ}, w AS (SELECT 'B' || substring(seq, 4, length(seq) - 5) || 'Z' AS s FROM seqs), k AS (SELECT s, unnest(range(1, length(s) + 1)) AS k FROM w),
- g AS (SELECT s, k, x, y FROM k, (SELECT unnest([1, 2, 3]) AS x), (SELECT unnest([1, 2, 3]) AS y) WHERE k + x + y <= length(s))
- SELECT s[k] || repeat('.', x - 1) || s[k + x] || repeat('.', y - 1) || s[k + x + y] AS core, count(*) AS n FROM g GROUP BY 1""")
-def motif_core_counts(spark, sf_dir):
-    return sequences.motif_cores(adapters.sequences(spark, sf_dir))
-
-
-# Whole texts, window by window: the SQL of the queries above takes the first letters of a text only.
+# ---- sequences of whole texts ------------------------------------------------------------------
 def _whole(spark, sf_dir):
     return adapters.windows(spark, sf_dir, "documents", "doc_id"), adapters.windows(spark, sf_dir, "benchmark", "item_id")
 
@@ -388,6 +305,9 @@ def motif_core_counts_whole(spark, sf_dir):
     return sequences.motif_cores(_whole(spark, sf_dir)[0])
 
 
+from bispace.plans import graph_queries, receptor_queries, table_queries  # noqa: E402, F401
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -72,3 +72,50 @@ def runs(spark: SparkSession, sf_dir: str, name: str, key: str, size: int = 5) -
     d = table(spark, sf_dir, name).select(F.col(key).alias("id"), letters("text").alias("s")).where("length(s) > 0")
     d = d.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("s") - size + 1))))
     return d.select("id", "pos", F.substring("s", F.col("pos"), F.lit(size)).alias("seq"))
+
+
+# ---- receptors from the rows of a table with a key and a nation --------------------------------
+def _hex_letters(x: str, alphabet: str = "ACDEFGHIKLMNPQRS") -> str:
+    return f"translate({x}, '0123456789abcdef', '{alphabet}')"
+
+
+def _piece(tag: str, of: str, first: str, size: str, alphabet: str = "ACDEFGHIKLMNPQRS") -> str:
+    return _hex_letters(f"substr(md5(concat('{tag}', {of})), {first}, cast({size} as int))", alphabet)
+
+
+def receptor_columns(k: str, n: str) -> dict[str, str]:
+    """SQL expressions (of both engines) of a receptor from a key and a nation: genes from both,
+    CDR3s from a stem of the nation and a few letters of the key."""
+    a = f"concat('CAV', {_piece('a', f'{n} % 12', '1', f'3 + {n} % 3')}, {_piece('x', f'{k} % 40', '1', f'1 + {k} % 3')}, 'YTF')"
+    b = f"concat('CASS', {_piece('b', f'{n} % 9', '1', f'4 + {n} % 2')}, {_piece('y', f'{k} % 60', '1', f'1 + {k} % 2')}, 'EQYF')"
+    va, ja = f"concat('TRAV', 1 + {n} % 25, '*01')", f"concat('TRAJ', 1 + {k} % 12, '*01')"
+    vb, jb = f"concat('TRBV', 1 + ({n} * 7 + {k} % 2) % 25, '*01')", f"concat('TRBJ', 1 + {n} % 2, '-', 1 + {k} % 3, '*01')"
+    return {
+        "id": f"cast({k} as bigint)", "va": va, "ja": ja, "cdr3a": a, "vb": vb, "jb": jb, "cdr3b": b,
+        "ag": f"concat({va}, '|', {ja}, '|', {a})", "bg": f"concat({vb}, '|', {jb}, '|', {b})",
+        "cg": f"cast({n} % 5 as bigint)", "ct": f"cast(({n} + {k}) % 4 as bigint)", "clone_size": f"cast(1 + {k} % 7 as bigint)",
+    }
+
+
+def receptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, two chains (V, J, CDR3), exclusion groups, clusters and clone size, one of each customer."""
+    return table(spark, sf_dir, "customer").selectExpr(*(f"{e} as {c}" for c, e in receptor_columns("c_custkey", "c_nationkey").items()))
+
+
+def receptor_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receptors as above, one of each supplier."""
+    return table(spark, sf_dir, "supplier").selectExpr(*(f"{e} as {c}" for c, e in receptor_columns("s_suppkey", "s_nationkey").items()))
+
+
+def gene_columns(n: str, ab: str) -> dict[str, str]:
+    """A V gene with aligned loops: families of five nations share all but two places."""
+    letters = "ACDEFGHIKLMNPQ*."
+    part = lambda first, size: _piece(f"c{ab}", f"{n} % 5", first, size, letters)
+    return {"gene": f"concat('TR{ab}V', 1 + {n}, '*01')", "chain": f"'{ab}'", "loops": f"concat({part('1', '5')}, ' ', {_piece(f'd{ab}', n, '1', '2', letters)}, {part('6', '3')}, ' ', {part('9', '4')})"}
+
+
+def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene, chain, loops: an A and a B gene of each nation."""
+    n = table(spark, sf_dir, "nation")
+    a, b = (n.selectExpr(*(f"{e} as {c}" for c, e in gene_columns("n_nationkey", ab).items())) for ab in "AB")
+    return a.unionByName(b)
