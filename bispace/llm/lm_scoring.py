@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
-from bispace.llm.common import Shared, broadcast_key, crc_mod, file_broadcast, frequency_class, least_class, worker_state
+from bispace.llm.common import Shared, broadcast_key, crc_mod, file_broadcast, frequency_class, least_class, mix64, worker_state
 from bispace.session import work_table
 
-HELD_WORDS, ALPHA, EM_ROUNDS = 300_000, 0.1, 2
+HELD_WORDS, ALPHA, EM_ROUNDS = 300_000, 0.1, 1
+#: Words of up to so many characters are met together, so many at once.
+LONGEST_TOGETHER, TOGETHER = 48, 2_048
 END = b""
 
 
@@ -96,6 +98,16 @@ class Pieces:
         return total
 
 
+def _hashes(codes: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Hashes of all runs of 1..``longest`` characters of texts of one length, by run length and start."""
+    out, acc = [], np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(longest):
+            acc = acc[:, :-1] * np.uint64(0x9FB21C651E98DF25) + codes[:, k:] + np.uint64(0x9E3779B97F4A7C15)
+            out.append(mix64(acc + np.uint64(k)))
+    return out
+
+
 class Lattice:
     """Marginal probabilities of words under piece counts; ``end`` is that of a text's end."""
 
@@ -116,6 +128,88 @@ class Lattice:
         self.longest: dict[str, int] = {}
         for p in self.pieces:
             self.longest[p[-1]] = max(self.longest.get(p[-1], 0), len(p))
+        # pieces as sorted hashes, for many words at once
+        names = list(self.pieces)
+        found = np.array([_hashes(np.array([[ord(c) for c in p]], np.uint64), len(p))[-1][0, 0] for p in names], np.uint64)
+        order = np.argsort(found)
+        self.hash, self.piece, self.log_p = found[order], np.array([self.number[p] for p in names])[order], np.array([self.pieces[p] for p in names])[order]
+        self.there = np.zeros(1 << 20, bool)
+        self.there[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        self.most = max(map(len, names))
+
+    def _arcs(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For texts of one length: log p and number (-1: none) of the piece at each place, by the piece's
+        length; a character without a piece has its bytes' and the number -2."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1)
+        out = []
+        for h in _hashes(codes.astype(np.uint64), min(self.most, codes.shape[1])):
+            p, number = np.full(h.shape, -np.inf), np.full(h.shape, -1, np.int32)
+            near = np.nonzero(self.there[(h >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hash, h[near]), len(self.hash) - 1)
+            hit = self.hash[at] == h[near]
+            near, at = (near[0][hit], near[1][hit]), at[hit]
+            p[near], number[near] = self.log_p[at], self.piece[at]
+            out.append((p, number))
+        p, number = out[0]
+        for code in np.unique(codes[number < 0]).tolist():
+            lone = (codes == code) & (number < 0)
+            p[lone], number[lone] = sum(self.bytes[b] for b in chr(code).encode("utf-8", "replace")), -2
+        return out
+
+    @staticmethod
+    def _ahead(arcs: list, size: int) -> np.ndarray:
+        ahead = np.full((len(arcs[0][0]), size + 1), -np.inf)
+        ahead[:, 0] = 0
+        for end in range(1, size + 1):
+            for k in range(1, min(len(arcs), end) + 1):
+                p = arcs[k - 1][0][:, end - k]
+                ahead[:, end] = np.logaddexp(ahead[:, end], ahead[:, end - k] + p)
+        return ahead
+
+    def _by_length(self, raws: list[bytes]):
+        """Numbers and texts of words of one length, few enough to be held; long words one by one."""
+        sizes: dict[int, list[int]] = {}
+        texts = ["▁" + r.decode("utf-8", "replace") for r in raws]
+        for k, t in enumerate(texts):
+            sizes.setdefault(len(t), []).append(k)
+        for size, at in sizes.items():
+            step = 1 if size > LONGEST_TOGETHER else TOGETHER
+            for k in range(0, len(at), step):
+                yield size, at[k : k + step], [texts[i] for i in at[k : k + step]]
+
+    def words(self, raws: list[bytes]) -> np.ndarray:
+        """log10 of the summed probability of all segmentations of each word with its opening space."""
+        out = np.zeros(len(raws))
+        with np.errstate(invalid="ignore"):
+            for size, at, texts in self._by_length(raws):
+                out[at] = self._ahead(self._arcs(texts), size)[:, -1] / math.log(10) if size <= LONGEST_TOGETHER else self.word(raws[at[0]])
+        return out
+
+    def expected(self, raws: list[bytes], counts: list[int]) -> np.ndarray:
+        """Expected counts of pieces over all segmentations of words that occur ``counts`` times."""
+        into, n = np.zeros(self.size + 1), np.array(counts, np.float64)
+        with np.errstate(invalid="ignore"):
+            for size, at, texts in self._by_length(raws):
+                if size > LONGEST_TOGETHER:
+                    self.expect(raws[at[0]], counts[at[0]], into)
+                    continue
+                arcs = self._arcs(texts)
+                ahead, share = self._ahead(arcs, size), np.zeros((len(at), size + 1))
+                share[:, size] = n[at]
+                for end in range(size, 0, -1):
+                    for k in range(1, min(len(arcs), end) + 1):
+                        p, number = (x[:, end - k] for x in arcs[k - 1])
+                        some = np.flatnonzero(number != -1)
+                        if not len(some):
+                            continue
+                        part = share[some, end] * np.exp(ahead[some, end - k] + p[some] - ahead[some, end])
+                        share[some, end - k] += part
+                        own = number[some] >= 0
+                        into += np.bincount(number[some][own], part[own], len(into))
+                        for i, x in zip(some[~own].tolist(), part[~own].tolist(), strict=True):
+                            for b in texts[i][end - 1].encode("utf-8", "replace"):
+                                into[self.byte_number[b]] += x
+        return into
 
     def _forward(self, text: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
         """Log of the summed probability of each prefix, and the arcs (start, log p) into each end."""
@@ -216,11 +310,7 @@ def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "do
         sent = Shared(spark, pieces)
 
         def expected(w, n, sent=sent):
-            lattice = worker_state(broadcast_key("lattice", sent), lambda: Lattice(shared.value, sent.value))
-            sums = np.zeros(size + 1)
-            for x, k in zip(w, n, strict=True):
-                lattice.expect(x, k, sums)
-            return sums
+            return worker_state(broadcast_key("lattice", sent), lambda: Lattice(shared.value, sent.value)).expected(w, n)
 
         pieces = pieces_of(expected)
     counts_sent = Shared(spark, pieces)
@@ -228,7 +318,7 @@ def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "do
     def of_frequent(batches):
         own = worker_state(broadcast_key("lattice", counts_sent), lambda: Lattice(shared.value, counts_sent.value))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([own.word(w) for w in batch.column("word").to_pylist()], pa.float64())], names=["word", "n", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(own.words(batch.column("word").to_pylist()))], names=["word", "n", "pieces"])
 
     top = words.where(frequency_class(F.col("n")) >= least_class(words, table_size)).mapInArrow(of_frequent, "word binary, n long, pieces double")
     frequent = Shared(spark, Scoring(Lattice(shared.value, pieces).end, {bytes(r["word"]): (r["n"], r["pieces"]) for r in top.collect()}, ends, total, kinds))
@@ -255,7 +345,8 @@ def score(documents: DataFrame, path: str, text: str = "text", doc_id: str = "do
         for batch in batches:
             coded = batch.column("word").dictionary_encode()
             words = coded.dictionary.to_pylist()
-            last = {w: last[w] if w in last else own.word(w) for w in words}
+            new = [w for w in words if w not in last]
+            last = {w: last[w] for w in words if w in last} | dict(zip(new, own.words(new).tolist(), strict=True))
             scores = np.array([last[w] for w in words])[coded.indices.to_numpy()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tf"), batch.column("n"), pa.array(scores, pa.float64())], names=["row", "tf", "n", "pieces"])
 
