@@ -2,7 +2,9 @@
 
 Shingles of five words weigh their count in the text times a damped inverse document frequency,
 ``1 + ln(N / df) / ln(N + 1)`` (1 to 2). Document frequencies cover all documents; they are counted
-in a table of ``2**DF_BITS`` hashed counters, so the table has the same size for any corpus.
+in a table of ``2**DF_BITS`` hashed counters, so the table has the same size for any corpus. The
+median counter, what rare shingles that fall together make of any counter in a large corpus, is taken
+off, so that frequent shingles still stand out there; the rare ones then all weigh alike.
 
 Every occurrence of a shingle is a unit of its own, of the same weight in any text, so the units of
 two texts have the texts' weighted Jaccard similarity. Units arrive in ``BINS`` bins as Poisson
@@ -19,8 +21,11 @@ A candidate is a link if its weighted Jaccard similarity, computed from whole te
 ``similarity``. Classes are connected components, found without collecting them.
 
 Defined cases: a text without words (null, empty) is alike to nothing and keeps its own class;
-texts of fewer than five words are one shingle; rows that repeat a doc_id are one document; a null
-doc_id is in no class (null, kept); an empty table gives an empty one. Only doc_id and text are
+texts of fewer than five words are one shingle; rows that repeat a doc_id and its text are one
+document; rows that repeat a doc_id with another text are compared as documents of their own, and a
+class is named by its smallest doc_id that has all its rows in it, if there is one; a row
+of a null doc_id isn't compared, it gets the class of its text if another row has it, else null, and is
+kept; an empty table gives an empty one. Only doc_id and text are
 read; columns of any other name don't matter.
 """
 
@@ -40,6 +45,8 @@ from bispace.session import work_table
 
 BINS, BANDS, ROWS, DF_BITS, CHUNK, BLOCK, BLOCK_BYTES = 64, 16, 4, 20, 1 << 14, 256, 2 << 20
 SHINGLE = 5
+#: Pairs of one lead that a task gets.
+PAIRS_TOGETHER = 256
 
 
 def counted_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -53,6 +60,7 @@ class Weights:
     """Weights of shingles from the hashed document frequencies of N documents."""
 
     def __init__(self, df: np.ndarray, documents: int):
+        df = df.astype(np.float64) - np.median(df)
         self.idf = (1 + np.log(max(documents, 1) / np.clip(df, 1, max(documents, 1))) / np.log(documents + 2)).astype(np.float64)
 
     def of(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -146,7 +154,7 @@ def _frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _signatures(documents: DataFrame, weights) -> DataFrame:
-    """(doc_id, key, draws, buckets, size) of every document; no words: null key."""
+    """(doc_id, hash, key, draws, buckets, size) of every document; no words: null key."""
 
     def run(batches):
         own = worker_state(broadcast_key("weights", weights), lambda: Weights(*weights.value))
@@ -161,22 +169,36 @@ def _signatures(documents: DataFrame, weights) -> DataFrame:
                 has = sizes > 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
+                        batch.column("doc_id"), batch.column("hash"),
                         pa.array([f[2] if h else None for f, h in zip(found, has, strict=True)], pa.binary()),
                         pa.array([d.tobytes() if h else None for d, h in zip(draws, has, strict=True)], pa.binary()),
                         pa.array([b.tolist() if h else None for b, h in zip(bucket, has, strict=True)], pa.list_(pa.int64())),
                         pa.array([len(t or "") for t in batch.column("text").to_pylist()], pa.int64()),
                     ],
-                    names=["doc_id", "key", "draws", "buckets", "size"],
+                    names=["doc_id", "hash", "key", "draws", "buckets", "size"],
                 )
 
-    return documents.mapInArrow(tidy(run), "doc_id long, key binary, draws binary, buckets array<long>, size long")
+    return documents.mapInArrow(tidy(run), "doc_id long, hash long, key binary, draws binary, buckets array<long>, size long")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, weights, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole texts are alike."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = documents.join(ids, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text"))
+def _texts(documents: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, text) of some of the distinct texts (rep): a text is fetched from one row that has it."""
+    wanted = reps.join(ids.select("rep").distinct(), "rep").select("rep", "at.doc_id", "at.hash")
+    return documents.join(wanted, ["doc_id", "hash"]).groupBy("rep").agg(F.first("text").alias("text"))
+
+
+def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b, parts) with a column of ``table`` (rep, column) for a. A lead with many pairs is met
+    in as many parts as its pairs say."""
+    most = pairs.groupBy("a").agg(F.max("parts").alias("most"))
+    dealt = table.select(F.col("rep").alias("a"), column).join(most, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).drop("most")
+    return pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(dealt, ["a", "part"]).drop("part")
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, reps: DataFrame, weights, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, parts) whose whole texts are alike."""
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+    texts = _texts(documents, reps, ids)
 
     def run(batches):
         own = worker_state(broadcast_key("weights", weights), lambda: Weights(*weights.value))
@@ -194,7 +216,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, weights, similarity: float
                 links.append(weighted_jaccard(last[1], of(tb)) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "link"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = _beside(pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b"), texts, "text").withColumnRenamed("text", "ta")
     return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long, link boolean").where("link").select("a", "b")
 
 
@@ -258,7 +280,7 @@ def _met(blocks: DataFrame, least: int, apart: bool) -> DataFrame:
     return work_table(met.select("band", "blocka", "blockb", "ma", "mb").mapInArrow(tidy(run), "blocka long, blockb long, pairs binary"), "met")
 
 
-def _links_between(met: DataFrame, blocks: DataFrame, documents: DataFrame, weights, similarity: float) -> DataFrame:
+def _links_between(met: DataFrame, blocks: DataFrame, documents: DataFrame, reps: DataFrame, weights, similarity: float) -> DataFrame:
     """Links (a, b) of alike pairs of ``met``: of two blocks, a spanning forest of their classes.
 
     Pairs that other links of the same blocks have joined already aren't compared, since they
@@ -266,8 +288,7 @@ def _links_between(met: DataFrame, blocks: DataFrame, documents: DataFrame, weig
     """
     ids = met.select(F.col("blocka").alias("block")).unionByName(met.select(F.col("blockb").alias("block"))).distinct()
     inside = blocks.join(ids, "block").select("block", F.posexplode("m").alias("at", "x")).select("block", "at", "x.rep", "x.class")
-    texts = documents.join(inside.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("text"))
-    filled = work_table(inside.join(texts, "rep").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "rep", "class", "text"))).alias("m")), "filled")
+    filled = work_table(inside.join(_texts(documents, reps, inside), "rep").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "rep", "class", "text"))).alias("m")), "filled")
     both = met.join(filled.select(F.col("block").alias("blocka"), F.col("m").alias("ma")), "blocka").join(filled.select(F.col("block").alias("blockb"), F.col("m").alias("mb")), "blockb")
 
     def run(batches):
@@ -305,30 +326,37 @@ def _links_between(met: DataFrame, blocks: DataFrame, documents: DataFrame, weig
 def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
     """(doc_id, class_id, kept): class_id is the smallest doc_id of a class, which is kept."""
     spark = documents.sparkSession
-    source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     weights = Shared(spark, _frequencies(source.select("text")))
     signed = work_table(_signatures(source, weights), "signatures")
-    reps = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("draws").alias("draws"), F.first("buckets").alias("buckets"), F.first("size").alias("size"))
-    reps = work_table(reps, "texts")
+    known = signed.where("key is not null and doc_id is not null")
+    reps = known.groupBy("key").agg(F.min(F.struct("doc_id", "hash")).alias("at"), F.first("draws").alias("draws"), F.first("buckets").alias("buckets"), F.first("size").alias("size"))
+    reps = work_table(reps.withColumn("rep", F.monotonically_increasing_id()), "texts")  # a text's number
     members = reps.select("rep", "size", F.posexplode("buckets").alias("band", "bucket"))
-    leads = members.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
+    leads = members.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
     shared = work_table(members.join(leads, "bucket"), "buckets")
     draws = reps.select("rep", "draws")
     least = int(BINS * (similarity - 0.3))  # six deviations of 64 independent draws below
     # first each text with the two leads that share most of its buckets; what that leaves is met in blocks
-    pairs = shared.where("rep > lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
+    pairs = shared.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"), F.ceil(F.max("n") / PAIRS_TOGETHER).cast("int").alias("parts"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "lead"))
-    pairs = pairs.withColumn("r", best).where("r <= 2").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    near = pairs.join(draws.select(F.col("rep").alias("a"), F.col("draws").alias("da")), "a").join(draws.select(F.col("rep").alias("b"), F.col("draws").alias("db")), "b")
-    near = work_table(near.where(_alike("da", "db") >= least).select("a", "b"), "pairs")
-    links = work_table(_verified(near, source, weights, similarity), "links")
+    pairs = pairs.withColumn("r", best).where("r <= 2").select(F.col("lead").alias("a"), F.col("rep").alias("b"), "parts")
+    near = _beside(pairs.join(draws.select(F.col("rep").alias("b"), F.col("draws").alias("db")), "b"), draws, "draws")
+    near = work_table(near.where(_alike("draws", "db") >= least).select("a", "b", "parts"), "pairs")
+    links = work_table(_verified(near, source, reps, weights, similarity), "links")
     classes = connected_components(links, "a", "b")
     for apart in (False, True):  # within blocks first: it leaves few classes for the blocks to meet over
         blocks = _blocks(shared.select("bucket", "band", "rep", "size"), classes, draws, apart)
         met = _met(blocks, least, apart)
         if not met.isEmpty():
-            links = work_table(links.unionByName(_links_between(met, blocks, source, weights, similarity)), "links")
+            links = work_table(links.unionByName(_links_between(met, blocks, source, reps, weights, similarity)), "links")
             classes = connected_components(links, "a", "b")
-    of_text = reps.select("key", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"))
-    done = signed.select("doc_id", "key").join(of_text, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    of_text = reps.select("key", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class"))
+    rows = signed.select("doc_id", "key").join(of_text, "key", "left")
+    # a class takes its name from an id that it has to itself, rather than from one with several texts
+    ids = rows.where("class is not null and doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("other"))
+    split = ids.where("class <> other").select("doc_id", F.lit(True).alias("split"))
+    held = rows.where("class is not null and doc_id is not null").join(split, "doc_id", "left")
+    name = held.groupBy("class").agg(F.min(F.struct(F.coalesce("split", F.lit(False)).alias("split"), "doc_id")).alias("name")).select("class", F.col("name.doc_id").alias("class_id"))
+    done = rows.join(name, "class", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
