@@ -167,6 +167,10 @@ class Shared:
     def value(self):
         return self._sent.value
 
+    def drop(self) -> None:
+        """Takes the value from the executors; a task that is run again fetches it anew."""
+        self._sent.unpersist()
+
 
 def file_broadcast(spark, path: str) -> Shared:
     """The bytes of a small local file (a tokenizer, a few MB); the path is the driver's."""

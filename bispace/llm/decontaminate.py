@@ -8,8 +8,9 @@ ungapped stretches are verified word by word, substitutions allowed.
 An item counts as leaked if one of them has at least ``min_words`` equal words (or ``similarity``
 of the item's words where that is fewer) and at least ``similarity`` of its words are equal.
 
-The benchmark is broadcast in slices of at most ``slice_seeds`` seeds, counted before: documents
-meet one slice after another, so a benchmark of any size is searched whole with bounded memory.
+The benchmark is broadcast in slices of about ``slice_seeds`` seeds, counted before. One slice is
+met where documents are read. Of more, each is a job of its own that keeps only the rows with leaks,
+so driver and workers hold one slice at a time, and a benchmark of any size is searched whole.
 A hot passage costs nothing extra: documents aren't shuffled.
 
 Defined cases: null and wordless texts and items match nothing; items of fewer words than any mask
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from bispace.llm.bpe import slices
 from bispace.llm.common import Shared, broadcast_key, ddl, mix64, word_hashes, worker_state
+from bispace.session import work_table
 
 #: Word positions that each mask compares.
 MASKS = ("1110111", "11010111", "110110011", "101110011", "11110")
@@ -131,24 +133,39 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", i
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_slices = max(1, -(-int(total) // slice_seeds))
     keep = [c for c in documents.columns if c not in {"leaks", "n_items", "contaminated"}]
-    out = documents.select(*dict.fromkeys([*keep, text])).withColumn("leaks", F.array().cast(_LEAK.removeprefix("leaks ")))
+    source = documents.select(*dict.fromkeys([*keep, text]))
     pair = pa.list_(pa.struct([(k, pa.int64()) for k in ("item_id", "first_word", "end_word", "equal_words")]))
-    columns, names = ddl(out, out.columns), out.columns
-    for k in range(n_slices):
+
+    def met(df: DataFrame, k: int, columns: list[str], all_rows: bool) -> tuple[DataFrame, Shared]:
+        """``columns`` of ``df`` with the leaks of a slice; all rows, or those with any."""
         part = items if n_slices == 1 else items.where(F.pmod(F.xxhash64("i", "w"), F.lit(n_slices)) == k)
         sent = Shared(spark, [(r["i"], bytes(r["w"])) for r in part.select("i", "w").orderBy("i", "w").collect()])
 
-        def run(batches, sent=sent):
+        def run(batches):
             index = worker_state(broadcast_key("leaks", sent), lambda: Index(sent.value, min_words, similarity, min_item))
             for whole in batches:
                 for batch in slices(whole, text):
-                    old = batch.column("leaks").to_pylist()
-                    found = []
-                    for t, had in zip(batch.column(text).to_pylist(), old, strict=True):
-                        hits = index.search(word_hashes(t)) if index.items else []
-                        found.append([*had, *({"item_id": i, "first_word": a, "end_word": b, "equal_words": n} for i, a, b, n in hits)])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != "leaks"), pa.array(found, pair)], names=names)
-
-        out = out.mapInArrow(run, columns)
+                    found = [[{"item_id": i, "first_word": a, "end_word": b, "equal_words": n} for i, a, b, n in (index.search(word_hashes(t)) if index.items else [])] for t in batch.column(text).to_pylist()]
+                    out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pair)], names=[*columns, "leaks"])
+                    yield out if all_rows else out.filter(pa.array([bool(f) for f in found]))
+
+        schema = ", ".join(x for x in (ddl(df, columns), _LEAK) if x)
+        return df.mapInArrow(run, schema), sent
+
+    if n_slices == 1:
+        out = met(source, 0, source.columns, True)[0]
+    else:
+        row = "_row"
+        while row in source.columns:
+            row += "_"
+        numbered = work_table(source.withColumn(row, F.monotonically_increasing_id()), "documents")
+        found = None
+        for k in range(n_slices):
+            hits, sent = met(numbered.select(row, text), k, [row], False)
+            hits = work_table(hits, "leaks")
+            sent.drop()
+            found = hits if found is None else found.unionByName(hits)
+        each = found.groupBy(row).agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+        out = numbered.join(each, row, "left").withColumn("leaks", F.coalesce("leaks", F.array().cast(_LEAK.removeprefix("leaks "))))
     leaks = F.array_sort("leaks")
     return out.select(*keep, leaks.alias("leaks"), F.size(F.array_distinct("leaks.item_id")).cast("long").alias("n_items"), (F.size("leaks") > 0).alias("contaminated"))
