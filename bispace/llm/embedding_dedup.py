@@ -1,10 +1,11 @@
 """Operator 7 - near-duplicate embeddings by an epsilon grid order join.
 
 Unit vectors are laid out by the grid cells (side epsilon) of their leading principal coordinates,
-sorted by cell, and cut into blocks of at most ``BLOCK`` vectors. Blocks whose boxes lie further
-apart than epsilon can hold no link and are never joined; the others are joined as sequence
-intervals, halved recursively, again skipping halves that are provably distant. Cosines are
-computed in double precision from the vectors as they are stored.
+sorted by cell, and cut into blocks of at most ``BLOCK`` vectors; ``SPAN`` blocks in order are an
+interval. The join goes down the sequence: intervals whose boxes lie further apart than epsilon are
+never joined, of the others only blocks that are near enough meet, and those are halved recursively,
+again skipping halves that are provably distant. Cosines are computed in double precision from the
+vectors as they are stored.
 
 Epsilon is the chord of the cosine threshold; projecting never lengthens a distance, so no link is
 lost. Exact copies are one vector with a multiplicity. A pair of blocks returns link counts and a
@@ -12,8 +13,10 @@ spanning forest of its links, never the pairs, so a group of thousands stays lin
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label or vec_id, link with nothing and keep their own component; vectors of unlike
-length are never linked; rows that repeat a vec_id with the same vector count as copies; an empty
-table gives an empty one; columns of other names are ignored.
+length are never linked; rows that repeat a vec_id with the same vector count as copies, with
+another vector they are vectors of their own, each with its own links and component, and a component's
+name is the smallest vec_id in it; an empty table gives an empty one; columns of other names are
+ignored. Equal vectors are told by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from bispace.operators.components import connected_components
 from bispace.session import work_table
 
-BLOCK, LEAF, DIMENSIONS = 256, 64, 6
+BLOCK, LEAF, DIMENSIONS, SPAN = 256, 64, 6, 64
 
 
 def principal(vectors: DataFrame, size: int, k: int) -> np.ndarray:
@@ -166,15 +169,27 @@ def _blocks(vectors: DataFrame, size: int, eps: float) -> DataFrame:
     return work_table(placed.mapInArrow(cut, "block long, label string, lo array<double>, hi array<double>, ids binary, copies binary, data binary"), "grid"), axes
 
 
-def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """(a, b) of blocks of a label that may hold a link: boxes meet by cells of the first axis."""
-    box = blocks.select("block", "label", "lo", "hi")
-    low, high = F.floor(F.col("lo")[0] / eps), F.floor(F.col("hi")[0] / eps)
-    left = box.select("label", F.col("block").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence(low, high)).alias("cell"))
-    right = box.select("label", F.col("block").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(low - 1, high + 1)).alias("cell"))
+def _near(met: DataFrame, eps: float) -> DataFrame:
+    """Rows whose two boxes (la, ha) and (lb, hb) are within epsilon."""
     gaps = F.zip_with(F.zip_with("la", "hb", lambda x, y: x - y), F.zip_with("lb", "ha", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    met = left.join(right, ["label", "cell"]).where("a <= b").where(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps * (1 + 1e-9))
-    return met.select("a", "b").distinct()
+    return met.where(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= eps * eps * (1 + 1e-9))
+
+
+def _pairs(blocks: DataFrame, eps: float, axes: int) -> DataFrame:
+    """(a, b) of blocks of a label that may hold a link: near intervals first, then near blocks in them.
+
+    Intervals meet by cells of the first axis; they are ``SPAN`` times fewer than blocks, and a pair of
+    them gives no more than SPAN**2 pairs of blocks.
+    """
+    box = blocks.select("block", "label", "lo", "hi", F.concat_ws("/", "label", F.floor(F.col("block") / SPAN).cast("string")).alias("span"))
+    side = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(axes)])
+    spans = work_table(box.groupBy("span", "label").agg(side(F.min, "lo").alias("lo"), side(F.max, "hi").alias("hi")), "intervals")
+    low, high = F.floor(F.col("lo")[0] / eps), F.floor(F.col("hi")[0] / eps)
+    left = spans.select("label", F.col("span").alias("sa"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence(low, high)).alias("cell"))
+    right = spans.select("label", F.col("span").alias("sb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(low - 1, high + 1)).alias("cell"))
+    near = _near(left.join(right, ["label", "cell"]), eps).select("sa", "sb").distinct()
+    sides = [box.select(F.col("span").alias(f"s{x}"), F.col("block").alias(x), F.col("lo").alias(f"l{x}"), F.col("hi").alias(f"h{x}")) for x in "ab"]
+    return _near(near.join(sides[0], "sa").join(sides[1], "sb").where("a <= b"), eps).select("a", "b")
 
 
 def near_duplicate_vectors(embeddings: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -185,14 +200,16 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = 0.93, vec_id:
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     ok = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & fine, F.lit(False))
     rows = rows.withColumn("v", F.when(ok, F.col("v")))
-    groups = work_table(rows.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
-    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")})
+    same = ["label", "h1", "h2"]
+    found = rows.where("v is not null").groupBy(*same).agg(F.first("v").alias("v"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    groups = work_table(found.withColumn("id", F.monotonically_increasing_id()), "vectors")  # a vector's number
     counts = edges = None
     for (size,) in groups.select(F.size("v").alias("n")).distinct().orderBy("n").collect():
-        blocks, axes = _blocks(groups.where(F.size("v") == size), size, eps)
+        blocks, axes = _blocks(groups.where(F.size("v") == size).select("label", "v", "id", "copies"), size, eps)
         kind = np.float32 if dict(groups.dtypes)["v"] == "array<float>" else np.float64
         names = ["block", "ids", "copies", "data"]
-        both = _pairs(blocks, eps)
+        both = _pairs(blocks, eps, axes.shape[1])
         for side in "ab":
             both = both.join(blocks.select(*(F.col(c).alias(c + side) for c in names)), F.col(side) == F.col("block" + side))
         both = both.select("a", "b", *(c + side for side in "ab" for c in names[1:]))
@@ -217,19 +234,15 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = 0.93, vec_id:
                     if len(ids):
                         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(to, pa.int64())], names=["id", "n", "to"])
 
-        before = spark.conf.get(limit)
-        spark.conf.set(limit, "64")  # a row holds two blocks
-        try:
-            found = work_table(both.mapInArrow(run, "id long, n long, to long"), "joined")
-        finally:
-            spark.conf.set(limit, before)
+        found = work_table(both.mapInArrow(run, "id long, n long, to long"), "joined")  # batches are bounded by bytes
         n, e = found.where("to is null").groupBy("id").agg(F.sum("n").alias("n")), found.where("to is not null").select("id", "to")
         counts, edges = (n, e) if counts is None else (counts.unionByName(n), edges.unionByName(e))
     if counts is None:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    classes = connected_components(edges, "id", "to")
-    of_group = groups.join(counts.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").join(classes.withColumnRenamed("node", "id"), "id", "left")
-    of_group = of_group.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    done = rows.join(of_group, ["label", "v"], "left")
+    classes = connected_components(edges, "id", "to").withColumnRenamed("node", "id")
+    of_group = groups.drop("v").join(counts.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").join(classes, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    name = of_group.groupBy("class").agg(F.min("least").alias("component_id"))
+    of_group = of_group.join(name, "class").select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    done = rows.withColumn("h1", F.when(F.col("v").isNotNull(), F.col("h1"))).drop("v").join(of_group, same, "left")
     own = F.coalesce("component_id", "id")
     return done.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
