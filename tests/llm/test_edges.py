@@ -105,3 +105,108 @@ def test_rows_without_id_are_sampled_one_by_one(spark):
     assert scorer.names == ["x"]
     got = language_id.identify(df, scorer).collect()
     assert len(got) == 900 and {r.lang_pred for r in got} == {"x"}
+
+
+# ---- operators 2, 5, 7, 10 ---------------------------------------------------------------------
+def test_ids_with_several_texts_join_no_unrelated_classes(spark):
+    from bispace.llm.near_dedup import near_duplicates
+
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (4, "c d e f g h"), (None, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(0, 3, True), (1, 2, False), (1, 3, False), (2, 2, True), (3, 3, True), (4, 4, True)]
+
+
+def test_leaks_by_brute_force_over_all_diagonals(spark):
+    from bispace.llm.decontaminate import find_leaks
+
+    draw = random.Random(21)
+    word = lambda: f"w{draw.randrange(4000)}"
+    items = {k: [word() for _ in range(draw.randint(5, 40))] for k in range(12)}
+    docs = {}
+    for k in range(60):
+        words = [word() for _ in range(draw.randint(0, 60))]
+        for _ in range(draw.randint(0, 2)):
+            own = list(items[draw.randrange(12)])
+            for at in range(len(own)):
+                if draw.random() < draw.choice([0, 0.1, 0.2]):
+                    own[at] = "other"
+            at = draw.randint(0, len(words))
+            words[at:at] = own
+        docs[k] = words
+    want = {}
+    for k, words in docs.items():
+        want[k] = set()
+        for i, item in items.items():
+            need = min(13, 0.8 * len(item))
+            for shift in range(-len(item) + 1, len(words)):
+                equal = [0, *itertools.accumulate(int(0 <= p + shift < len(words) and words[p + shift] == w) for p, w in enumerate(item))]
+                lo, hi = max(0, -shift), min(len(item), len(words) - shift)
+                if any((n := equal[y] - equal[x]) >= need and 5 * n >= 4 * (y - x) for x in range(lo, hi) for y in range(x + 1, hi + 1)):
+                    want[k].add(i)
+    df = spark.createDataFrame([(k, " ".join(w), k) for k, w in docs.items()], "doc_id long, text string, _row long")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    for size in (2_000_000, 200):
+        got = find_leaks(df, bench, slice_seeds=size)
+        assert got.columns == ["doc_id", "text", "_row", "leaks", "n_items", "contaminated"]
+        assert {r.doc_id: {x.item_id for x in r.leaks} for r in got.collect()} == want
+    assert sum(map(bool, want.values())) > 15
+
+
+def test_vectors_that_share_an_id_keep_their_own_links(spark):
+    from bispace.llm.embedding_dedup import near_duplicate_vectors
+
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, x, 0), (1, y, 0), (2, x, 0), (3, y, 0), (4, [0.0, 0.0, 1.0], 0), (5, x, None)], "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(r) for r in near_duplicate_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_licences_by_containment(spark):
+    from bispace.llm.licenses import RULES, SENTENCES, normalise, scan_licenses
+
+    draw = random.Random(9)
+    names = sorted(SENTENCES)
+    texts = {}
+    for k in range(60):
+        lines = []
+        for _ in range(draw.randint(0, 5)):
+            lines.append(draw.choice([f"some words {draw.random()}.", SENTENCES[draw.choice(names)], *(SENTENCES[s] for s in draw.choice(RULES)[1])]))
+        texts[k] = "\n".join(lines)
+    folded = SENTENCES["mit-grant"].replace(" to deal ", "\n to deal ") + "\n" + SENTENCES["mit-notice"].replace(" this ", "\n this ") + "\n" + SENTENCES["mit-asis"]
+    rows = [*texts.items(), (None, folded), (None, folded), (99, None)]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    known = {normalise(s): n for n, s in SENTENCES.items()}
+    for r in got:
+        if r.doc_id is None:
+            assert r.licenses == ["MIT"]
+            continue
+        # sentences by containment: each line of these texts is one sentence
+        ids = [known[n] for n in map(normalise, (texts.get(r.doc_id) or "").split("\n")) if n in known]
+        assert list(r.sentence_ids) == ids
+        want, at = [], 0
+        while at < len(ids):
+            best = max((rule for rule in RULES if tuple(ids[at : at + len(rule[1])]) == tuple(rule[1])), key=lambda rule: len(rule[1]), default=None)
+            if best:
+                want.append(best[0])
+            at += len(best[1]) if best else 1
+        assert list(r.licenses) == want
+    assert len(got) == len(rows) and scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# ---- pipeline ----------------------------------------------------------------------------------
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) between 300 and 3000").limit(40).collect()
+    docs = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "more") for r in source]
+    first = docs[0]
+    docs += [first, first, (9001, first[1], first[2], None, None, "copy"), (None, docs[1][1] + " again and again", first[2], "s", 1, "x"), (9002, None, "en", "s", 0, "x"), (9003, "", "en", "s", 0, "x"), (9004, "12 !!", None, "s", 0, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    path = folder_of(spark, tmp_path, documents=(docs, schema), benchmark=([(1, docs[2][1]), (None, None)], "item_id long, text string"))
+    out = corpus_pipeline.run(spark, path).collect()
+    ids = Counter(r.doc_id for r in out)
+    assert ids[first[0]] == 1 and not ids.keys() & {9001, 9002, 9003, 9004, docs[2][0]} and ids[None] <= 1
+    assert max(ids.values()) == 1 and all(r.exact and r.n_tokens == len(r.token_ids) for r in out) and len(out) > 20
+    empty = folder_of(spark, tmp_path, documents=([], schema), benchmark=([], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, empty).count() == 0
