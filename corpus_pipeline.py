@@ -1,9 +1,10 @@
 """Corpus pipeline: language ID, near-dedup, benchmark decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns
-rows of ``documents``; the last adds the token ids. Rows with null or repeated ids, empty tables and
-empty texts follow the operators' own definitions: a text without letters is rejected by the first
-stage; what has no words is no duplicate; nothing else is dropped but duplicates and leaks.
+rows of ``documents``; the last adds the token ids. Empty tables and empty texts follow the operators'
+own definitions: a text without letters is rejected by the first stage; what has no words is no
+duplicate; nothing else is dropped but duplicates and leaks. Of rows that repeat an id and a text one
+stays; rows of a null id all stay; columns beyond those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -29,9 +30,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates."""
+    """Keeps the document with the smallest id of each class of near duplicates, once.
+
+    Only rows whose id is repeated are compared by id and text.
+    """
+    docs = docs.select(*COLUMNS)
     dropped = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    left = docs.join(dropped, "doc_id", "left_anti")
+    again = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
