@@ -37,11 +37,16 @@ def _cdr3(name: str, left: str, right: str, c: str) -> str:
 
 
 def _pairs(name: str, left: str, right: str, where: str = "true", chains: str = "ab") -> str:
-    """CTE ``name`` (i, j, d): summed distances of chains of two tables."""
-    made = ", ".join(_cdr3(f"{name}_{c}", left, right, c) for c in chains)
-    d = " + ".join(f"v{c}_.d + c{c}_.d" for c in chains)
-    joins = " ".join(f"JOIN {name}_{c} c{c}_ ON c{c}_.s = a.cdr3{c} AND c{c}_.t = b.cdr3{c} JOIN vd v{c}_ ON v{c}_.v1 = a.v{c} AND v{c}_.v2 = b.v{c}" for c in chains)
-    return f"{made}, {name} AS (SELECT a.id AS i, b.id AS j, a.ag AS ag1, b.ag AS ag2, a.bg AS bg1, b.bg AS bg2, CAST({d} AS BIGINT) AS d FROM {left} a, {right} b {joins} WHERE {where})"
+    """CTE ``name`` (i, j, d): summed distances of chains of two tables. Each join is a step of its own, so
+    that no order of joins multiplies genes with sequences."""
+    made = [_cdr3(f"{name}_{c}", left, right, c) for c in chains]
+    columns = ", ".join(f"a.v{c} AS v{c}1, b.v{c} AS v{c}2, a.cdr3{c} AS s{c}, b.cdr3{c} AS t{c}" for c in chains)
+    made.append(f"{name}_0 AS MATERIALIZED (SELECT a.id AS i, b.id AS j, {columns} FROM {left} a, {right} b WHERE {where})")
+    steps = [(f"{name}_{c}", f"x.s = p.s{c} AND x.t = p.t{c}") for c in chains] + [("vd", f"x.v1 = p.v{c}1 AND x.v2 = p.v{c}2") for c in chains]
+    for k, (table, on) in enumerate(steps, 1):
+        made.append(f"{name}_{k} AS MATERIALIZED (SELECT p.*, x.d AS d{k} FROM {name}_{k - 1} p JOIN {table} x ON {on})")
+    total = " + ".join(f"d{k}" for k in range(1, len(steps) + 1))
+    return ", ".join(made) + f", {name} AS (SELECT i, j, CAST({total} AS BIGINT) AS d FROM {name}_{len(steps)})"
 
 
 APART = "a.ag <> b.ag AND a.bg <> b.bg"
