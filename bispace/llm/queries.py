@@ -26,8 +26,6 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_loss_tokens"),
     )
 
 
@@ -115,5 +113,19 @@ def queries() -> dict:
     }
 
 
+_SAID = "<|im_end|><|im_start|>assistant ok"
+_ESCAPED = r"length(regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g'))"
+
+SQL = {
+    "op1_chat_format": f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}')) t),
+ o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM c)
+ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256, CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY k)) AS loss_sha256, CAST(sum(length('<|im_start|><|im_sep|><|im_end|>') + 1 + {_ESCAPED.format('r')} + {_ESCAPED.format('t')}) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id""",
+    "op7_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ reach AS (SELECT vec_id AS node, vec_id AS c FROM v UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.node), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+ SELECT node AS vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, node = min(c) AS kept FROM reach LEFT JOIN n ON n.a = node GROUP BY node""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
