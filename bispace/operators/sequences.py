@@ -7,8 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bispace.functions.stats import poisson_tail
-
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 # Amino-acid distances other than 4 between different letters (unordered pairs).
 CLOSE = {"AS": 3, "DE": 2, "DN": 3, "EK": 3, "EQ": 2, "FW": 3, "FY": 1, "HN": 3, "HY": 2, "IL": 2, "IM": 3, "IV": 1, "KQ": 3, "KR": 2, "LM": 2, "LV": 3, "MV": 3, "NS": 3, "QR": 3, "ST": 3, "WY": 2}
@@ -113,14 +111,6 @@ def background(chain_a: DataFrame, chain_b: DataFrame, pairs: int, most: int, ps
     return both.select("id", "dist", (F.greatest(F.lit(pseudo), upto) / pairs).alias("freq"))
 
 
-def clumps(matches: DataFrame, freqs: DataFrame, nodes: DataFrame, radii: list[int], n: int) -> DataFrame:
-    """(id, radius, n_near, p_adj): more neighbours within a radius than the background allows."""
-    r = matches.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).where("d <= radius").groupBy(F.col("i").alias("id"), "radius").agg(F.count("*").alias("n_near"))
-    f = freqs.withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).where("dist <= radius").groupBy("id", "radius").agg(F.max("freq").alias("freq"))
-    j = r.join(f, ["id", "radius"]).join(nodes, "id")
-    return j.select("id", "radius", "n_near", (len(radii) * n * poisson_tail(F.col("n_near"), F.col("eligible") * F.col("freq"))).alias("p_adj"))
-
-
 def strict_match(db: DataFrame, query: DataFrame, column: str) -> DataFrame:
     """Rows of ``db`` whose sequence occurs in ``query`` (id, seq), with the sorted ids there."""
     ids = query.groupBy(F.col("seq").alias(column)).agg(F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))

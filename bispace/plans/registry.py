@@ -272,8 +272,9 @@ def match_count_score_whole(spark, sf_dir):
 
 @query()
 def background_convolution_whole(spark, sf_dir):
-    m = sequences.radius_windows(*_whole(spark, sf_dir), 96)
-    done = sequences.background(m, m, 1_000_000, 96)
+    docs, db = _whole(spark, sf_dir)
+    m = sequences.radius_windows(docs, db, 96)
+    done = sequences.background(m, m, max(1, db.where("length(seq) >= 5").count() ** 2), 96)
     return done.select(F.col("id.id").alias("id"), F.col("id.pos").alias("pos"), F.col("dist").cast("long").alias("dist"), F.round(F.col("freq") * 1e6, 6).alias("freq_ppm"))
 
 

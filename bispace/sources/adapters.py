@@ -41,17 +41,6 @@ def letters(column: str):
     return F.regexp_replace(F.upper(F.regexp_replace(column, "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, v, seq: letters of documents that are amino acids, 12 to 16 of them."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("v"), letters("text").alias("s"))
-    return d.select("id", "v", F.expr("substring(s, 1, 12 + cast(id % 5 as int))").alias("seq")).where("length(seq) >= 12")
-
-
-def database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), letters("text").alias("s"))
-    return d.select("id", F.expr("substring(s, 1, 12 + cast(id % 5 as int))").alias("seq")).where("length(seq) >= 12")
-
-
 def windows(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """id, pos, v, seq: the whole letters of each text in consecutive windows, from position ``pos``.
 
