@@ -505,3 +505,33 @@ def rank_features(packed: DataFrame, names: list[str], groups: DataFrame) -> Dat
     w = Window.partitionBy("group")
     ranked = t.withColumn("q", F.col("p") * F.count("*").over(w) / F.count("*").over(w.orderBy("p").rangeBetween(Window.unboundedPreceding, 0)))
     return ranked.withColumn("p_adj", F.least(F.lit(1.0), F.min("q").over(w.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)))).drop("q")
+
+
+def bicluster_features(nodes: DataFrame, good: Column, packed: DataFrame, names: list[str], least: int = 5) -> DataFrame:
+    """(cg, ct, feature, num_fg, ttest_stat, pvalue, mean_fg, mean_bg): every feature on the good nodes of
+    each pair of clusters that has ``least`` of them, against all other nodes; best first within a pair."""
+    own = nodes.where(good).select("id", F.struct("cg", "ct").alias("c"))
+    edges = clusters_as_graph(own, "c")
+    pairs = own.groupBy("c").agg(F.min("id").alias("id"), F.count("*").alias("n")).where(F.col("n") >= least)
+    tests = named(neighbourhood_tests(edges, packed, len(names), least), names).join(F.broadcast(pairs.select("id", "c")), "id")
+    return tests.select("c.cg", "c.ct", "feature", F.col("n_fg").alias("num_fg"), F.col("t").alias("ttest_stat"), F.col("p_mwu").alias("pvalue"), "mean_fg", "mean_bg").orderBy("cg", "ct", "pvalue", "feature")
+
+
+def raw_feature_scores(features: dict[str, tuple[DataFrame, list[str]]], wanted: list[tuple[str, str]], nodes: DataFrame) -> DataFrame:
+    """(id, kind, feature, value) of named features of packed tables by kind; a cluster's membership goes by
+    ``gex_cluster<n>`` and ``tcr_cluster<n>``, the size of a clone by ``clone_sizes`` (log1p). A feature that
+    no table has raises an error."""
+    out = None
+    for kind, name in wanted:
+        packed, names = features.get(kind, (None, []))
+        if name in names:
+            rows = packed.select("id", F.col("x")[names.index(name)].alias("value"))
+        elif name == "clone_sizes":
+            rows = nodes.select("id", F.log1p(F.col("clone_size").cast("double")).alias("value"))
+        elif name.startswith(("gex_cluster", "tcr_cluster")):
+            rows = nodes.select("id", (F.col("cg" if name[0] == "g" else "ct").cast("string") == name[11:]).cast("double").alias("value"))
+        else:
+            raise ValueError(f"no feature {name} of kind {kind}")
+        rows = rows.select("id", F.lit(kind).alias("kind"), F.lit(name).alias("feature"), F.col("value").cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -129,3 +129,26 @@ def greedy_clusters(receptors: DataFrame, v: DataFrame, radius: int = 77, least:
 def subsample(rows: DataFrame, most: int, seed: int = 1) -> DataFrame:
     """``most`` rows by a hash of their id, for drawing."""
     return rows.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))).orderBy("_h", "id").limit(most).drop("_h")
+
+
+def logo_pwm(seqs: Sequence[str], distance: np.ndarray, score: dict[tuple[str, str], int], sources: Sequence[str] | None = None, gap: str = ".") -> tuple[str, list[dict[str, float]], list[dict[str, float]]]:
+    """The group's medoid (least summed distance, ties by position), and for each of its places the shares of
+    letters and of bases' sources (V, D, N, J) that other members have there once aligned to it. A member's
+    letters beside the medoid's gaps are left out; its own gaps count as such."""
+    from bispace.operators.distances import align_cdr3
+
+    medoid = seqs[int(np.argmin(np.asarray(distance, float).sum(1)))]
+    letters: list[dict[str, float]] = [{} for _ in medoid]
+    kinds: list[dict[str, float]] = [{} for _ in medoid]
+    for n, seq in enumerate(seqs):
+        a, b = align_cdr3(medoid, seq, score, gap)
+        at = own = 0
+        for x, y in zip(a, b, strict=True):
+            if x != gap:
+                letters[at][y] = letters[at].get(y, 0) + 1 / len(seqs)
+                if sources is not None and y != gap:
+                    for s in sources[n][3 * own : 3 * own + 3]:
+                        kinds[at][s] = kinds[at].get(s, 0) + 1 / 3
+                at += 1
+            own += y != gap
+    return medoid, letters, [{s: k / sum(d.values()) for s, k in d.items()} for d in kinds]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bispace.operators import graph_tests, neighbours
 from bispace.plans.base import query
-from bispace.plans.registry import NODES, SAME, _knn, _log10, _two_step
+from bispace.plans.registry import GVG, NODES, SAME, _knn, _log10, _two_step
 from bispace.session import work_table
 from bispace.sources import adapters
 
@@ -304,3 +304,26 @@ def averaged_regression(spark, sf_dir):
     x, y = (neighbours.neighbour_average(g, n.select("id", F.col("tcr")[k].alias("value"))).withColumnRenamed("avg", c) for k, c in ((0, "x"), (1, "y")))
     a = x.join(y, "id")
     return a.agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.round(F.corr("y", "x"), 6).alias("r"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {NODES}, {_SCORE_ROWS}, own AS (SELECT id, cg, ct FROM nodes WHERE gex[1] > 0), pairs AS (SELECT cg, ct, min(id) AS src, count(*) AS n FROM own GROUP BY ALL), e AS (SELECT src, id AS dst FROM own JOIN pairs USING (cg, ct)), {_moments('e', 'scores', 5)}
+ SELECT cg, ct, feature, n_fg AS num_fg, round(t, 5) AS ttest_stat, round(mean_fg, 6) AS mean_fg FROM tested JOIN pairs ON src = id""")
+def bicluster_features(spark, sf_dir):
+    n = adapters.nodes(spark, sf_dir)
+    done = graph_tests.bicluster_features(n, F.col("gex")[0] > 0, *_scores(n))
+    return done.select("cg", "ct", "feature", "num_fg", F.round("ttest_stat", 5).alias("ttest_stat"), F.round("mean_fg", 6).alias("mean_fg"))
+
+
+@query(f"""WITH {NODES} SELECT id, 'tcr' AS kind, 's3' AS feature, round(tcr[3], 6) AS value FROM nodes UNION ALL SELECT id, 'gex', 'g2', round(greatest(gex[2], 0.0), 6) FROM nodes UNION ALL SELECT id, 'gex', 'gex_cluster4', CAST(cg = 4 AS INT)::DOUBLE FROM nodes UNION ALL SELECT id, 'tcr', 'clone_sizes', round(ln(1 + 1 + id % 7), 6) FROM nodes""")
+def raw_feature_scores(spark, sf_dir):
+    n = adapters.nodes(spark, sf_dir).withColumn("clone_size", 1 + F.col("id") % 7)
+    wanted = [("tcr", "s3"), ("gex", "g2"), ("gex", "gex_cluster4"), ("tcr", "clone_sizes")]
+    return graph_tests.raw_feature_scores({"gex": _genes(n), "tcr": _scores(n)}, wanted, n).withColumn("value", F.round("value", 6))
+
+
+@query(GVG + " SELECT id, round(sqrt(greatest(0.0, -log10(greatest(p_adj, 1e-300)))), 4) AS mark FROM done")
+def significance_marks(spark, sf_dir):
+    from bispace.functions.scores import significance
+
+    n, a, b = _kept(spark, sf_dir, "gex", "tcr")
+    return neighbours.graph_vs_graph(a, b, n).select("id", F.round(significance(F.col("p_adj")), 4).alias("mark"))

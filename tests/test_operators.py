@@ -264,3 +264,12 @@ def test_label_clusters_of_two_cliques(spark):
     e = spark.createDataFrame([(i, j) for g in (range(6), range(6, 10)) for i in g for j in g if i != j] + [(5, 6)], "src long, dst long")
     got = {r.id: r.cluster for r in reductions.label_clusters(e, spark.range(10)).collect()}
     assert [got[k] for k in range(10)] == [0] * 6 + [1] * 4
+
+
+def test_logo_of_aligned_members():
+    score = {(a, a): 4 for a in "ACDEFGHIKLMNPQRSTVWY"}
+    seqs = ["CAADF", "CAADF", "CADF", "CAAADF"]
+    d = np.array([[0, 0, 12, 12], [0, 0, 12, 12], [12, 12, 0, 24], [12, 12, 24, 0]])
+    medoid, letters, kinds = trees.logo_pwm(seqs, d, score, ["V" * 3 * len(s) for s in seqs])
+    assert medoid == "CAADF" and letters[0] == {"C": 1.0} and letters[4] == {"F": 1.0} and sum(x.get(".", 0) for x in letters) == 0.25
+    assert all(k == {"V": pytest.approx(1.0)} for k in kinds)
