@@ -115,7 +115,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, v: DataFrame, radius: int, c
     for c in chains:
         near = v.where(F.col("d") <= radius).select(F.col("v1").alias(f"v{c}1"), F.col("v2").alias(f"v{c}2"), F.col("d").alias(f"d{c}"))
         bound = bound + F.col(f"d{c}") + GAP * F.abs(F.col(f"l{c}1") - F.col(f"l{c}2"))
-        a = a.join(F.broadcast(near), f"v{c}1")
+        a = a.join(near, f"v{c}1")
     met = a.join(b, [f"v{c}2" for c in chains]).withColumn("bound", bound).where(F.col("bound") <= radius)
     whole = reduce(lambda x, y: x + y, [F.col(f"d{c}") for c in chains])
 

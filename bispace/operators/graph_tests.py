@@ -329,7 +329,9 @@ def batch_bias(edges: DataFrame, frequencies: DataFrame, nodes: DataFrame) -> Da
     averaged over neighbourhoods, against the deviation over all nodes, and U's p-value times N.
     Only scores above 0.01 and batches with deviation are kept."""
     n = nodes.count()
-    batches = sorted(r[0] for r in frequencies.select("batch").distinct().limit(10_000).collect())
+    batches = sorted(r[0] for r in frequencies.select("batch").distinct().limit(1_001).collect())
+    if len(batches) > 1_000:
+        raise ValueError("more than 1,000 batches")
     wide = frequencies.groupBy("id").pivot("batch", batches).agg(F.sum("frequency")) if batches else frequencies.select("id").distinct()
     packed = nodes.select("id").join(wide, "id", "left").select("id", F.array(*[F.coalesce(F.col(f"`{b}`"), F.lit(0.0)) for b in batches]).alias("x"))
     stat = packed.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
