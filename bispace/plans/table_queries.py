@@ -413,13 +413,13 @@ def logo_stats(spark, sf_dir):
     return aggregates.logo_stats(v, n.select("id", F.col("cg").alias("group"))).select("group", "feature", *(F.round(c, 6).alias(c) for c in ("fraction", "mean", "scaled")))
 
 
-@query("""WITH m AS (SELECT o_custkey AS id, CAST(o_totalprice AS BIGINT) % 50 AS d, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN NULL ELSE 'E' || o_orderkey % 6 END AS epitope, CASE WHEN o_orderkey % 3 = 0 THEN 'G' || o_orderkey % 5 END AS gene, CASE WHEN o_orderkey % 2 = 0 THEN 'A' || o_orderkey % 3 END AS mhc FROM orders),
+@query("""WITH m AS (SELECT o_custkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 50 AS d, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN NULL ELSE 'E' || o_orderkey % 6 END AS epitope, CASE WHEN o_orderkey % 3 = 0 THEN 'G' || o_orderkey % 5 END AS gene, CASE WHEN o_orderkey % 2 = 0 THEN 'A' || o_orderkey % 3 END AS mhc FROM orders),
  l AS (SELECT id, d, coalesce(nullif(epitope, ''), nullif(gene, ''), 'UNKNOWN') AS e, coalesce(nullif(mhc, ''), 'UNKNOWN') AS h FROM m), b AS (SELECT *, h || '-' || e AS label, row_number() OVER (PARTITION BY id ORDER BY d, h || '-' || e) AS r FROM l)
  SELECT label, count(DISTINCT id) AS n_clones, round(CAST(count(DISTINCT id) - 0.1 * max(CAST(e = 'UNKNOWN' AS INT) + CAST(h = 'UNKNOWN' AS INT)) AS DOUBLE), 6) AS weight FROM b WHERE r = 1 GROUP BY label""")
 def literature_labels(spark, sf_dir):
     k = F.col("o_orderkey")
     m = adapters.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("id"), (F.round("o_totalprice", 0).cast("long") % 50).alias("d"), F.when(k % 4 == 0, "").when(k % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit("E"), (k % 6).cast("string"))).alias("epitope"),
+        F.col("o_custkey").alias("id"), (F.floor("o_totalprice") % 50).alias("d"), F.when(k % 4 == 0, "").when(k % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit("E"), (k % 6).cast("string"))).alias("epitope"),
         F.when(k % 3 == 0, F.concat(F.lit("G"), (k % 5).cast("string"))).alias("gene"), F.when(k % 2 == 0, F.concat(F.lit("A"), (k % 3).cast("string"))).alias("mhc"),
     )
     return aggregates.literature_labels(m).withColumn("weight", F.round("weight", 6))
