@@ -323,8 +323,12 @@ def _links_between(met: DataFrame, blocks: DataFrame, documents: DataFrame, reps
     return both.select("pairs", "ma", "mb").mapInArrow(tidy(run), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, kept): class_id is the smallest doc_id of a class, which is kept."""
+def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, by_row: bool = False) -> DataFrame:
+    """(doc_id, class_id, kept): class_id is the smallest doc_id of a class, which is kept.
+
+    With ``by_row`` rows are told by id and text: ``text_hash`` (xxhash64 of the text) comes along, and
+    ``kept`` holds for one text of one id in each class, the first by (doc_id, text_hash) under its name.
+    """
     spark = documents.sparkSession
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     weights = Shared(spark, _frequencies(source.select("text")))
@@ -352,11 +356,16 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
             links = work_table(links.unionByName(_links_between(met, blocks, source, reps, weights, similarity)), "links")
             classes = connected_components(links, "a", "b")
     of_text = reps.select("key", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class"))
-    rows = signed.select("doc_id", "key").join(of_text, "key", "left")
+    rows = signed.select("doc_id", "hash", "key").join(of_text, "key", "left")
     # a class takes its name from an id that it has to itself, rather than from one with several texts
     ids = rows.where("class is not null and doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("other"))
     split = ids.where("class <> other").select("doc_id", F.lit(True).alias("split"))
     held = rows.where("class is not null and doc_id is not null").join(split, "doc_id", "left")
-    name = held.groupBy("class").agg(F.min(F.struct(F.coalesce("split", F.lit(False)).alias("split"), "doc_id")).alias("name")).select("class", F.col("name.doc_id").alias("class_id"))
-    done = rows.join(name, "class", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    name = held.groupBy("class").agg(F.min(F.struct(F.coalesce("split", F.lit(False)).alias("split"), "doc_id", "hash")).alias("name"))
+    name = name.select("class", F.col("name.doc_id").alias("class_id"), F.col("name.hash").alias("class_hash"))
+    done = rows.join(name, "class", "left")
+    if by_row:
+        own = (F.col("doc_id") == F.col("class_id")) & (F.col("hash") == F.col("class_hash"))
+        return done.select("doc_id", F.col("hash").alias("text_hash"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(own, F.lit(True)).alias("kept"))
+    done = done.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

@@ -30,13 +30,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates, once.
+    """Keeps one row of each class of near duplicates: the smallest id, and of its texts one.
 
-    Only rows whose id is repeated are compared by id and text.
+    Rows are dropped by id and text, so an id that also has a text of its own keeps that row. Rows of a
+    null id all stay; only rows whose id is repeated are compared by their whole text.
     """
     docs = docs.select(*COLUMNS)
-    dropped = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti")
+    marks = near_duplicates(docs.select("doc_id", "text"), by_row=True)
+    dropped = marks.where("not kept and doc_id is not null").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
+    left = docs.join(dropped, (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h")), "left_anti")
     again = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(again, "doc_id", "left_anti").unionByName(once.select(*COLUMNS))

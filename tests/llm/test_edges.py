@@ -210,3 +210,21 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert max(ids.values()) == 1 and all(r.exact and r.n_tokens == len(r.token_ids) for r in out) and len(out) > 20
     empty = folder_of(spark, tmp_path, documents=([], schema), benchmark=([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_dedup_drops_rows_and_not_ids(spark):
+    """An id with a text of its own and a copied one keeps its own; of a class one row stays."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in ("ash", "beech", "cedar"))
+    near = a.rsplit(" ", 1)[0] + " elm"
+    tables = [
+        ([(1, a), (1, b), (2, b)], [{(1, a), (2, b)}]),
+        ([(1, a), (1, near)], [{(1, a)}, {(1, near)}]),
+        ([(3, a), (3, b), (4, a), (4, b), (5, c)], [{(3, a), (3, b), (5, c)}]),
+        ([(None, a), (None, a), (6, a), (7, near), (8, None), (8, ""), (9, "")], [{(None, a), (6, a), (8, None), (8, ""), (9, "")}]),
+    ]
+    for rows, wanted in tables:
+        df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 0, 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, d int, h int")
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.dedup(spark, df, "").collect()]
+        assert set(got) in wanted and len(got) == len(set(got)) + got.count((None, a)) // 2
