@@ -239,11 +239,13 @@ def _pieces(documents: DataFrame, path: str, capacity: int, end_id: int, doc_id:
     return source.mapInArrow(tidy(run), f"part int, k long, doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-def pack(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, str] = ("ids", "ids")) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids, sequence_id, offset) of all pieces; ``ids`` are
-    little-endian unsigned 32-bit integers."""
+    little-endian unsigned 32-bit integers. ``carry`` names a column that takes the place of ``ids``, and
+    its SQL over them, where less than the ids is wanted: only that is written and joined."""
     spark = documents.sparkSession
-    pieces = work_table(_pieces(documents, path, capacity, end_id, doc_id, text), "pieces")
+    made = _pieces(documents, path, capacity, end_id, doc_id, text).withColumn("carried", F.expr(carry[1])).drop("ids")
+    pieces = work_table(made, "pieces")
     counts = work_table(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
@@ -271,7 +273,7 @@ def pack(documents: DataFrame, path: str, capacity: int = 2048, end_id: int = 0,
     joined = joined.withColumn("run", F.element_at(F.filter("runs", lambda r: r["until"] > F.col("k")), 1))
     t = F.col("k") - F.col("run.first")
     return joined.select(
-        "doc_id", "piece", "start", "length", "ids", (F.col("run.sequence") + F.floor(t / F.col("run.copies"))).alias("sequence_id"), (F.col("run.offset") + t % F.col("run.copies") * F.col("length")).alias("offset")
+        "doc_id", "piece", "start", "length", F.col("carried").alias(carry[0]), (F.col("run.sequence") + F.floor(t / F.col("run.copies"))).alias("sequence_id"), (F.col("run.offset") + t % F.col("run.copies") * F.col("length")).alias("offset")
     )
 
 
