@@ -102,38 +102,70 @@ def _packed(receptors: DataFrame, chains: str, side: str) -> DataFrame:
     return r.join(size, keys).select(*keys, part, "x").groupBy(*keys, "part").agg(F.collect_list("x").alias(f"m{side}"))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, v: DataFrame, radius: int, chains: str = "ab", exclude: bool = False) -> DataFrame:
-    """(i, j, d) of receptors within a radius: sums over ``chains`` of V and CDR3 distances.
+def radius_pairs(left: DataFrame, right: DataFrame, v: DataFrame, radius: int | None, chains: str = "ab", exclude: bool = False) -> DataFrame:
+    """(i, j, d) of receptors within a radius, of all with None: sums over ``chains`` of V and CDR3 distances.
+
+    ``exclude`` leaves out pairs that share a group ``ag`` or ``bg`` (their own id if there are none).
+    """
+
+    def run(batches):
+        for x, y, d in _matrices(batches, chains, exclude):
+            i, j = np.nonzero(np.isfinite(d) if radius is None else d <= radius)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([x["id"].take(pa.array(i)), y["id"].take(pa.array(j)), pa.array(d[i, j].astype(np.int64))], names=["i", "j", "d"])
+
+    return _meetings(left, right, v, radius, chains).mapInArrow(run, "i long, j long, d long")
+
+
+def radius_counts(left: DataFrame, right: DataFrame, v: DataFrame, most: int, chains: str = "ab") -> DataFrame:
+    """(id, d, n): how many of ``right`` lie at each distance up to ``most`` from a receptor of ``left``.
+
+    Two blocks give one histogram for each receptor of the left one, so what leaves a task is bounded by
+    receptors times distances, not by pairs.
+    """
+
+    def run(batches):
+        for x, _, d in _matrices(batches, chains, False):
+            near = np.where(d <= most, d, most + 1).astype(np.int64) + np.arange(len(d))[:, None] * (most + 2)
+            counts = np.bincount(near.ravel(), minlength=len(d) * (most + 2)).reshape(len(d), most + 2)[:, : most + 1]
+            i, at = np.nonzero(counts)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([x["id"].take(pa.array(i)), pa.array(at), pa.array(counts[i, at])], names=["id", "d", "n"])
+
+    return _meetings(left, right, v, most, chains).mapInArrow(run, "id long, d long, n long").groupBy("id", "d").agg(F.sum("n").alias("n"))
+
+
+def _meetings(left: DataFrame, right: DataFrame, v: DataFrame, radius: int | None, chains: str) -> DataFrame:
+    """(m1, m2, base): blocks that may hold pairs within a radius, and their V distance.
 
     V genes and lengths alone bound a distance from below, so blocks of receptors that agree in them
     meet by equi-joins through the table of V distances, and only where that bound is in reach.
-    ``exclude`` leaves out pairs that share a group ``ag`` or ``bg`` (their own id if there are none).
     A hot V gene and length is many blocks; a task holds two of them.
     """
     a, b = _packed(left, chains, "1"), _packed(right, chains, "2")
     bound = F.lit(0)
     for c in chains:
-        near = v.where(F.col("d") <= radius).select(F.col("v1").alias(f"v{c}1"), F.col("v2").alias(f"v{c}2"), F.col("d").alias(f"d{c}"))
+        near = (v if radius is None else v.where(F.col("d") <= radius)).select(F.col("v1").alias(f"v{c}1"), F.col("v2").alias(f"v{c}2"), F.col("d").alias(f"d{c}"))
         bound = bound + F.col(f"d{c}") + GAP * F.abs(F.col(f"l{c}1") - F.col(f"l{c}2"))
         a = a.join(near, f"v{c}1")
-    met = a.join(b, [f"v{c}2" for c in chains]).withColumn("bound", bound).where(F.col("bound") <= radius)
+    met = a.join(b, [f"v{c}2" for c in chains]).withColumn("bound", bound)
+    met = met if radius is None else met.where(F.col("bound") <= radius)
     whole = reduce(lambda x, y: x + y, [F.col(f"d{c}") for c in chains])
+    return met.select("m1", "m2", whole.cast("long").alias("base"))
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = fields(batch.column("m1")[k]), fields(batch.column("m2")[k])
-                d = np.full((len(x["id"]), len(y["id"])), float(batch.column("base")[k].as_py()), np.float32)
-                for c in chains:
-                    d += same_length_matrix(coded(x[f"cdr3{c}"].to_pylist()), coded(y[f"cdr3{c}"].to_pylist()))
-                if exclude:
-                    for g in ("ga", "gb"):
-                        d[x[g].to_numpy()[:, None] == y[g].to_numpy()] = np.inf
-                i, j = np.nonzero(d <= radius)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([x["id"].take(pa.array(i)), y["id"].take(pa.array(j)), pa.array(d[i, j].astype(np.int64))], names=["i", "j", "d"])
 
-    return met.select("m1", "m2", whole.cast("long").alias("base")).mapInArrow(run, "i long, j long, d long")
+def _matrices(batches, chains: str, exclude: bool):
+    """The two blocks of each meeting and the matrix of their distances, infinite between excluded ones."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            x, y = fields(batch.column("m1")[k]), fields(batch.column("m2")[k])
+            d = np.full((len(x["id"]), len(y["id"])), float(batch.column("base")[k].as_py()), np.float32)
+            for c in chains:
+                d += same_length_matrix(coded(x[f"cdr3{c}"].to_pylist()), coded(y[f"cdr3{c}"].to_pylist()))
+            if exclude:
+                for g in ("ga", "gb"):
+                    d[x[g].to_numpy()[:, None] == y[g].to_numpy()] = np.inf
+            yield x, y, d
 
 
 class Distances:
@@ -241,15 +273,10 @@ def align_cdr3(a: str, b: str, score: dict[tuple[str, str], int], gap: str = "."
 
 
 # ---- background model, clumps, matches ---------------------------------------------------------
-def distance_counts(queries: DataFrame, chains: DataFrame, v: DataFrame, chain: str, most: int) -> DataFrame:
-    """(id, d, n): chains of the background at each distance up to ``most`` of a query's chain."""
-    return radius_pairs(queries, chains, v, most, chain).groupBy(F.col("i").alias("id"), "d").agg(F.count("*").alias("n"))
-
-
 def background_frequencies(queries: DataFrame, alphas: DataFrame, betas: DataFrame, v: DataFrame, most: int, pseudo: float = 0.25) -> DataFrame:
     """(id, dist, freq) for every query and every distance 0..most: the share of background pairs at
     most that far, alphas and betas convolved; never below ``pseudo`` pairs."""
-    a, b = (distance_counts(queries, c, v, x, most).select("id", F.col("d").alias("d" + x), F.col("n").alias("n" + x)) for c, x in ((alphas, "a"), (betas, "b")))
+    a, b = (radius_counts(queries, c, v, most, x).select("id", F.col("d").alias("d" + x), F.col("n").alias("n" + x)) for c, x in ((alphas, "a"), (betas, "b")))
     pairs = alphas.count() * betas.count()
     if not pairs:
         raise ValueError("the background has no chains")

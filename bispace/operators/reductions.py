@@ -110,8 +110,7 @@ def label_clusters(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> Data
     """(id, cluster) by label propagation on a neighbour graph, clusters numbered from 0 by size.
 
     Edges count both ways, mutual ones twice. In a round every node takes its neighbours' commonest
-    label, its own counting half, ties to the smallest. This isn't the library's modularity clustering,
-    which has no counterpart here; it stands for it where clusters are asked for.
+    label, its own counting half, ties to the smallest. Clusters by modularity are in ``modularity``.
     """
     both = work_table(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "both")
     now = work_table(nodes.select("id", F.col("id").alias("label")), "labels")

@@ -64,6 +64,13 @@ def marker_subset(cells: DataFrame, cluster: str, which: str, cd4: list[str], cd
     return cells.join(m.select(F.col("cluster").alias(cluster)), cluster, "left_semi")
 
 
+def with_clusters(cells: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """``cells`` with ``cluster``, by modularity of a neighbour graph (src, dst) over their ids."""
+    from bispace.operators.modularity import modularity_clusters
+
+    return cells.drop("cluster").join(modularity_clusters(edges, cells.select("id"), resolution=resolution), "id")
+
+
 def marker_tags(cells: DataFrame, cluster: str, cd4: str, cd8: tuple[str, str], counts: tuple[str, str, str] | None = None) -> DataFrame:
     """``cells`` with ``cd4_or_cd8`` by cluster (ties are cd8); with unlogged ``counts`` columns a clear
     cell (over 0.5 of one and under 0.5 of the other; 1.5 of both CD8 genes) gets its own tag."""

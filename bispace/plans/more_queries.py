@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bispace.operators import complexes, junctions, motifs, neighbours, reductions, trees
+from bispace.operators import complexes, junctions, modularity, motifs, neighbours, reductions, subsets, trees
 from bispace.plans.base import query
 from bispace.plans.receptor_queries import _v
 from bispace.plans.registry import NODES, _knn
@@ -107,6 +107,22 @@ def label_clusters(spark, sf_dir):
     return reductions.label_clusters(neighbours.exclusion_knn(n, "gex", 10), n)
 
 
+@query()
+def modularity_clusters(spark, sf_dir):
+    n = adapters.nodes(spark, sf_dir)
+    return modularity.modularity_clusters(neighbours.exclusion_knn(n, "gex", 10), n)
+
+
+@query()
+def clustered_votes(spark, sf_dir):
+    """CD4 and CD8 by clusters that are made here, from the neighbour graph."""
+    n = adapters.nodes(spark, sf_dir)
+    g = lambda k: F.col("gex")[k]
+    cells = n.select("id", F.col("id").alias("cell"), F.col("bg").alias("clone"), g(0).alias("c4"), g(1).alias("c8a"), g(2).alias("c8b"))
+    tagged = subsets.marker_tags(subsets.with_clusters(cells, neighbours.exclusion_knn(n, "gex", 10)), "cluster", "c4", ("c8a", "c8b"))
+    return subsets.clone_vote(tagged).select("id", "cluster", F.col("cd4_or_cd8").alias("tag"), "subset")
+
+
 @query()
 def mixed_components(spark, sf_dir):
     n = adapters.nodes(spark, sf_dir)

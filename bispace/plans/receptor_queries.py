@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bispace.operators import distances, sequences
+from bispace.operators import background, distances, sequences
 from bispace.operators.components import connected_components
 from bispace.plans.base import query
 from bispace.sources import adapters
@@ -87,13 +87,13 @@ def cdr3_distance_pairs(spark, sf_dir):
 @query(_base(_pairs("p", "r", "q")) + " SELECT i, count(*) AS n, min(d) AS least, max(d) AS most, CAST(sum(d) AS BIGINT) AS total FROM p GROUP BY i")
 def paired_distance(spark, sf_dir):
     r, q, v = _both(spark, sf_dir)
-    return distances.radius_pairs(r, q, v, 10_000).groupBy("i").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"), F.sum("d").alias("total"))
+    return distances.radius_pairs(r, q, v, None).groupBy("i").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most"), F.sum("d").alias("total"))
 
 
 @query(_base(_pairs("p", "r", "q", chains="b")) + " SELECT i, j, d FROM p")
 def single_chain_matrix(spark, sf_dir):
     r, q, v = _both(spark, sf_dir)
-    return distances.radius_pairs(r, q, v, 10_000, "b")
+    return distances.radius_pairs(r, q, v, None, "b")
 
 
 _REPS = "reps AS (SELECT v1 AS va, list(v2) AS reps FROM vd WHERE chain = 'A' AND d <= 10 GROUP BY v1)"
@@ -215,3 +215,52 @@ def condense_clones(spark, sf_dir):
     r, _, v = _both(spark, sf_dir)
     done = distances.condense(r.withColumn("barcodes", F.array(F.col("id").cast("string"))), v, 24)
     return done.withColumn("barcodes", F.array_join("barcodes", ","))
+
+
+_BH = "SELECT *, p * m / count(*) OVER (ORDER BY p) AS q"
+
+
+@query("WITH RECURSIVE " + _CLUMP.removeprefix("WITH ") + f""", raw AS (SELECT id, radius, n_near, mu, freq, {_TAIL} AS p, 4 * (SELECT count(*) FROM r) AS m FROM (SELECT t.*, bg.freq FROM t JOIN bg ON bg.id = t.id AND bg.dist = t.radius)),
+ bh AS ({_BH} FROM raw), fd AS (SELECT id, min(f) AS fdr FROM (SELECT id, least(1.0, min(q) OVER (ORDER BY p DESC)) AS f FROM bh) GROUP BY id),
+ n2 AS (SELECT i AS id, radius, count(*) AS n_near FROM p JOIN r x ON x.id = i JOIN r y ON y.id = j AND y.cg = x.cg, (SELECT unnest([24, 48, 72, 96]) AS radius) WHERE d <= radius GROUP BY ALL),
+ e2 AS (SELECT id, count(*) OVER (PARTITION BY cg) AS nc, count(*) OVER (PARTITION BY cg) - count(*) OVER (PARTITION BY cg, ag) - count(*) OVER (PARTITION BY cg, bg) + count(*) OVER (PARTITION BY cg, ag, bg) AS eligible FROM r),
+ t2 AS (SELECT n2.id, radius, n_near, eligible * freq AS mu, freq, 4 * nc AS m FROM n2 JOIN bg ON bg.id = n2.id AND bg.dist = radius JOIN e2 ON e2.id = n2.id),
+ al AS (SELECT 'global' AS clump_type, id, radius, n_near, mu, freq, p * m AS p_adj FROM raw UNION ALL SELECT 'intra_gex_cluster', id, radius, n_near, mu, freq, m * ({_TAIL}) FROM t2),
+ ok AS (SELECT * FROM al WHERE p_adj <= 1), top AS (SELECT id, max(radius) AS reach FROM ok GROUP BY id),
+ one AS (SELECT i AS a, j AS b FROM p JOIN top x ON x.id = i JOIN top y ON y.id = j WHERE d <= greatest(x.reach, y.reach)), link AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+ reach AS (SELECT id AS node, id AS c FROM top UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.node), grp AS (SELECT node, min(c) AS g FROM reach GROUP BY node),
+ num AS (SELECT g, row_number() OVER (ORDER BY count(*) DESC, g) AS clumping_group FROM grp GROUP BY g)
+ SELECT clump_type, ok.id, radius, round(log10(greatest(p_adj, 1e-100)), 4) AS log_p, n_near, round(mu, 6) AS mu, round(freq * (SELECT count(*) * count(*) FROM q), 4) AS raw_count, CASE WHEN clump_type = 'global' THEN round(log10(greatest(fdr, 1e-100)), 4) END AS log_fdr, clumping_group
+ FROM ok JOIN grp ON grp.node = ok.id JOIN num USING (g) JOIN fd ON fd.id = ok.id""")
+def clump_results(spark, sf_dir):
+    r, q, v = _both(spark, sf_dir)
+    freqs = distances.background_frequencies(r, q, q, v, 96)
+    done = background.clump_results(r, v, freqs, [24, 48, 72, 96], q.count() ** 2, "cg")
+    log = lambda c: F.when(F.col(c).isNotNull(), F.round(F.log10(F.greatest(c, F.lit(1e-100))), 4))
+    return done.select("clump_type", "id", F.col("radius"), log("p_adj").alias("log_p"), "n_near", F.round("mu", 6).alias("mu"), F.round("raw_count", 4).alias("raw_count"), log("fdr").alias("log_fdr"), F.col("clumping_group").cast("long").alias("clumping_group"))
+
+
+@query(_base(_pairs("p", "r", "q"), _bg(200)) + """, n AS (SELECT (SELECT count(*) FROM r) * (SELECT count(*) FROM q) AS m), far AS (SELECT least(200, coalesce(max(CASE WHEN freq * m <= 20000 THEN dist END), -1) + 1) AS reach FROM bg, n),
+ c AS (SELECT i AS id, j AS db_id, d, freq AS p, m FROM p JOIN bg ON bg.id = i AND bg.dist = d, n, far WHERE d <= reach), bh AS (SELECT *, p * m / count(*) OVER (ORDER BY p) AS q1 FROM c), f AS (SELECT *, least(1.0, min(q1) OVER (ORDER BY p DESC)) AS fdr FROM bh)
+ SELECT f.id, db_id, d, round(p * m, 6) AS p_adj, round(fdr, 9) AS fdr, r.cdr3b, q.cdr3b AS db_cdr3b, q.va AS db_va, q.clone_size AS db_clone_size FROM f JOIN r ON r.id = f.id JOIN q ON q.id = db_id WHERE p * m <= 20000""")
+def database_hits(spark, sf_dir):
+    r, q, v = _both(spark, sf_dir)
+    done = background.database_hits(r, q, v, distances.background_frequencies(r, q, q, v, 200), 20_000.0)
+    return done.select("id", "db_id", "d", F.round("p_adj", 6).alias("p_adj"), F.round("fdr", 9).alias("fdr"), "cdr3b", "db_cdr3b", "db_va", "db_clone_size")
+
+
+def _chains(spark, sf_dir):
+    """Alphas and betas with bases, and the genes of both."""
+    from bispace.operators.junctions import Genes
+
+    rows = [adapters.junction_chains(spark, sf_dir, c) for c in "AB"]
+    genes = [adapters.junction_genes(spark, sf_dir, c) for c in "AB"]
+    return *rows, Genes.of(genes[0].unionByName(genes[1]).collect())  # some hundred genes
+
+
+@query()
+def background_resampled(spark, sf_dir):
+    a, b, genes = _chains(spark, sf_dir)
+    alphas, betas = background.resampled_background(a.unionByName(b), genes, 50_000)
+    r = a.select("id", F.col("v").alias("va"), F.col("cdr3").alias("cdr3a")).join(b.select("id", F.col("v").alias("vb"), F.col("cdr3").alias("cdr3b")), "id")
+    return distances.background_frequencies(r, alphas, betas, _v(spark, sf_dir), 96).select("id", "dist", F.round(F.col("freq") * 1e6, 4).alias("freq_ppm"))

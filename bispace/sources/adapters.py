@@ -110,27 +110,30 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def junction_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def junction_genes(spark: SparkSession, sf_dir: str, chain: str = "B") -> DataFrame:
     """gene, chain, region, nuc: V and J genes of each nation, with a second allele of every fifth V gene
-    that differs in one base, and the two D genes."""
+    that differs in one base, and for chain B the two D genes."""
+    tag = "" if chain == "B" else chain.lower()
     bases = lambda tag, k: f"translate(md5(concat('{tag}', {k})), '0123456789abcdef', 'acgtacgtacgtacgt')"
     n = table(spark, sf_dir, "nation")
-    v = n.selectExpr("concat('TRBV', 1 + n_nationkey, '*01') as gene", "'V' as region", f"concat('tgtgccagc', substr({bases('v', 'n_nationkey')}, 1, 12)) as nuc")
+    v = n.selectExpr(f"concat('TR{chain}V', 1 + n_nationkey, '*01') as gene", "'V' as region", f"concat('tgtgccagc', substr({bases(tag + 'v', 'n_nationkey')}, 1, 12)) as nuc")
     other = v.where("pmod(xxhash64(gene), 5) = 0").selectExpr("replace(gene, '*01', '*02') as gene", "region", "concat(substr(nuc, 1, 9), translate(substr(nuc, 10, 1), 'acgt', 'cgta'), substr(nuc, 11)) as nuc")
-    j = n.selectExpr("concat('TRBJ', 1 + n_nationkey, '*01') as gene", "'J' as region", f"concat(substr({bases('j', 'n_nationkey')}, 1, 12), 'tatacattc') as nuc")
+    j = n.selectExpr(f"concat('TR{chain}J', 1 + n_nationkey, '*01') as gene", "'J' as region", f"concat(substr({bases(tag + 'j', 'n_nationkey')}, 1, 12), 'tatacattc') as nuc")
+    if chain != "B":
+        return v.unionByName(other).unionByName(j).withColumn("chain", F.lit(chain))
     d = spark.createDataFrame([("TRBD1*01", "D", "gggacagggggc"), ("TRBD2*01", "D", "gggactagcggggggg")], "gene string, region string, nuc string")
     return v.unionByName(other).unionByName(j).unionByName(d).withColumn("chain", F.lit("B"))
 
 
-def junction_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+def junction_chains(spark: SparkSession, sf_dir: str, chain: str = "B") -> DataFrame:
     """id, v, j, cdr3, nt, chain: one of each customer, the front of a V gene, some bases or a part of a D
     gene, and the back of a J gene; those with a stop codon are left out."""
     from bispace.functions.scores import translate
 
-    genes_ = junction_genes(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as bigint) as id", "concat('TRBV', 1 + c_nationkey, '*01') as v", "concat('TRBJ', 1 + (c_nationkey * 3 + c_custkey) % 25, '*01') as j", "cast(9 + c_custkey % 7 as int) as a", "cast(12 + c_custkey % 5 as int) as c")
+    genes_ = junction_genes(spark, sf_dir, chain)
+    c = table(spark, sf_dir, "customer").selectExpr("cast(c_custkey as bigint) as id", f"concat('TR{chain}V', 1 + c_nationkey, '*01') as v", f"concat('TR{chain}J', 1 + (c_nationkey * 3 + c_custkey) % 25, '*01') as j", "cast(9 + c_custkey % 7 as int) as a", "cast(12 + c_custkey % 5 as int) as c")
     c = c.join(genes_.selectExpr("gene as v", "nuc as vn"), "v").join(genes_.selectExpr("gene as j", "nuc as jn"), "j")
     middle = F.expr("substr(if(id % 2 = 0, 'gacagggggcaa', translate(md5(concat('m', id)), '0123456789abcdef', 'acgtacgtacgtacgt')), 1, 6 + (3 - (a + c) % 3) % 3)")
     nt = F.concat(F.expr("substr(vn, 1, a)"), middle, F.expr("substr(jn, -c)"))
-    rows = c.select("id", "v", "j", nt.alias("nt"), F.lit("B").alias("chain"))
+    rows = c.select("id", "v", "j", nt.alias("nt"), F.lit(chain).alias("chain"))
     return rows.withColumn("cdr3", translate(F.col("nt"))).where(~F.col("cdr3").contains("*")).select("id", "v", "j", "cdr3", "nt", "chain")
