@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bispace.functions.stats import benjamini_hochberg, hypergeometric_tail
 from bispace.functions.tails import mann_whitney_tail, normal_p, student_p
-from bispace.operators import neighbours
+from bispace.operators import neighbours, wide
 from bispace.operators.distances import fields, in_blocks
 from bispace.operators.windows import running_sum
 
@@ -164,18 +164,15 @@ def feature_ranks(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def neighbourhood_tests(edges: DataFrame, packed: DataFrame, width: int, min_fg: int = 3, alternative: str = "two-sided") -> DataFrame:
     """(id, pos, n_fg, mean_fg, mean_bg, t, p_t, u, p_mwu) of a neighbourhood with its centre against the rest.
 
-    ``packed`` is (id, x): a node's ``width`` features as an array. Edges meet nodes once, and all
-    features are summed in one aggregation, so shuffled rows don't grow with the features. Ranks are
-    taken once over all nodes. Neighbourhoods of fewer than ``min_fg`` nodes, or of all, aren't tested;
+    ``packed`` is (id, x): a node's ``width`` features as an array; sums over neighbourhoods are a blocked
+    product (``wide``), so the plan is the same for any width. Ranks are taken once over all nodes. Neighbourhoods of fewer than ``min_fg`` nodes, or of all, aren't tested;
     a neighbourhood has as many tests as there are features. Centres in the edges aren't counted twice.
     """
     ranks, totals = feature_ranks(packed)
-    nodes = packed.join(ranks, "id").select(F.col("id").alias("dst"), "x", "r")
+    nodes = packed.join(ranks, "id").select("id", F.transform("x", lambda v: v.cast("double")).alias("s"), F.transform("x", lambda v: (v * v).cast("double")).alias("ss"), F.col("r").alias("u"))
     closed = edges.select("src", "dst").unionByName(edges.select("src", F.col("src").alias("dst"))).distinct()
-    sums = lambda e: F.array(*[F.sum(e(k)) for k in range(width)])
-    x = lambda k: F.col("x")[k]
-    got = closed.join(nodes, "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), sums(x).alias("s"), sums(lambda k: x(k) * x(k)).alias("ss"), sums(lambda k: F.col("r")[k]).alias("u"))
-    long_ = got.where(F.col("n") >= min_fg).select("id", "n", F.posexplode(F.arrays_zip("s", "ss", "u")).alias("pos", "f")).select("id", "n", "pos", "f.*").join(F.broadcast(totals), "pos")
+    got = wide.neighbour_sums(closed, nodes, ["s", "ss", "u"]).where(F.col("n") >= min_fg)
+    long_ = got.select("id", "n", "part", F.posexplode(F.arrays_zip("s", "ss", "u")).alias("p", "f")).select("id", "n", (F.col("part") * wide.WIDTH + F.col("p")).alias("pos"), "f.*").join(totals, "pos")
     n, m = F.col("n").cast("double"), F.col("m") - F.col("n")
     var = lambda n, s, ss: F.greatest(F.lit(1e-12), ss / n - (s / n) * (s / n))
     s, ss, bs, bss = F.col("s"), F.col("ss"), F.col("all_s") - F.col("s"), F.col("all_ss") - F.col("ss")
@@ -187,7 +184,9 @@ def neighbourhood_tests(edges: DataFrame, packed: DataFrame, width: int, min_fg:
 
 
 def named(tests: DataFrame, names: list[str]) -> DataFrame:
-    return tests.withColumn("feature", F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1)).drop("pos")
+    """``tests`` with the name of the feature at ``pos``."""
+    table = tests.sparkSession.createDataFrame([(k, n) for k, n in enumerate(names)], "pos int, feature string")
+    return tests.join(F.broadcast(table) if len(names) <= 100_000 else table, "pos").drop("pos")
 
 
 def scores_on_graph(edges: DataFrame, packed: DataFrame, names: list[str], threshold: float, min_fg: int = 3) -> DataFrame:
@@ -208,9 +207,9 @@ def log2_fold(mean_fg: Column, mean_bg: Column) -> Column:
 def genes_on_graph(edges: DataFrame, packed: DataFrame, names: list[str], threshold: float, top_n: int = 50, min_fg: int = 3, min_nodes: int = 3) -> DataFrame:
     """Genes on a receptor graph: those nonzero in ``min_nodes`` nodes, each neighbourhood's ``top_n``
     by t, one-sided; limits as in scores_on_graph, but strict. Adds log2 of the fold of means."""
-    nonzero = packed.agg(*[F.count(F.when(F.col("x")[k] != 0, 1)) for k in range(len(names))]).first()
-    use = [k for k, c in enumerate(nonzero) if c >= min_nodes]
-    slim = packed.select("id", F.array(*[F.col("x")[k] for k in use]).alias("x"))
+    nonzero = packed.select(F.posexplode("x").alias("pos", "x")).where("x <> 0").groupBy("pos").count().where(F.col("count") >= min_nodes)
+    use = sorted(r["pos"] for r in nonzero.select("pos").collect())  # as many numbers as there are names
+    slim = packed.select("id", F.transform(F.lit(use), lambda k: F.element_at("x", k + 1)).alias("x")) if use else packed.select("id", F.array().cast("array<double>").alias("x"))
     tests = named(neighbourhood_tests(edges, slim, len(use), min_fg, "greater"), [names[k] for k in use])
     factor = tests.select("id").distinct().count() * len(use)
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("t"), "feature"))
@@ -265,19 +264,19 @@ def density_positions(density: DataFrame, legacy: bool = True) -> DataFrame:
 def hotspot_packed(edges: DataFrame, packed: DataFrame, names: list[str], threshold: float | None = None) -> DataFrame:
     """(feature, z, pvalue_adj) of packed features (id, x) on a graph.
 
-    A neighbour's features are summed per source first and met with the source's own once, so shuffled
-    rows are the edges, whatever the number of features. Features without deviation (1e-6) are left
+    A neighbour's features are summed per source in blocks (``wide``) and met with the source's own once,
+    so the plan is the same for any number of features. Features without deviation (1e-6) are left
     out; p-values are one-sided, times the features; ``threshold`` keeps those within it.
     """
-    width = len(names)
-    dst = packed.select(F.col("id").alias("dst"), F.col("x").alias("y"))
-    near = edges.select("src", "dst").join(dst, "dst").groupBy(F.col("src").alias("id")).agg(F.array(*[F.sum(F.col("y")[k]) for k in range(width)]).alias("y"))
-    cross = near.join(packed, "id").agg(F.array(*[F.sum(F.col("x")[k] * F.col("y")[k]) for k in range(width)]).alias("xx"), F.array(*[F.sum(F.col("y")[k]) for k in range(width)]).alias("xin"))
-    stat = packed.agg(F.array(*[F.avg(F.col("x")[k]) for k in range(width)]).alias("mean"), F.array(*[F.var_pop(F.col("x")[k]) for k in range(width)]).alias("var"))
+    rows = packed.select("id", F.transform("x", lambda v: v.cast("double")).alias("x"))
+    near = wide.neighbour_sums(edges, rows, ["x"]).withColumnRenamed("x", "y").join(wide.in_parts(rows, ["x"]), ["id", "part"])
+    each = near.select("part", F.posexplode(F.arrays_zip("x", "y")).alias("p", "f")).select((F.col("part") * wide.WIDTH + F.col("p")).alias("pos"), "f.*")
+    cross = each.groupBy("pos").agg(F.sum(F.col("x") * F.col("y")).alias("xx"), F.sum("y").alias("xin"))
+    stat = rows.select(F.posexplode("x").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
     pairs = edges.select("src", "dst")
     back = pairs.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("r")), ["src", "dst"], "left")
     v = back.agg(F.sum(F.when(F.col("r").isNotNull(), 2).otherwise(1)).alias("v"))
-    one = cross.crossJoin(stat).crossJoin(v).select("v", F.posexplode(F.arrays_zip("xx", "xin", "mean", "var")).alias("pos", "f")).select("v", "pos", "f.*")
+    one = cross.join(stat, "pos").crossJoin(F.broadcast(v))  # one number
     z = (F.col("xx") - F.col("mean") * F.col("xin")) / F.greatest(F.lit(1e-9), F.col("var")) / F.sqrt("v")
     done = named(one.where("sqrt(var) >= 1e-6").withColumn("z", z), names)
     done = done.select("feature", "z", (normal_p(F.col("z")) * len(names)).alias("pvalue_adj"))
