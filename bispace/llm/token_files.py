@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from bispace.llm.bpe import PRETOKEN, Codec, codec, slices
 from bispace.llm.common import Shared, broadcast_key, file_broadcast, spread, worker_state
-from bispace.session import shared_dir
+from bispace.session import work_dir
 
 MAGIC = b"TOKS1"
 #: Bytes of text in a range of documents; the tasks of larger tables stay as large, there are more.
@@ -230,4 +230,4 @@ def read_token_files(spark: SparkSession, folder: str, per_document: bool = True
 
 
 def token_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/token-files-{uuid.uuid4().hex}"

@@ -19,9 +19,11 @@ from bispace.llm.bpe import encode_decode
 from bispace.llm.decontaminate import find_leaks
 from bispace.llm.language_id import fit, identify
 from bispace.llm.near_dedup import near_duplicates
-from bispace.session import shared_dir
+from bispace.session import work_dir, work_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of (id, hash, flag, count), some 50 bytes each, that the second stage broadcasts at most.
+MARKS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +38,14 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null id all stay; only rows whose id is repeated are compared by their whole text.
     """
     docs = docs.select(*COLUMNS)
-    marks = near_duplicates(docs.select("doc_id", "text"), by_row=True)
-    dropped = marks.where("not kept and doc_id is not null").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
-    left = docs.join(dropped, (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h")), "left_anti")
-    again = left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once.select(*COLUMNS))
+    marks = near_duplicates(docs.select("doc_id", "text"), by_row=True).where("doc_id is not null")
+    marks = marks.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    # written and counted: up to MARKS rows go to all tasks, beyond that texts meet them by a shuffle
+    marks = work_table(marks.where("not kept or n > 1"), "marks")
+    marks = F.broadcast(marks) if marks.count() <= MARKS else marks
+    same = (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("h"))
+    once = docs.join(marks.where("kept"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(marks, same, "left_anti").unionByName(once.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
