@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from bispace.functions.tails import mann_whitney_tail, normal_p, student_p
 from bispace.operators import neighbours, wide
 from bispace.operators.distances import fields, in_blocks
 from bispace.operators.windows import running_sum
+from bispace.session import work_table
 
 #: Coefficients of the fitted deviation of shared edges, and of the fitted time of a shuffle.
 FITTED_SD, FITTED_TIME, MOST_SECONDS = (0.691433, 0.253497, -0.340085), (-1.9147, 0.9589, 1.0444, -4.4533), 2000.0
@@ -104,7 +106,54 @@ def shuffles(nodes: DataFrame, repeats: int) -> DataFrame:
     return drawn.join(slots, "slot").select("rep", "id", "to")
 
 
-def overlap_stats(gex: DataFrame, tcr: DataFrame, nodes: DataFrame, repeats: int = 100, most_seconds: float = MOST_SECONDS) -> DataFrame:
+def _bits(edges: DataFrame, slots: DataFrame, n: int, rows: int = 512) -> list:
+    """Adjacency as rows of bits: (first slot, bytes) of blocks of ``rows`` sources."""
+    at = edges.join(slots.select(F.col("id").alias("src"), F.col("slot").alias("s")), "src").join(slots.select(F.col("id").alias("dst"), F.col("slot").alias("d")), "dst")
+    held = at.groupBy(F.floor(F.col("s") / rows).alias("block")).agg(F.collect_list((F.col("s") % rows) * n + F.col("d")).alias("at"))
+
+    def packed(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bits = np.zeros(rows * n, bool)
+                bits[batch.column("at")[k].values.to_numpy(zero_copy_only=False)] = True
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(k, 1), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
+
+    return held.mapInArrow(packed, "block long, bits binary").collect()
+
+
+def relabelled_overlaps(a: DataFrame, b: DataFrame, nodes: DataFrame, perm: DataFrame, repeats: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """(rep, k): edges that ``a`` shares with each relabelling of ``b``, both ends by the same one.
+
+    Edges of ``b`` meet the images of their ends under all relabelings at once and are looked up in the
+    bits of ``a``, which go to all tasks if N * N bits are at most ``most_bytes``; a larger graph is met
+    by joins instead, with the same result.
+    """
+    n = nodes.count()
+    if n * n // 8 > most_bytes:
+        moved = b.join(perm.select("rep", F.col("id").alias("src"), F.col("to").alias("s")), "src").join(perm.select("rep", F.col("id").alias("dst"), F.col("to").alias("d")), ["rep", "dst"])
+        return moved.join(a.select(F.col("src").alias("s"), F.col("dst").alias("d")).distinct(), ["s", "d"]).groupBy("rep").agg(F.count("*").alias("k"))
+    rows = 512
+    slots = work_table(running_sum(nodes.select("id"), [], [F.col("id")], F.lit(1), "slot").withColumn("slot", F.col("slot") - 1), "slots")
+    blocks = {r["block"]: bytes(r["bits"]) for r in _bits(a, slots, n, rows)}
+    size = -(-rows * n // 8)
+    sent = nodes.sparkSession.sparkContext.broadcast(b"".join(blocks.get(k, bytes(size)) for k in range(-(-n // rows))))
+    images = perm.join(slots.select(F.col("id").alias("to"), "slot"), "to").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rep", "slot"))).alias("p"))
+    images = work_table(images.select("id", F.col("p.slot").alias("x")), "images")
+    ends = b.join(images.select(F.col("id").alias("src"), F.col("x").alias("s")), "src").join(images.select(F.col("id").alias("dst"), F.col("x").alias("d")), "dst").select("s", "d")
+
+    def looked_up(batches):
+        bits, total = np.frombuffer(sent.value, np.uint8), np.zeros(repeats, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                s, d = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, repeats) for c in "sd")
+                at = (s % rows) * n + d
+                total += ((bits[(s // rows) * size + at // 8] >> (7 - at % 8).astype(np.uint8)) & 1).sum(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, repeats + 1, dtype=np.int32)), pa.array(total)], names=["rep", "k"])
+
+    return ends.mapInArrow(looked_up, "rep int, k long").groupBy("rep").agg(F.sum("k").alias("k"))
+
+
+def overlap_stats(gex: DataFrame, tcr: DataFrame, nodes: DataFrame, repeats: int = 100, most_seconds: float = MOST_SECONDS, perm: DataFrame | None = None) -> DataFrame:
     """One row: shared edges of two graphs, against relabelings of one (both ends by the same one) and
     against the fitted deviation; the latter stands in where the modelled time exceeds ``most_seconds``."""
     n = nodes.count()
@@ -119,9 +168,8 @@ def overlap_stats(gex: DataFrame, tcr: DataFrame, nodes: DataFrame, repeats: int
     if expected > 0 and min(variances) > 0:
         fitted = 10 ** (FITTED_SD[0] * math.log10(expected) + FITTED_SD[1] * sum(map(math.log10, variances)) + FITTED_SD[2])
     if 10**log_time * repeats / 100 <= most_seconds:
-        perm = shuffles(nodes, repeats)
-        moved = b.join(perm.select("rep", F.col("id").alias("src"), F.col("to").alias("s")), "src").join(perm.select("rep", F.col("id").alias("dst"), F.col("to").alias("d")), ["rep", "dst"])
-        shared = moved.join(a.select(F.col("src").alias("s"), F.col("dst").alias("d")), ["s", "d"]).groupBy("rep").agg(F.count("*").alias("k"))
+        perm = work_table(shuffles(nodes, repeats), "relabelings") if perm is None else perm
+        shared = relabelled_overlaps(a, b, nodes, perm, repeats)
         reps = nodes.sparkSession.range(1, repeats + 1).select(F.col("id").cast("int").alias("rep")).join(shared, "rep", "left").na.fill(0, ["k"])
         found = reps.agg(F.avg("k").alias("mean"), F.stddev_pop("k").alias("sd")).first()
         mean, sd, source = found["mean"], found["sd"], "shuffling"
@@ -139,11 +187,12 @@ def overlap_stats(gex: DataFrame, tcr: DataFrame, nodes: DataFrame, repeats: int
 def graph_vs_graph_stats(nodes: DataFrame, gex: DataFrame, tcr: DataFrame, fractions: list[float], clusters: tuple[str, str] = ("cg", "ct"), repeats: int = 100) -> DataFrame:
     """overlap_stats of each fraction's three comparisons; cluster graphs leave out shared groups."""
     n, out = nodes.count(), None
+    perm = work_table(shuffles(nodes, repeats), "relabelings")
     cg, ct = (cluster_graph(nodes, c) for c in clusters)
     for f in fractions:
         g, t = up_to(gex, f, n), up_to(tcr, f, n)
         for kind, x, y in (("gex_nbr_vs_tcr_nbr", g, t), ("gex_nbr_vs_tcr_cluster", g, ct), ("gex_cluster_vs_tcr_nbr", cg, t)):
-            rows = overlap_stats(x, y, nodes, repeats).withColumns({"nbr_frac": F.lit(f), "graph_overlap_type": F.lit(kind)})
+            rows = overlap_stats(x, y, nodes, repeats, perm=perm).withColumns({"nbr_frac": F.lit(f), "graph_overlap_type": F.lit(kind)})
             out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -390,14 +439,18 @@ def combined_neighbours(gex: DataFrame, tcr: DataFrame, n: int, k: int = 10) ->
 
 
 def random_threshold(edges: DataFrame, nodes: DataFrame, repeats: int = 50, seed: int = 1) -> float:
-    """Median over random normal scores of the greatest neighbourhood mean of standardised scores."""
-    draws = F.array(*[F.randn(seed + k) for k in range(repeats)])
-    x = nodes.select("id", draws.alias("x")).checkpoint(eager=True) if nodes.sparkSession.sparkContext.getCheckpointDir() else nodes.select("id", draws.alias("x"))
-    stat = x.agg(F.array(*[F.struct(F.avg(F.col("x")[k]).alias("m"), F.stddev_pop(F.col("x")[k]).alias("s")) for k in range(repeats)]).alias("st"))
-    z = x.crossJoin(F.broadcast(stat)).select("id", F.zip_with("x", "st", lambda v, s: (v - s["m"]) / s["s"]).alias("x"))
-    near = edges.select("src", "dst").join(z.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"), F.array(*[F.sum(F.col("x")[k]) for k in range(repeats)]).alias("y"))
-    top = near.join(z, "id").select(*[((F.col("x")[k] + F.col("y")[k]) / (F.col("k") + 1)).alias(f"s{k}") for k in range(repeats)]).agg(*[F.max(f"s{k}") for k in range(repeats)]).first()
-    found = sorted(v for v in top if v is not None)
+    """Median over random normal scores of the greatest neighbourhood mean of standardised scores.
+
+    Scores come from hashes of seed, repeat and id, so partitions don't matter; infinite without edges.
+    """
+    even = lambda k, tag: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(tag), k, "id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    draw = F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda k: F.sqrt(-2 * F.log(even(k, 0))) * F.cos(2 * math.pi * even(k, 1)))
+    x = work_table(nodes.select("id", draw.alias("x")), "scores")
+    stat = x.select(F.posexplode("x").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    near = wide.neighbour_sums(edges, x, ["x"]).withColumnRenamed("x", "y").join(wide.in_parts(x, ["x"]), ["id", "part"])
+    mean = near.select("n", "part", F.posexplode(F.arrays_zip("x", "y")).alias("p", "f")).select((F.col("part") * wide.WIDTH + F.col("p")).alias("pos"), ((F.col("f.x") + F.col("f.y")) / (F.col("n") + 1)).alias("mean"))
+    top = mean.groupBy("pos").agg(F.max("mean").alias("top")).join(stat, "pos").select(((F.col("top") - F.col("m")) / F.col("s")).alias("z"))
+    found = sorted(r["z"] for r in top.collect() if r["z"] is not None)  # one number a repeat
     return (found[(len(found) - 1) // 2] + found[len(found) // 2]) / 2 if found else math.inf
 
 

@@ -98,7 +98,7 @@ def _stats(suffix: str, a: str, b: str, kind: str, f: float, repeats: int) -> tu
     return _named_ctes(text, names, suffix), _named_ctes(row, names, suffix)
 
 
-_REPEATS = 30
+_REPEATS = 100
 _CLUSTER_EDGES = ", ".join(f"clus_{c} AS (SELECT a.id AS src, b.id AS dst FROM nodes a JOIN nodes b USING ({c}) WHERE a.ag <> b.ag AND a.bg <> b.bg)" for c in ("cg", "ct"))
 _PERM = f"""slots AS (SELECT id AS too, row_number() OVER (ORDER BY id) AS slot FROM nodes), perm AS (SELECT rep, d.id, too FROM (SELECT rep, id, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '-' || id), id) AS slot FROM nodes, (SELECT unnest(range(1, {_REPEATS + 1})) AS rep)) d JOIN slots USING (slot))"""
 _STAT = [_stats(f"_s{k}{j}", a, b, kind, f, _REPEATS) for k, f in enumerate(FRACTIONS) for j, (a, b, kind) in enumerate(((f"gex{k}", f"tcr{k}", _KINDS["n"]), (f"gex{k}", "clus_ct", _KINDS["g"]), ("clus_cg", f"tcr{k}", _KINDS["t"])))]

@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _work_dir(spark: SparkSession) -> str:
+def work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/bispace-work-{spark.sparkContext.applicationId}"
 
 
@@ -41,12 +41,12 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     work, and a lost executor costs only a re-read. ``clear_work`` removes what an application left.
     """
     spark = df.sparkSession
-    path = f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_work(spark: SparkSession) -> None:
     """Removes all work tables of this application; results that are still to be read need them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

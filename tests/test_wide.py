@@ -48,3 +48,26 @@ def test_plans_do_not_grow_with_the_features(spark):
         z = ((x * (a @ x)).sum(0) - x.mean(0) * (a @ x).sum(0)) / x.var(0) / np.sqrt(v)
         assert np.allclose([found[n] for n in names], z)
     assert size[1] < 1.2 * size[0]
+
+
+def test_relabelled_overlaps_by_bits_and_by_joins(spark):
+    draw = np.random.default_rng(3)
+    ids = [3 * k + 1 for k in range(530)]  # more than one block of rows
+    pick = lambda m: spark.createDataFrame(list({(ids[a], ids[b]) for a, b in draw.integers(0, 530, (m, 2)) if a != b}), "src long, dst long")
+    a, b, nodes = pick(4000), pick(3000), spark.createDataFrame([(i,) for i in ids], "id long")
+    perm = graph_tests.shuffles(nodes, 7).cache()
+    to = {(r.rep, r.id): r.to for r in perm.collect()}
+    assert all(sorted(to[rep, i] for i in ids) == ids for rep in range(1, 8))
+    mine, other = {tuple(r) for r in a.collect()}, [tuple(r) for r in b.collect()]
+    want = {rep: sum((to[rep, s], to[rep, d]) in mine for s, d in other) for rep in range(1, 8)}
+    for most in (64 << 20, 0):
+        got = {r.rep: r.k for r in graph_tests.relabelled_overlaps(a, b, nodes, perm, 7, most).collect()}
+        assert {rep: got.get(rep, 0) for rep in want} == want
+
+
+def test_random_threshold_does_not_depend_on_partitions(spark):
+    edges = spark.createDataFrame([(i, (i + k) % 60) for i in range(60) for k in (1, 2, 3)], "src long, dst long")
+    nodes = spark.range(60)
+    found = {round(graph_tests.random_threshold(edges.repartition(k), nodes.repartition(k), 20), 12) for k in (2, 5)}
+    assert len(found) == 1 and 0.5 < found.pop() < 3
+    assert graph_tests.random_threshold(edges.limit(0), nodes, 20) == float("inf")
