@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bispace.functions.stats import hypergeometric_tail
-from bispace.operators.motifs import upper_tail
+from bispace.session import work_table
 
 #: By how much the best complex must exceed the second, in logs and in counts; least positives.
 LOG_DELTA, COUNT_DELTA, MIN_POSITIVE = 2.0, 3.0, 3
@@ -45,63 +41,59 @@ def clone_enrichment(cells: DataFrame, values: DataFrame, log_delta: float = LOG
     return own.join(delta, ["clone", "complex"]).select("clone", "complex", "n_positive", "clone_size", p.alias("pvalue"), "log_delta")
 
 
-def product_cdf(p: float, q: float) -> float:
-    """P(product of two uniforms <= p q)."""
+def product_p(p: Column, q: Column) -> Column:
+    """P(the product of two uniform numbers is at most p q)."""
     x = p * q
-    return max(0.0, x - x * math.log(x)) if x > 0 else 0.0
-
-
-def max_tail(m: int, p: float) -> float:
-    """P(the greatest of m independent variables exceeds what one does with probability p), summed until
-    terms are below a thousandth of the sum."""
-    total, term = 0.0, 1.0
-    for i in range(1, m + 1):
-        term *= -p * (m - i + 1) / i
-        total -= term
-        if total and abs(term) < 1e-3 * abs(total):
-            break
-    return total
-
-
-def combined_pvalue(positive: set, near: dict, group_a: dict, group_b: dict, k: int) -> float:
-    """Least combined p-value of positives having positive neighbours, the strongest first; each step takes
-    out the node's neighbours and everything of its groups. Stops at an overlap that chance would give."""
-    left, best, combo = set(positive), 1.0, None
-    size_a, size_b, both = (pd.Series(list(x)).value_counts().to_dict() for x in (group_a.values(), group_b.values(), zip(group_a.values(), group_b.values(), strict=True)))
-    while left:
-        m = len(left)
-        n, top = max(((sum(j in left for j in near.get(i, ())), -i) for i in left))
-        top = -top
-        if not n:
-            break
-        a, b = group_a[top], group_b[top]
-        possible = len(group_a) - (size_a[a] + size_b[b] - both[a, b])
-        good = sum(group_a[i] != a and group_b[i] != b for i in left)
-        if not possible or n < good * k / possible:
-            break
-        p = upper_tail(n, possible, good, k)
-        if p * m > 1:
-            break
-        if p == 0:
-            return 0.0
-        tail = max_tail(m, p)
-        if tail < 0:
-            break
-        combo = tail if combo is None else product_cdf(combo, tail)
-        if combo == 0:
-            return 0.0
-        best = min(best, combo)
-        left = {i for i in left if i not in near.get(top, ()) and group_a[i] != a and group_b[i] != b}
-    return best
+    return F.when(x > 0, x * (1 - F.log(x))).otherwise(0.0)
+
+
+def greatest_p(p: Column, m: Column) -> Column:
+    """P(the greatest of m independent variables reaches what one reaches with probability p)."""
+    return F.when(p >= 1, F.when(m > 0, 1.0).otherwise(0.0)).otherwise(-F.expm1(m * F.log1p(-p)))
+
+
+def peeled_p(positive: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(complex, pvalue): how unlikely the neighbours are that positives (complex, id) share with positives.
+
+    In a round every complex loses its strongest node (most positive neighbours, ties to the smallest
+    id) with the node's neighbours and its groups. The node's tail probability among nodes outside its
+    groups, as the greatest of those that were left, is multiplied into the complex's, and the least
+    product so far is its p-value. A complex ends when the strongest has no positive neighbour, fewer
+    than chance would give, or a tail that isn't below one over those left. All complexes go through a
+    round together, as joins; rounds are as many as the longest peel.
+    """
+    g = nodes.select("id", "ag", "bg")
+    population = g.count()
+    size = {n: g.groupBy(*c).agg(F.count("*").alias(n)) for n, c in (("sa", ["ag"]), ("sb", ["bg"]), ("sab", ["ag", "bg"]))}
+    of = g.join(size["sa"], "ag").join(size["sb"], "bg").join(size["sab"], ["ag", "bg"]).select("id", "ag", "bg", (F.lit(population) - F.col("sa") - F.col("sb") + F.col("sab")).alias("possible"))
+    left = work_table(positive.select("complex", "id").distinct().join(of, "id"), "positives")
+    done = left.select("complex").distinct().select("complex", F.lit(None).cast("double").alias("combined"), F.lit(1.0).alias("pvalue"))
+    links = edges.select("src", "dst").join(left.select("complex", F.col("id").alias("src")), "src")
+    links = work_table(links, "links")
+    degree = work_table(links.groupBy("complex", "src").agg(F.count("*").alias("k")).groupBy("complex").agg(F.max("k").alias("k")), "degrees")
+    while True:
+        near = links.join(left.select("complex", F.col("id").alias("dst")), ["complex", "dst"]).groupBy("complex", F.col("src").alias("id")).agg(F.count("*").alias("n"))
+        met = near.join(left, ["complex", "id"])
+        top = met.groupBy("complex").agg(F.min(F.struct((-F.col("n")).alias("less"), "id", "ag", "bg", "possible")).alias("t"))
+        top = top.select("complex", (-F.col("t.less")).alias("n"), F.col("t.id").alias("top"), F.col("t.ag").alias("ta"), F.col("t.bg").alias("tb"), F.col("t.possible").alias("possible"))
+        count = left.join(top, "complex").groupBy("complex").agg(F.count("*").alias("m"), F.count(F.when((F.col("ag") != F.col("ta")) & (F.col("bg") != F.col("tb")), 1)).alias("good"))
+        step = top.join(count, "complex").join(degree, "complex").where("possible > 0 and n * possible >= good * k")
+        step = step.withColumn("p", hypergeometric_tail(F.col("n"), F.col("possible"), F.col("good"), F.col("k"))).where("p * m <= 1")
+        step = work_table(step, "peeled")
+        if step.isEmpty():
+            return done.select("complex", "pvalue")
+        tail = step.select("complex", greatest_p(F.col("p"), F.col("m")).alias("tail"), F.lit(True).alias("on"))
+        joined = done.join(tail, "complex", "left").withColumn("combined", F.when(F.col("on"), F.when(F.col("combined").isNull(), F.col("tail")).otherwise(product_p(F.col("combined"), F.col("tail")))).otherwise(F.col("combined")))
+        done = work_table(joined.select("complex", "combined", F.when(F.col("on"), F.least("pvalue", "combined")).otherwise(F.col("pvalue")).alias("pvalue")), "combined")
+        gone = links.join(step.select("complex", F.col("top").alias("src")), ["complex", "src"]).select("complex", F.col("dst").alias("id")).distinct()
+        stay = left.join(step.select("complex", "ta", "tb"), "complex").where("ag <> ta and bg <> tb").join(gone, ["complex", "id"], "left_anti")
+        left = work_table(stay.select("complex", "id", "ag", "bg", "possible"), "positives")
 
 
 def complexes_on_graph(positive: DataFrame, edges: DataFrame, nodes: DataFrame, least: int = MIN_POSITIVE) -> DataFrame:
     """(complex, num_positive_clones, total_nbrs, expected_total_nbrs, max_nbrs, log2_enrich, pvalue) of
     complexes with ``least`` positive nodes (id, complex): neighbours of positives that are positive for
-    the same, against chance among the nodes outside their groups.
-
-    The iteration of the combined p-value takes a complex's positives, the groups of all nodes and the
-    edges between positives in one task, so positives of a complex must fit there.
+    the same, against chance among the nodes outside their groups, with the p-value of ``peeled_p``.
     """
     pos = positive.distinct()
     use = pos.groupBy("complex").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -121,26 +113,5 @@ def complexes_on_graph(positive: DataFrame, edges: DataFrame, nodes: DataFrame,
     out = use.join(expected, "complex").join(near, "complex", "left").na.fill(0, ["total_nbrs", "max_nbrs"])
     e, t = F.col("expected_total_nbrs"), F.col("total_nbrs")
     out = out.withColumn("log2_enrich", F.when(t > 0, F.log2(t / e)).when(e < 1, 0.0).otherwise(F.log2(0.5 / e)))
-    every = edges.select("src", "dst").join(pos.select(F.col("id").alias("src"), "complex"), "src").groupBy("complex", "src").agg(F.collect_list("dst").alias("near"))
-    member = own.select("complex", "id", "ag", "bg").join(every.withColumnRenamed("src", "id"), ["complex", "id"], "left")
-    table = {(r["ag"], r["bg"]): r["sab"] for r in sizes[2].limit(2_000_000).collect()} if n_nodes <= 2_000_000 else None
-    if table is None:
-        raise ValueError("combined p-values take the groups of at most 2,000,000 nodes")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["id"].tolist()
-        near = {i: set(x) if isinstance(x, (list, np.ndarray)) else set() for i, x in zip(ids, rows["near"], strict=True)}
-        ga, gb = dict(zip(ids, rows["ag"], strict=True)), dict(zip(ids, rows["bg"], strict=True))
-        extra = -1  # the other nodes, as members of their groups
-        inside: dict = {}
-        for i in ids:
-            inside[ga[i], gb[i]] = inside.get((ga[i], gb[i]), 0) + 1
-        for (a, b), c in table.items():
-            for _ in range(c - inside.get((a, b), 0)):
-                ga[extra], gb[extra] = a, b
-                extra -= 1
-        sizes = {len(x) for x in near.values()}
-        return pd.DataFrame({"complex": [rows["complex"].iloc[0]], "pvalue": [combined_pvalue(set(ids), near, ga, gb, max(sizes, default=0))]})
-
-    p = member.groupBy("complex").applyInPandas(walk, f"complex {dict(pos.dtypes)['complex']}, pvalue double")
+    p = peeled_p(pos, edges, nodes)
     return out.join(p, "complex").select("complex", F.col("n").alias("num_positive_clones"), "total_nbrs", "expected_total_nbrs", "max_nbrs", "log2_enrich", "pvalue")

@@ -205,6 +205,18 @@ def nearest(packed: DataFrame, parts: int, distance, k: int) -> DataFrame:
     blocks of a task, so k rows per node and task go on, never pairs.
     """
     left, right = packed.select(F.col("b").alias("p"), F.col("x").alias("l")), packed.select(F.col("b").alias("q"), F.col("x").alias("r"))
+    met = left.repartition(parts, "p").crossJoin(F.broadcast(right) if parts == 1 else right).withColumn("lower", F.lit(0.0))
+    return ranked(met.mapInArrow(running_top(distance, k), "src long, dst long, dist double"), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
+
+
+def running_top(distance, k: int):
+    """A mapInArrow function over meetings (p, l, q, r, lower) of blocks, those of one p together: the k
+    nearest of each node of l. A block that is at least ``lower`` away is passed over where every node
+    already has k nearer ones."""
 
     def run(batches):
         now, mine, best, others = None, None, None, {}
@@ -221,6 +233,8 @@ def nearest(packed: DataFrame, parts: int, distance, k: int) -> DataFrame:
                     if best is not None:
                         yield done()
                     now, mine, best = p, fields(batch.column("l")[n]), None
+                if best is not None and best[0].shape[1] == k and batch.column("lower")[n].as_py() > best[0][:, -1].max() + 1e-6:
+                    continue
                 if q not in others:
                     if len(others) >= 32:
                         others.clear()
@@ -235,8 +249,7 @@ def nearest(packed: DataFrame, parts: int, distance, k: int) -> DataFrame:
         if best is not None:
             yield done()
 
-    met = left.repartition(parts, "p").crossJoin(F.broadcast(right) if parts == 1 else right).mapInArrow(run, "src long, dst long, dist double")
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
+    return run
 
 
 def receptor_knn(receptors: DataFrame, v: DataFrame, k: int, block: int = BLOCK) -> DataFrame:

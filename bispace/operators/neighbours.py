@@ -24,17 +24,19 @@ def exclusion_knn(nodes: DataFrame, vector: str, k: int, block: int = BLOCK) ->
     """
     whole = nodes.select("id", "ag", "bg", F.col(vector).cast("array<double>").alias("v")).na.drop().where(F.forall("v", lambda x: x.isNotNull()))
 
-    def distance(x, y):
-        xa, xb = (m["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(m["id"]), -1) for m in (x, y))
-        d = np.zeros((len(xa), len(xb)))
-        for j in range(xa.shape[1]):
-            d += (xa[:, j : j + 1] - xb[:, j]) ** 2
-        d = np.round(np.sqrt(d), 9)
-        for g in ("ag", "bg"):
-            d[x[g].to_numpy()[:, None] == y[g].to_numpy()] = np.inf
-        return d
-
-    return nearest(*in_blocks(whole, ["id", "ag", "bg", "v"], block), distance, k)
+    return nearest(*in_blocks(whole, ["id", "ag", "bg", "v"], block), apart_distance, k)
+
+
+def apart_distance(x: dict, y: dict) -> np.ndarray:
+    """Euclidean distances of two blocks to nine decimals, infinite between nodes that share a group."""
+    xa, xb = (m["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(m["id"]), -1) for m in (x, y))
+    d = np.zeros((len(xa), len(xb)))
+    for j in range(xa.shape[1]):
+        d += (xa[:, j : j + 1] - xb[:, j]) ** 2
+    d = np.round(np.sqrt(d), 9)
+    for g in ("ag", "bg"):
+        d[x[g].to_numpy()[:, None] == y[g].to_numpy()] = np.inf
+    return d
 
 
 def neighbour_density(edges: DataFrame) -> DataFrame:

@@ -73,6 +73,13 @@ def knn_tcr(spark, sf_dir):
     return _edges(_graph(spark, sf_dir, "tcr")[1])
 
 
+@query(f"WITH {NODES}, {_knn('gex', '10')} {_EDGE}gex")
+def knn_pruned(spark, sf_dir):
+    from bispace.operators.pruned import pruned_knn
+
+    return _edges(pruned_knn(adapters.nodes(spark, sf_dir), "gex", 10, block=128)[0])
+
+
 @query(f"WITH {NODES}, {_knn('gex')}, f AS (SELECT unnest([0.01::DOUBLE, 0.1::DOUBLE]) AS frac) SELECT frac, src, count(*) AS k, round(max(dist), 6) AS reach FROM knn_gex, f WHERE rank <= greatest(1, floor(frac * (SELECT count(*) FROM nodes))) GROUP BY ALL")
 def knn_multi_frac(spark, sf_dir):
     n, e = _graph(spark, sf_dir, "gex")

@@ -232,12 +232,39 @@ def test_planted_motif_is_found(spark):
 
 
 # ---- complexes, trees, components --------------------------------------------------------------
-def test_combined_p_values():
-    assert complexes.max_tail(4, 0.3) == pytest.approx(1 - 0.7**4, abs=1e-3) and complexes.max_tail(10**6, 1e-9) == pytest.approx(1e-3, rel=1e-2)
-    assert complexes.product_cdf(0.5, 0.5) == pytest.approx(0.25 - 0.25 * math.log(0.25)) and complexes.product_cdf(0, 1) == 0
-    near = {i: {j for j in range(4) if j != i} for i in range(4)}
-    group = {i: i for i in range(100)}
-    assert complexes.combined_pvalue(set(range(4)), near, group, group, 3) < 1e-3 and complexes.combined_pvalue({1, 2}, {}, group, group, 3) == 1.0
+def test_combined_p_values(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(complexes.greatest_p(F.lit(0.3), F.lit(4))) == pytest.approx(1 - 0.7**4) and one(complexes.greatest_p(F.lit(1e-9), F.lit(10**6))) == pytest.approx(1e-3, rel=1e-3)
+    assert one(complexes.product_p(F.lit(0.5), F.lit(0.5))) == pytest.approx(0.25 - 0.25 * math.log(0.25)) and one(complexes.product_p(F.lit(0.0), F.lit(1.0))) == 0
+
+
+def test_peeled_p_values_by_a_sequential_walk(spark):
+    draw = random.Random(9)
+    nodes = [(i, draw.randrange(70), draw.randrange(70)) for i in range(120)]
+    group = {i: (a, b) for i, a, b in nodes}
+    edges = sorted({(i, j) for i in range(120) for j in draw.sample(range(120), 8) if i != j} | {(i, j) for i in range(8) for j in range(8) if i != j and i not in (3,)})
+    pos = [(c, i) for c in "abcd" for i in draw.sample(range(120), 20)] + [("x", i) for i in range(8)] + [("x", i) for i in range(100, 106)]
+    apart = lambda i, j: group[i][0] != group[j][0] and group[i][1] != group[j][1]
+    want = {}
+    for c in "abcdx":
+        left = {i for d, i in pos if d == c}
+        near = {i: {d for s, d in edges if s == i} for i in left}
+        k, products = max(len(x) for x in near.values()), []
+        while left:
+            top = min(left, key=lambda i: (-len(near[i] & left), i))
+            n, good, possible = len(near[top] & left), sum(apart(i, top) for i in left), sum(apart(i, top) for i in group)
+            p = sum(math.comb(good, j) * math.comb(possible - good, k - j) for j in range(n, min(good, k) + 1)) / math.comb(possible, k)
+            if not n or n * possible < good * k or p * len(left) > 1:
+                break
+            tail = 1 - (1 - p) ** len(left)
+            x = products[-1] * tail if products else None
+            products.append(tail if x is None else x - x * math.log(x))
+            left = {i for i in left if i not in near[top] and apart(i, top)}
+        want[c] = min(products, default=1.0)
+    args = spark.createDataFrame(pos, "complex string, id long"), spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(nodes, "id long, ag long, bg long")
+    got = {r["complex"]: r.pvalue for r in complexes.peeled_p(*args).collect()}
+    assert got == pytest.approx(want, rel=1e-6) and got["x"] < 1e-3 and min(want[c] for c in "abcd") <= 1
+    assert complexes.peeled_p(args[0].limit(0), *args[1:]).count() == 0
 
 
 def test_trees():
