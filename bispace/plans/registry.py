@@ -313,7 +313,7 @@ def motif_core_counts_whole(spark, sf_dir):
     return sequences.motif_cores(_whole(spark, sf_dir)[0])
 
 
-from bispace.plans import graph_queries, more_queries, receptor_queries, table_queries  # noqa: E402, F401
+from bispace.plans import file_queries, graph_queries, more_queries, receptor_queries, table_queries  # noqa: E402, F401
 
 
 def queries() -> dict:

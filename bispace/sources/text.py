@@ -96,38 +96,64 @@ def write_edges(edges: DataFrame, path: str) -> None:
 
 
 # ---- expression, genes, distances, receptors ---------------------------------------------------
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _f, _s, _o) of text files, with the order of lines: file, start of the split, place in it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"))
+    return rows.withColumn("_o", F.monotonically_increasing_id())
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(k, value): lines with their number from 1, counted by ranges of the order, never in one task."""
+    from bispace.operators.windows import running_sum
+
+    return running_sum(lines_of(spark, path), [], [F.col("_f"), F.col("_s"), F.col("_o")], F.lit(1), "k").select("k", "value")
+
+
 def read_matrix(spark: SparkSession, path: str, unique_names: bool = True) -> DataFrame:
     """(cell, feature, feature_type, value) from a folder with matrix.mtx, features.tsv and barcodes.tsv
-    (each may be compressed): triplets of places from 1, names by line.
+    (each may be compressed, or be a folder of parts): triplets of places from 1, names by line.
 
-    Repeated feature names get ``-1``, ``-2`` in order of their lines with ``unique_names``. Line numbers
-    come from the row order of one small file each; the triplets are split by Spark.
+    Repeated feature names get ``-1``, ``-2`` in order of their lines with ``unique_names``. The first line
+    that isn't a comment gives the number of entries; another number of them raises an error.
     """
     from pyspark.sql import Window
 
-    def lines(name: str) -> DataFrame:
-        one = spark.read.text(f"{path}/{name}*").withColumn("o", F.monotonically_increasing_id())
-        return one.withColumn("k", F.row_number().over(Window.orderBy("o"))).drop("o")  # a list of names
-
     parts = F.split("value", "\t")
-    features = lines("features.tsv").select("k", F.coalesce(F.try_element_at(parts, F.lit(2)), parts[0]).alias("feature"), F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("Gene Expression")).alias("feature_type"))
+    features = numbered_lines(spark, f"{path}/features.tsv*").select("k", F.coalesce(F.try_element_at(parts, F.lit(2)), parts[0]).alias("feature"), F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("Gene Expression")).alias("feature_type"))
     if unique_names:
         again = F.row_number().over(Window.partitionBy("feature").orderBy("k")) - 1
         features = features.withColumn("feature", F.when(again > 0, F.concat_ws("-", "feature", again.cast("string"))).otherwise(F.col("feature")))
-    cells = lines("barcodes.tsv").select("k", F.trim("value").alias("cell"))
+    cells = numbered_lines(spark, f"{path}/barcodes.tsv*").select(F.col("k").alias("c"), F.trim("value").alias("cell"))
     entry = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(f"{path}/matrix.mtx*").where(~F.col("value").startswith("%")).select(entry.alias("e")).where(F.size("e") == 3)
-    rows = rows.select(F.col("e")[0].cast("long").alias("f"), F.col("e")[1].cast("long").alias("c"), F.col("e")[2].cast("double").alias("value"))
-    # the line of sizes names the last feature and cell too, with the number of entries: it isn't one
-    size = spark.read.text(f"{path}/matrix.mtx*").where(~F.col("value").startswith("%")).limit(1).select(entry.alias("e")).first()
-    if size:
-        f, c, n = (int(x) for x in size["e"])
-        if n != rows.count() - 1:
-            raise ValueError(f"{path}: {n} entries announced")
-        head = (F.col("f") == f) & (F.col("c") == c) & (F.col("value") == n)
-        twice = rows.where(head).count()
-        rows = rows.where(~head) if twice == 1 else rows.where(~head).unionByName(rows.where(head).limit(twice - 1))
-    return rows.join(F.broadcast(features), rows["f"] == features["k"]).drop("k", "f").join(F.broadcast(cells), F.col("c") == F.col("k")).select("cell", "feature", "feature_type", "value")
+    lines = lines_of(spark, f"{path}/matrix.mtx*").where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    head = lines.orderBy("_f", "_s", "_o").limit(1).select("value", "_f", "_s", "_o").first()
+    if head is None:
+        raise ValueError(f"{path}: no line of sizes")
+    rest = lines.where(~((F.col("_f") == head["_f"]) & (F.col("_s") == head["_s"]) & (F.col("_o") == head["_o"])))
+    if int(head["value"].split()[2]) != rest.count():
+        raise ValueError(f"{path}: {head['value'].split()[2]} entries announced")
+    rows = rest.select(entry.alias("e")).select(F.col("e")[0].cast("long").alias("k"), F.col("e")[1].cast("long").alias("c"), F.col("e")[2].cast("double").alias("value"))
+    return rows.join(features, "k").join(cells, "c").select("cell", "feature", "feature_type", "value")
+
+
+def write_matrix(rows: DataFrame, path: str, feature_type: str = "Gene Expression") -> None:
+    """A matrix folder of (cell, feature, value), one row a cell and feature, names in their order.
+
+    matrix.mtx comes in two parts, its head and its entries.
+    """
+    from bispace.operators.windows import running_sum
+    from bispace.session import work_table
+
+    spark = rows.sparkSession
+    number = lambda c: work_table(running_sum(rows.select(F.col(c).cast("string").alias(c)).distinct(), [], [F.col(c)], F.lit(1), "k"), c)
+    features, cells = number("feature"), number("cell")
+    entries = rows.select(F.col("cell").cast("string").alias("cell"), F.col("feature").cast("string").alias("feature"), "value")
+    entries = entries.join(features.withColumnRenamed("k", "f"), "feature").join(cells.withColumnRenamed("k", "c"), "cell")
+    head = f"{features.count()} {cells.count()} {rows.count()}"
+    spark.createDataFrame([("%%MatrixMarket matrix coordinate real general\n" + head,)], "value string").coalesce(1).write.text(f"{path}/matrix.mtx-0")
+    entries.select(F.concat_ws(" ", "f", "c", F.col("value").cast("string")).alias("value")).write.text(f"{path}/matrix.mtx-1")
+    features.orderBy("k").select(F.concat_ws("\t", "feature", "feature", F.lit(feature_type)).alias("value")).write.text(f"{path}/features.tsv")
+    cells.orderBy("k").select(F.col("cell").alias("value")).write.text(f"{path}/barcodes.tsv")
 
 
 def read_expression(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -216,7 +242,7 @@ def read_letter_properties(spark: SparkSession, path: str) -> dict[str, dict[str
 
 def read_logistic_model(spark: SparkSession, path: str) -> dict:
     """A chain's model from lines ``name value``: sizes, genes (``V name``, ``J name``), then weights."""
-    lines = [r["value"].split() for r in spark.read.text(path).withColumn("o", F.monotonically_increasing_id()).orderBy("o").limit(100_000).collect() if r["value"].strip()]
+    lines = [r["value"].split() for r in spark.read.text(path).withColumn("o", F.monotonically_increasing_id()).orderBy("o").collect() if r["value"].strip()]  # one model
     sizes = {k: int(v) for k, v, *_ in lines if k in ("min_lenbin", "max_lenbin", "window_size", "NV", "NJ")}
     rest = [x for x in lines if x[0] not in sizes]
     names = lambda region: [k for k, *_ in rest if len(k) > 4 and k[:2] in ("TR", "IG") and k[3] == region]
