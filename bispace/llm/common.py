@@ -115,17 +115,6 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix64(acc)
 
 
-def map_batches(df: DataFrame, schema: str, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = per_batch(batch)
-            if out is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
-
 
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` rows from all over a table, all of a smaller one; chosen without a shuffle.
