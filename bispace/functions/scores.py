@@ -131,11 +131,6 @@ def lookup_score(v: Column, j: Column, cdr3: Column, genes: dict[str, float], le
     return of(v) + of(j) + size + F.when(n > 2 * TRIM, sum((_count(part, a) * F.lit(float(x)) for a, x in letters.items()), F.lit(0.0))).otherwise(0.0)
 
 
-def clipped_enrichment(cd4_mean: Column, cd8_mean: Column, most: float = 0.6) -> Column:
-    """log2 of a mean over the mean of both, within bounds; no data gives 0, none in the second the lower bound."""
-    total = 0.5 * (cd4_mean + cd8_mean)
-    return F.when(total == 0, 0.0).when(cd8_mean == 0, -most).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), F.log2(cd8_mean / total))))
-
 
 def strong_loop(cdr3: Column) -> Column:
     """An older hand-weighted loop score; none for CDR3s of eight letters or fewer."""

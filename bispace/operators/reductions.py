@@ -127,17 +127,3 @@ def label_clusters(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> Data
 
     number = running_sum(sizes, [], [F.desc("n"), F.col("label")], F.lit(1), "k").select("label", (F.col("k") - 1).alias("cluster"))
     return now.join(number, "label").select("id", "cluster")
-
-
-def neighbours_until_connected(knn, nodes: DataFrame, k: int, most_parts: int) -> tuple[DataFrame, int]:
-    """The graph ``knn(k)`` with k doubled until it hangs together in at most ``most_parts`` parts."""
-    from bispace.operators.components import connected_components
-
-    n = nodes.count()
-    while True:
-        edges = work_table(knn(min(k, max(n - 1, 1))), "edges")
-        found = connected_components(edges)
-        alone = nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left_anti").count()
-        if found.select("component").distinct().count() + alone <= most_parts or k >= n - 1:
-            return edges, k
-        k *= 2

@@ -126,10 +126,6 @@ def greedy_clusters(receptors: DataFrame, v: DataFrame, radius: int = 77, least:
     return receptors.select("id").join(grouped.unionByName(alone), "id", "left")
 
 
-def subsample(rows: DataFrame, most: int, seed: int = 1) -> DataFrame:
-    """``most`` rows by a hash of their id, for drawing."""
-    return rows.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string")))).orderBy("_h", "id").limit(most).drop("_h")
-
 
 def logo_pwm(seqs: Sequence[str], distance: np.ndarray, score: dict[tuple[str, str], int], sources: Sequence[str] | None = None, gap: str = ".") -> tuple[str, list[dict[str, float]], list[dict[str, float]]]:
     """The group's medoid (least summed distance, ties by position), and for each of its places the shares of
