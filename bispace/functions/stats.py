@@ -50,17 +50,19 @@ def poisson_tail(at_least: Column, mu: Column, terms: int = 200) -> Column:
     return F.when(at_least <= 0, F.lit(1.0)).when(mu <= 0, F.lit(0.0)).when(mu > at_least, lower).otherwise(upper)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str = "fdr", tests: Column | None = None) -> DataFrame:
-    """Adds step-up FDR over all rows of ``p``; ``tests`` pads the number of tests.
+def benjamini_hochberg(df: DataFrame, p: str, out: str = "fdr", tests: Column | None = None, copies: str | None = None) -> DataFrame:
+    """Adds step-up FDR over all rows of ``p``; ``tests`` pads the number of tests. A row counts as many
+    times as its column ``copies`` says, once without one.
 
     Ranks come from counts of distinct p-values, so only distinct values are ordered, in ranges;
     ties share a rank, as in the usual procedure. A null p stays without an FDR.
     """
     from bispace.operators.windows import least_from_here, running_sum
 
-    total = df.agg(F.count(p).cast("double").alias("_m")) if tests is None else df.sparkSession.range(1).select(tests.cast("double").alias("_m"))
-    each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_q")).agg(F.count("*").alias("_n"))
-    ranked = running_sum(each, [], [F.col("_q")], F.col("_n"), "_rank").crossJoin(F.broadcast(total))
+    times = F.col(copies) if copies else F.lit(1)
+    total = df.agg(F.sum(F.when(F.col(p).isNotNull(), times).otherwise(0)).cast("double").alias("_m")) if tests is None else df.sparkSession.range(1).select(tests.cast("double").alias("_m"))
+    each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_q")).agg(F.sum(times).alias("_k"))
+    ranked = running_sum(each, [], [F.col("_q")], F.col("_k"), "_rank").crossJoin(F.broadcast(total))
     ranked = ranked.select("_q", (F.col("_q") * F.col("_m") / F.col("_rank")).alias("_f"))
     q = least_from_here(ranked, [F.col("_q")], "_f", "_least").select("_q", F.least(F.lit(1.0), "_least").alias(out))
     return df.join(q, df[p] == q["_q"], "left").drop("_q")
