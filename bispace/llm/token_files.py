@@ -58,6 +58,8 @@ class ByRank:
 
     #: Texts with a run of one kind of character as long as this go to the plain codec.
     RUN = regex.compile(r"\p{White_Space}{2000}|[^\p{White_Space}]{2000}")
+    #: Such a run holds one of these at a multiple of their length, so few places of a text are looked at.
+    PART = regex.compile(r"\p{White_Space}{1000}|[^\p{White_Space}]{1000}")
 
     def __init__(self, data: bytes):
         self.own = Codec(data)
@@ -81,14 +83,18 @@ class ByRank:
                 continue
         return all(own.packed[words[w]] == ids for w, ids in own.encode_words(set(words)).items())
 
+    @classmethod
+    def has_run(cls, text: str) -> bool:
+        return any(cls.PART.match(text, at) for at in range(0, len(text) - 999, 1000)) and cls.RUN.search(text) is not None
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as little-endian 32-bit integers."""
         out = []
         for text in texts:
-            if self.RUN.search(text or ""):
+            if self.has_run(text or ""):
                 out += self.own.encode([text])
             else:
-                out.append(np.asarray(self.fast.encode(text or "", allowed_special="all"), "<u4").tobytes())
+                out.append(self.fast.encode_to_numpy(text or "", allowed_special="all").astype("<u4", copy=False).tobytes())
         return out
 
 
