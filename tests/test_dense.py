@@ -39,3 +39,9 @@ def test_features_on_a_graph_without_edges(spark):
     assert a == b and a
     a, b = ({(r.feature, round(r.z, 8)) for r in graph_tests.hotspot_packed(g, packed, names).collect()} for g in (edges, graph))
     assert a == b and len(a) == 5
+
+
+def test_neighbours_are_searched_once_for_tests_of_features(spark):
+    nodes, packed = made(spark, 40)
+    tests = graph_tests.neighbourhood_tests(neighbours.exclusion_knn(nodes, "gex", 5), packed, 5)
+    assert "CartesianProduct" not in tests._jdf.queryExecution().executedPlan().toString() and tests.count() > 0
