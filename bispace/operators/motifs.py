@@ -32,12 +32,36 @@ def core_occurrences(rows: DataFrame) -> DataFrame:
     return each.select("id", core.alias("core")).groupBy("id", "core").agg(F.count("*").alias("n"))
 
 
+def kinds_of(rows: DataFrame) -> DataFrame:
+    """(id, seq, m): rows (id, seq) of ids that have the same sequences as one, with their number and a number
+    of their own as id."""
+    each = rows.groupBy("id").agg(F.sort_array(F.collect_list("seq")).alias("seqs")).groupBy("seqs").agg(F.count("*").alias("m"))
+    return work_table(each.withColumn("id", F.monotonically_increasing_id()), "kinds").select("id", F.explode("seqs").alias("seq"), "m")
+
+
 def upper_tail(at_least: int, population: int, marked: int, drawn: int) -> float:
-    """Hypergeometric P(X >= at_least) of plain numbers."""
+    """Hypergeometric P(X >= at_least) of plain numbers, added up from the likeliest value's side until the
+    rest can't count, so work grows with the deviation, not with the population."""
     top, low = min(marked, drawn), max(at_least, marked + drawn - population, 0)
+    if low > top:
+        return 0.0
     choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    total = choose(population, drawn)
-    return min(1.0, sum(math.exp(choose(marked, j) + choose(population - marked, drawn - j) - total) for j in range(low, top + 1)))
+    mode = (marked + 1) * (drawn + 1) // (population + 2)
+    start = min(max(low, mode), top)
+    first = math.exp(choose(marked, start) + choose(population - marked, drawn - start) - choose(population, drawn))
+    total = term = first
+    for j in range(start, top):
+        term *= (marked - j) * (drawn - j) / ((j + 1) * (population - marked - drawn + j + 1))
+        total += term
+        if term <= 1e-17 * total:
+            break
+    term = first
+    for j in range(start, low, -1):
+        term *= j * (population - marked - drawn + j) / ((marked - j + 1) * (drawn - j + 1))
+        total += term
+        if term <= 1e-17 * total:
+            break
+    return min(1.0, total)
 
 
 @dataclass
@@ -65,14 +89,16 @@ def enriched_motifs(foreground: DataFrame, background: DataFrame) -> list[Motif]
     """Motifs of the foreground's CDR3s (id, seq), best first, none like a better one.
 
     A set of cores occurs in a CDR3 as often as its rarest core. Adjusted p-values count the tests
-    made so far, in order of the cores' ranks.
+    made so far, in order of the cores' ranks. Copies of a CDR3 are searched once and counted as many.
     """
     n_fg, n_bg = foreground.count(), background.count()
     if not n_fg or not n_bg:
         return []
     ratio = n_fg / n_bg
-    occ = work_table(core_occurrences(foreground).withColumn("fg", F.lit(True)).unionByName(core_occurrences(background).withColumn("fg", F.lit(False))), "cores")
-    counts = lambda df, *by: df.groupBy(*by).agg(F.sum(F.when(F.col("fg"), F.col("n")).otherwise(0)).alias("f"), F.sum(F.when(F.col("fg"), 0).otherwise(F.col("n"))).alias("b")).where(F.col("f") >= MIN_COUNT)
+    sides = [core_occurrences(k).join(k.select("id", "m").distinct(), "id") for k in (kinds_of(foreground), kinds_of(background))]
+    occ = work_table(sides[0].withColumn("fg", F.lit(True)).unionByName(sides[1].withColumn("fg", F.lit(False))), "cores")
+    times = F.col("n") * F.col("m")
+    counts = lambda df, *by: df.groupBy(*by).agg(F.sum(F.when(F.col("fg"), times).otherwise(0)).alias("f"), F.sum(F.when(F.col("fg"), 0).otherwise(times)).alias("b")).where(F.col("f") >= MIN_COUNT)
     enrich = lambda f, b: f / (max(PSEUDO, b) * ratio)
     p_of = lambda f, b: upper_tail(min(f, n_fg), n_fg + n_bg, min(f + b, n_fg + n_bg), n_fg)
     core_rows = counts(occ, "core").collect()
@@ -87,7 +113,7 @@ def enriched_motifs(foreground: DataFrame, background: DataFrame) -> list[Motif]
             return {}
         wanted = spark.createDataFrame([(k, c) for k, s in enumerate(sets) for c in s], "k int, core string")
         size = len(sets[0])
-        met = occ.join(F.broadcast(wanted), "core").groupBy("k", "fg", "id").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") == size)
+        met = occ.join(F.broadcast(wanted), "core").groupBy("k", "fg", "id", "m").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") == size)
         return {sets[r["k"]]: (r["f"], r["b"]) for r in counts(met, "k").collect()}
 
     def grown(candidates: list[tuple[str, ...]], step: int, done: int) -> tuple[list[Motif], int]:
@@ -102,24 +128,31 @@ def enriched_motifs(foreground: DataFrame, background: DataFrame) -> list[Motif]
         return sorted(out, key=lambda m: (m.p, m.cores)), done
 
     names = [m.cores[0] for m in singles]
-    pairs, tests = grown([(names[i], names[j]) for j in range(len(names)) for i in range(j) if overlap(names[i], names[j])], 1, tests)
-    tries = [(i + k, i, k) for i, p in enumerate(pairs) for k, c in enumerate(names) if i + k > i and c not in p.cores and any(overlap(c, x) for x in p.cores)]
+    alike: dict[str, list[int]] = {}
+    for k, c in enumerate(names):
+        alike.setdefault(_parts(c)[0], []).append(k)
+    near = {c: [k for k in alike[_parts(c)[0]] if overlap(names[k], c)] for c in names}  # only cores of two equal residues can overlap
+    pairs, tests = grown([(names[i], names[j]) for j in range(len(names)) for i in near[names[j]] if i < j], 1, tests)
+    tries = [(i + k, i, k) for i, p in enumerate(pairs) for k in {k for x in p.cores for k in near[x]} if k > 0 and names[k] not in p.cores]
     triples, tests = grown([(*pairs[i].cores, names[k]) for _, i, k in sorted(tries)], 2, tests)
     every = sorted((m for m in singles + pairs + triples if m.p <= FINAL_P), key=lambda m: (m.p, m.cores))
-    members: dict[tuple, set] = {}
+    members: dict[tuple, dict] = {}
     kept: list[Motif] = []
     for size in (1, 2, 3):
         sets = [m.cores for m in every if len(m.cores) == size]
         if sets:
             wanted = spark.createDataFrame([(k, c) for k, s in enumerate(sets) for c in s], "k int, core string")
-            met = occ.where("fg").join(F.broadcast(wanted), "core").groupBy("k", "id").agg(F.count("*").alias("c")).where(F.col("c") == size)
-            for r in met.groupBy("k").agg(F.collect_set("id").alias("ids")).collect():
-                members[sets[r["k"]]] = set(r["ids"])
+            met = occ.where("fg").join(F.broadcast(wanted), "core").groupBy("k", "id", "m").agg(F.count("*").alias("c")).where(F.col("c") == size)
+            for r in met.groupBy("k").agg(F.collect_list(F.struct("id", "m")).alias("ids")).collect():
+                members[sets[r["k"]]] = dict(r["ids"])
     for m in every:
         if all(jaccard(members[m.cores], members[x.cores]) <= MOST_JACCARD for x in kept):
             kept.append(m)
     return kept
 
 
-def jaccard(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a or b else 0.0
+def jaccard(a: dict, b: dict) -> float:
+    """Similarity of two sets of kinds, given as the copies of each."""
+    both = sum(n for k, n in a.items() if k in b)
+    whole = sum(a.values()) + sum(b.values()) - both
+    return both / whole if whole else 0.0

@@ -43,3 +43,18 @@ def test_windows_cover_texts_in_one_pass(spark, tmp_path):
         k = max(1, len(s) // w + (len(s) % w >= 5)) if s else 0
         want += [(i, p * w + 1, s[p * w : p * w + w] if p < k - 1 else s[p * w :]) for p in range(k)]
     assert got == want
+
+
+def test_motifs_of_copies_are_searched_once(spark, monkeypatch):
+    from bispace.operators import motifs
+
+    some = ["CASSLEYGAEYF", "CASSLEYGSEYF", "CASSPQTRGEYF", "CASSLEWGAEYF"]
+    rows = lambda seqs, n: spark.createDataFrame([(k, seqs[k % len(seqs)]) for k in range(n)], "id long, seq string")
+    seen, real = [], motifs.core_occurrences
+    monkeypatch.setattr(motifs, "core_occurrences", lambda df: seen.append(df.count()) or real(df))
+    found = motifs.enriched_motifs(rows(some, 400), rows(["CASSDDDDDDYF", "CASSLEYGTTYF"], 600))
+    assert seen == [4, 2] and found
+    best = {m.cores: (m.fg, m.bg) for m in found}
+    assert all(f <= 400 * 3 and f % 100 == 0 and b % 300 == 0 for f, b in best.values())
+    assert motifs.upper_tail(3000, 5_400_000, 700_000, 1_000_000) == pytest.approx(1.0)
+    assert motifs.upper_tail(2, 10, 4, 5) == pytest.approx(186 / 252) and motifs.upper_tail(5, 10, 4, 5) == 0.0
