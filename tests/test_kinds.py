@@ -35,3 +35,21 @@ def test_clumps_of_copies(spark):
     near = Counter((x.i, radius) for x in distances.radius_pairs(r, r, v, 24, exclude=True).collect() for radius in (12, 24) if x.d <= radius)
     assert near and {(x.id, x.radius): x.n_near for x in found.collect()} == near
     assert {x.id: x.clump for x in groups.collect()} == {k: 0 if k % 3 < 2 else 2 for k in range(60)}
+
+
+def test_pairs_of_copies_are_met_once(spark, monkeypatch):
+    v = spark.createDataFrame([(c, f"TR{c}V{x}", f"TR{c}V{y}", 12 * abs(x - y)) for c in "AB" for x in (1, 2) for y in (1, 2)], "chain string, v1 string, v2 string, d int")
+    left, right = copies(spark, 61), copies(spark, 34, 1000)
+    left = left.unionByName(left.where("id = 4").withColumn("cdr3a", distances.F.lit("CAVNNWRLLF")))  # an id twice, with two chains
+    of = lambda df: [tuple(r) for r in df.select("id", "va", "cdr3a", "vb", "cdr3b", "ag", "bg").collect()]
+    near = lambda x, y: 12 * (x[1] != y[1]) + int(distances.cdr3_matrix([x[2]], [y[2]])[0, 0]) + int(distances.cdr3_matrix([x[4]], [y[4]])[0, 0])
+    apart = lambda x, y: x[5] != y[5] and x[6] != y[6]
+    want = {e: Counter((x[0], y[0], near(x, y)) for x in of(left) for y in of(right) if near(x, y) <= 30 and (not e or apart(x, y))) for e in (False, True)}
+    met, real = [], distances._packed
+    monkeypatch.setattr(distances, "_packed", lambda r, *a: met.append(r.count()) or real(r, *a))
+    for exclude, n in ((False, [4, 3]), (True, [7, 6])):
+        met.clear()
+        assert Counter(tuple(r) for r in distances.radius_pairs(left, right, v, 30, exclude=exclude).collect()) == want[exclude]
+        assert met == n
+    monkeypatch.setattr(distances, "LISTED", 3)
+    assert Counter(tuple(r) for r in distances.radius_pairs(left, right, v, 30, exclude=True).collect()) == want[True]
