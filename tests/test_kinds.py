@@ -53,3 +53,13 @@ def test_pairs_of_copies_are_met_once(spark, monkeypatch):
         assert met == n
     monkeypatch.setattr(distances, "LISTED", 3)
     assert Counter(tuple(r) for r in distances.radius_pairs(left, right, v, 30, exclude=True).collect()) == want[True]
+
+
+def test_copies_are_projected_once(spark, monkeypatch):
+    from bispace.operators import reductions
+
+    v = spark.createDataFrame([(c, f"TR{c}V{x}", f"TR{c}V{y}", 12 * abs(x - y)) for c in "AB" for x in (1, 2) for y in (1, 2)], "chain string, v1 string, v2 string, d int")
+    seen, real = [], reductions.of_members
+    monkeypatch.setattr(reductions, "of_members", lambda rows, members: seen.append(rows.count()) or real(rows, members))
+    got = {r.id: tuple(round(x, 9) for x in r.kpc) for r in reductions.kernel_components(copies(spark, 60), v, 2).collect()}
+    assert seen == [3] and len(got) == 60 and all(got[k] == got[k % 3] for k in got) and len(set(got.values())) == 2  # two of the three chains differ in a trimmed letter only
