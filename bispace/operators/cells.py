@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bispace.operators.windows import dealt
+from bispace.session import work_table
+
 
 def qc_filter(counts: DataFrame, mito: Column, min_features: int, max_features: int, max_mito: float, min_cells: int) -> DataFrame:
     """Cells (cell, n_features, total, mito_share) that pass; order: few features, rare features, rest.
     A cell whose counts sum to zero has no mitochondrial share (0)."""
-    enough = counts.groupBy("cell").agg(F.countDistinct("feature").alias("k")).where(F.col("k") >= min_features).select("cell")
-    kept = counts.join(enough, "cell", "left_semi")
-    common = kept.groupBy("feature").agg(F.countDistinct("cell").alias("k")).where(F.col("k") >= min_cells).select("feature")
-    kept = kept.join(common, "feature", "left_semi")
-    share = F.coalesce(F.try_divide(F.sum(F.when(mito, F.col("value")).otherwise(0.0)), F.sum("value")), F.lit(0.0))
-    cells = kept.groupBy("cell").agg(F.countDistinct("feature").alias("n_features"), F.sum("value").alias("total"), share.alias("mito_share"))
+    counts, parts = dealt(counts.where("cell is not null").withColumn("_m", mito), "cell", 500_000)
+    one = counts.groupBy("cell", "feature").agg(F.sum("value").alias("value"), F.sum(F.when(F.col("_m"), F.col("value")).otherwise(0.0)).alias("mito"))
+    enough = F.count("feature").over(Window.partitionBy("cell")) >= min_features
+    one = work_table(one.withColumn("_k", enough).where("_k").drop("_k"), "features")
+    common = one.groupBy("feature").agg(F.count("*").alias("k")).where(F.col("k") >= min_cells).select("feature")
+    kept = one.join(common, "feature", "left_semi").repartition(parts, "cell")
+    share = F.coalesce(F.try_divide(F.sum("mito"), F.sum("value")), F.lit(0.0))
+    cells = kept.groupBy("cell").agg(F.count("feature").alias("n_features"), F.sum("value").alias("total"), share.alias("mito_share"))
     return cells.where((F.col("n_features") < max_features) & (F.col("mito_share") < max_mito))
 
 

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from bispace.session import work_table
 
 
+def dealt(df: DataFrame, key: str, most: int) -> tuple[DataFrame, int]:
+    """``df`` dealt by a hash of ``key`` into parts of about ``most`` rows, and their number.
+
+    Sums by the key then need no more memory in a task than such a part takes; adaptive execution, which
+    goes by compressed bytes, doesn't merge parts whose number is given.
+    """
+    parts = max(1, -(-df.count() // most))
+    return df.repartition(parts, key), parts
+
+
 def placed(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """``df`` in ranges of (keys, order), each row with its range number ``_p``.
 

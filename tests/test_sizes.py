@@ -58,3 +58,19 @@ def test_motifs_of_copies_are_searched_once(spark, monkeypatch):
     assert all(f <= 400 * 3 and f % 100 == 0 and b % 300 == 0 for f, b in best.values())
     assert motifs.upper_tail(3000, 5_400_000, 700_000, 1_000_000) == pytest.approx(1.0)
     assert motifs.upper_tail(2, 10, 4, 5) == pytest.approx(186 / 252) and motifs.upper_tail(5, 10, 4, 5) == 0.0
+
+
+def test_sums_by_key_are_dealt_in_parts_of_given_size(spark):
+    from pyspark.sql import functions as F
+
+    from bispace.operators import cells, windows
+
+    df = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    part, n = windows.dealt(df, "k", 300)
+    assert n == 4 and part.rdd.getNumPartitions() == 4 and part.count() == 1000 and windows.dealt(df.limit(0), "k", 300)[1] == 1
+    found = sequences.letter_counts(spark.createDataFrame([(1, "AAC"), (1, "CD"), (None, "A"), (2, "")], "id long, seq string"))
+    assert {(r.id, r.letter): r.n for r in found.collect()} == {(1, "A"): 2, (1, "C"): 2, (1, "D"): 1, (None, "A"): 1}
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    counts = spark.createDataFrame([(1, 10, 2.0), (1, 10, 1.0), (1, 3, 3.0), (2, 3, 5.0), (2, 4, 1.0), (3, 3, 1.0), (None, 3, 1.0), (None, 4, 1.0), (2, None, 9.0)], "cell long, feature long, value double")
+    got = cells.qc_filter(counts, F.col("feature") % 10 == 0, 2, 7, 0.6, 1)
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 6.0, 0.5), (2, 2, 6.0, 0.0)}
