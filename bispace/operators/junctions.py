@@ -19,6 +19,8 @@ from bispace.operators.windows import running_sum
 #: What a mismatch costs, what a better allele must gain, and how common it must be.
 MISMATCH, MIN_GAIN, MIN_RATIO, MIN_COUNT = -4, 2, 10, 5
 
+PLAIN = frozenset("acgt")
+
 
 def like(a: str, b: str) -> bool:
     return a == b or bool(set(SYMBOLS.get(a, a)) & set(SYMBOLS.get(b, b)))
@@ -34,6 +36,13 @@ def matched(a: str, b: str, mismatch: int = MISMATCH) -> int:
     return length
 
 
+def first_run(seq: str, middle: str, size: int) -> tuple[int, int] | None:
+    """Places of the first run of ``size`` bases of ``seq`` that is like one of ``middle``; plain bases are like themselves only."""
+    if PLAIN.issuperset(seq) and PLAIN.issuperset(middle):
+        return next(((s, p) for s in range(len(seq) - size + 1) if (p := middle.find(seq[s : s + size])) >= 0), None)
+    return next(((s, p) for s in range(len(seq) - size + 1) for p in range(len(middle) - size + 1) if all(like(x, y) for x, y in zip(seq[s : s + size], middle[p : p + size], strict=True))), None)
+
+
 @dataclass
 class Genes:
     v: dict[str, str]
@@ -61,9 +70,9 @@ def parse(v: str, j: str, nuc: str, d: dict[str, str]) -> dict:
     best = ("", 0, 0, 0, 0)
     for name, seq in d.items():
         for size in range(min(len(seq), len(middle)), len(best[0]) if best[0] else 0, -1):
-            hits = [(s, p) for s in range(len(seq) - size + 1) for p in range(len(middle) - size + 1) if all(like(x, y) for x, y in zip(seq[s : s + size], middle[p : p + size], strict=True))]
-            if hits and size > best[2]:
-                best = (name, hits[0][0], size, hits[0][1], len(seq) - hits[0][0] - size)
+            hit = first_run(seq, middle, size)
+            if hit and size > best[2]:
+                best = (name, hit[0], size, hit[1], len(seq) - hit[0] - size)
                 break
     name, start, size, pos, rest = best
     source = "V" * nv + "N" * pos + "D" * size + "N" * (len(middle) - pos - size) + "J" * nj if size else "V" * nv + "N" * len(middle) + "J" * nj

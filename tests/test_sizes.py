@@ -74,3 +74,19 @@ def test_sums_by_key_are_dealt_in_parts_of_given_size(spark):
     counts = spark.createDataFrame([(1, 10, 2.0), (1, 10, 1.0), (1, 3, 3.0), (2, 3, 5.0), (2, 4, 1.0), (3, 3, 1.0), (None, 3, 1.0), (None, 4, 1.0), (2, None, 9.0)], "cell long, feature long, value double")
     got = cells.qc_filter(counts, F.col("feature") % 10 == 0, 2, 7, 0.6, 1)
     assert {tuple(r) for r in got.collect()} == {(1, 2, 6.0, 0.5), (2, 2, 6.0, 0.0)}
+
+
+def test_plain_runs_are_found_by_search():
+    import random
+
+    from bispace.operators import junctions
+
+    draw, met = random.Random(5), []
+    for alphabet in ("acgt", "acgtnry"):
+        for _ in range(300):
+            a, b = ("".join(draw.choice(alphabet) for _ in range(draw.randrange(9))) for _ in range(2))
+            size = draw.randrange(1, 5)
+            want = [(s, p) for s in range(len(a) - size + 1) for p in range(len(b) - size + 1) if all(junctions.like(x, y) for x, y in zip(a[s : s + size], b[p : p + size], strict=True))]
+            assert junctions.first_run(a, b, size) == (want[0] if want else None)
+            met.append(bool(want))
+    assert any(met) and not all(met)
