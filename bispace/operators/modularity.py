@@ -36,7 +36,8 @@ def undirected(edges: DataFrame, weight: str | None = None) -> DataFrame:
     positive are left out, a mutual edge counts twice."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), w.alias("w")).where("u <> v and w > 0")
-    return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
+    ends = F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    return e.select(F.explode(ends).alias("e")).select("e.*").groupBy("u", "v").agg(F.sum("w").alias("w"))
 
 
 def modularity(graph: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
@@ -107,7 +108,7 @@ def modularity_clusters(edges: DataFrame, nodes: DataFrame, weight: str | None =
     """
     ids = work_table(nodes.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct(), "nodes")
     linked = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    links = undirected(linked, weight)
+    links = work_table(undirected(linked, weight), "links")  # edges that are costly to find are found once
     degree = work_table(links.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")), "degrees")
     whole = work_table(links.join(degree.select(F.col("id").alias("u"), "k"), "u"), "graph")
     m = degree.agg(F.sum("k")).first()[0]
