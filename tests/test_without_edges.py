@@ -43,6 +43,15 @@ def test_agreement_by_masks(spark):
         want = rounded(neighbours.agreement(nodes, spaces, [6, 24, 130], ("cg", "ct"), block=16))
         assert rounded(dense.agreement(nodes, spaces, [6, 24, 130], ("cg", "ct"))) == want and len(want) == 3 * n
         assert rounded(dense.agreement(nodes, spaces, [6, 24, 130], ("cg", "ct"), most_bytes=100)) == want
+        some = neighbours.agreement(nodes, spaces, [6], ("cg", "ct"), block=16).select("id", "k", "a", "b", "right", "right_groups")
+        assert rounded(dense.agreement(nodes, spaces, [6], ("cg", "ct"), wanted=("right",))) == rounded(some)
+
+
+def test_tails_are_dealt_to_tasks(spark):
+    nodes = spark.createDataFrame([(i, i, i, 1) for i in range(40)], "id long, ag long, bg long, c int")
+    edges = spark.createDataFrame([(i, (i + d) % 40) for i in range(40) for d in (1, 2)], "src long, dst long")
+    done = neighbours.graph_vs_cluster(edges, nodes, "c")
+    assert done.count() == 40 and done.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
 
 
 def test_queries_make_no_edges(spark, monkeypatch):
